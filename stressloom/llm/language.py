@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .samples import fold, sample
 from .shared import small_batches
@@ -47,7 +48,7 @@ def learn_languages(docs: DataFrame, per_language: int = 96, dictionary_bytes: i
     return Languages(names, tuple(dictionary([letters_only(t) for _, t in sorted(by[x])], dictionary_bytes) for x in names))
 
 
-def _predict(model) -> object:
+def _predict(model, keep_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .compression import Sizes
 
@@ -72,7 +73,7 @@ def _predict(model) -> object:
                 names.append(own.names[order[0]])
                 scores.append(margin / (margin + 0.02))
                 margins.append(margin)
-            rest = [c for c in batch.schema.names if c != "text"]
+            rest = [c for c in batch.schema.names if keep_text or c != "text"]
             yield pa.record_batch([*(batch.column(c) for c in rest), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], [*rest, "lang_pred", "score", "margin"])
 
     return run
@@ -96,6 +97,15 @@ def identify_languages(docs: DataFrame, model: Languages, narrow: float = 0.0) -
     return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("margin") <= narrow))
 
 
+def flag_rejected(docs: DataFrame, model: Languages, narrow: float = 0.0) -> DataFrame:
+    """docs with a column `rejected` added, as identify_languages has it; only the text is read for it."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("margin", DoubleType())])
+    out = docs.mapInArrow(_predict(shared, keep_text=True), schema)
+    return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("margin") <= narrow)).drop("lang_pred", "score", "margin")
+
+
 def held_out(docs: DataFrame) -> DataFrame:
     """The query: learn where crc32(doc_id) mod 4 is not 2, predict all."""
     model = learn_languages(docs.where(fold(4) != 2))

@@ -250,9 +250,9 @@ def mark_with_fm_index(plan: Plan) -> Callable[[dict[bytes, list]], np.ndarray]:
     return mark
 
 
-def marked_texts(docs: DataFrame, plan: Plan, mark: Callable) -> DataFrame:
+def marked_texts(docs: DataFrame, plan: Plan, mark: Callable, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text) to one row per row of docs: id, text, first_id and copies of its whole
-    text, and marks: runs [first, end) of windows found by mark, in the text of least id among copies."""
+    text, and marks: runs [first, end) of windows found by mark, in the text of least id among copies. Columns of docs named in carry follow."""
     small_batches(docs.sparkSession)
     texts = docs.select(internal_id("doc_id").alias("id"), text_key().alias("key"), "text")
     keys = cut(texts.select("id", "key"))
@@ -290,4 +290,5 @@ def marked_texts(docs: DataFrame, plan: Plan, mark: Callable) -> DataFrame:
         .join(marks.select(F.col("id").alias("first_id"), "key", "marks"), ["first_id", "key"], "left")
         .select("id", "key", "first_id", "copies", "marks")
     )
-    return texts.join(known.hint("shuffle_hash"), ["id", "key"], "left").select("id", "key", "text", "first_id", "copies", "marks")
+    whole = docs.select(internal_id("doc_id").alias("id"), text_key().alias("key"), "text", *carry) if carry else texts
+    return whole.join(known.hint("shuffle_hash"), ["id", "key"], "left").select("id", "key", "text", "first_id", "copies", "marks", *carry)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bytescan as scan
 from .repeats import Plan, mark_with_run_length_index, marked_texts
@@ -45,17 +45,18 @@ def _removed(window: int):
                 else:
                     kept.append(text.tobytes())
                     spans.append([])
-            yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(schema))], ["id", "n_bytes", "kept", "spans"])
+            rest = batch.schema.names[4:]
+            yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(schema)), *(batch.column(c) for c in rest)], ["id", "n_bytes", "kept", "spans", *rest])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 400, gram: int = 64, hot: int = 8192) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 400, gram: int = 64, hot: int = 8192, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte covered by a `window`-byte string that also starts anywhere else.
 
     Whole texts as UTF-8; matches never cross documents, may overlap, and are judged on the input.
     Returns doc_id, n_bytes, kept (binary: the remaining bytes) and spans (maximal removed runs of
-    bytes [start, end)), one row per row of docs.
+    bytes [start, end)), and the columns of docs named in carry; one row per row of docs.
 
     Null or empty text: nothing to remove. Texts under `window` bytes: kept. Repeated rows and
     equal texts are copies of each other: all of their bytes go once they have `window` bytes. Null
@@ -63,9 +64,17 @@ def remove_repeats(docs: DataFrame, window: int = 400, gram: int = 64, hot: int
     An empty table gives an empty result.
     """
     plan = Plan(words=False, window=window, gram=gram, hot=hot)
-    found = marked_texts(docs, plan, mark_with_run_length_index(plan)).select("id", "text", "copies", "marks")
-    out = found.mapInArrow(_removed(window), "id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
-    return out.select(public_id("id").alias("doc_id"), "n_bytes", "kept", "spans")
+    found = marked_texts(docs, plan, mark_with_run_length_index(plan), carry).select("id", "text", "copies", "marks", *carry)
+    schema = "id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
+    schema = ", ".join([schema, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)])
+    out = found.mapInArrow(_removed(window), schema)
+    return out.select(public_id("id").alias("doc_id"), "n_bytes", "kept", "spans", *carry)
+
+
+def whole_characters(kept: str) -> Column:
+    """The kept bytes as text, without what is left of characters that a removed run cut."""
+    text = F.col(kept).cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ class Toxicity:
     weights: dict[str, float]
 
 
-def _bags(texts: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers, and the entries (feature, sentence) with the document of each sentence."""
+def _bags(texts: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers, in how many texts each is, and the entries (feature, sentence) with the document of each sentence."""
     known: dict[str, int] = {}
     of_word: dict[str, list[int]] = {}
     columns, sizes, docs = [], [], []
@@ -52,26 +52,24 @@ def _bags(texts: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.
                 sizes.append(len(own) - before)
                 docs.append(d)
         columns.append(np.array(own, dtype=np.int32))
+    seen = np.bincount(np.concatenate([np.unique(x) for x in columns]), minlength=len(known))
     sizes = np.array(sizes, dtype=np.int64)
-    return known, np.concatenate(columns), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.array(docs, dtype=np.int64)
+    return known, seen, np.concatenate(columns), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.array(docs, dtype=np.int64)
 
 
-def train(texts: list[str], y: np.ndarray, share: float, seen_in: float = 0.005, epochs: int = 80, rate: float = 0.15, decay: float = 3e-4) -> Toxicity:
+def train(texts: list[str], y: np.ndarray, share: float, seen_in: float = 0.003, epochs: int = 80, rate: float = 0.15, decay: float = 1e-4) -> Toxicity:
     """Fit on the driver, over a bounded sample. share: part of all labelled documents that are toxic, to which the two
     labels are weighed. Features in less than seen_in of the sample, or in under 4 texts, are left out; decay times the sum of the
     squared weights is added to the mean loss."""
     none = Toxicity(float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))), {})
-    known, column, sentence, doc = _bags(texts)
+    known, seen, column, sentence, doc = _bags(texts)
     if not len(doc):
         return none
     n, at = len(texts), len(doc)
-    pair = np.unique(column.astype(np.int64) * n + doc[sentence])
-    seen = np.bincount(pair // n, minlength=len(known))
-    del pair
     kept = seen >= max(4, seen_in * n)
     if not kept.any():
         return none
-    number = np.cumsum(kept) - 1
+    number = (np.cumsum(kept) - 1).astype(np.int32)
     inside = kept[column]
     column, sentence = number[column[inside]], sentence[inside]
     vocabulary = {f: int(number[i]) for f, i in known.items() if kept[i]}
@@ -143,7 +141,7 @@ def _score(model, spans: bool):
     return run
 
 
-def learn_toxicity(rows: DataFrame, per_label: int = 2500, longest: int = 32 << 10) -> Toxicity:
+def learn_toxicity(rows: DataFrame, per_label: int = 1500, longest: int = 32 << 10) -> Toxicity:
     """From rows (doc_id, text, label 0 or 1); the sample is bounded by per_label rows of each label, of at most `longest`
     bytes. With one label only, the score is near that label; without rows it is 0.5."""
     rows = rows.where("label in (0, 1)")
