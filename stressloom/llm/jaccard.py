@@ -19,6 +19,8 @@ from .shared import cut, internal_id, public_id, small_batches
 #: Cells of the table of shingle counts that orders prefixes; its size is fixed, so it can be broadcast.
 CELLS = 1 << 20
 _BLOCK = 4096
+#: So many classes, of two longs each, may go to every task.
+FEW = 1_000_000
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 BITS = [f"bits{i}" for i in range(8)]
@@ -228,18 +230,22 @@ def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame
         .agg(F.first("ask").alias("ask"))
     )
     shared = cut(shared)
-    wanted = shared.select("class").distinct().join(classes, "class").select("class", F.col("class_id").alias("id"))
-    sets = cut(texts.join(wanted.hint("shuffle_hash"), "id").select("class", "text").mapInArrow(_set_rows(plan), "class long, shingles binary").dropDuplicates(["class"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those that link, by the whole sets of the classes that they name."""
+        named = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        wanted = cut(named.join(classes, "class").select("class", F.col("class_id").alias("id")))
+        # few classes: to every task, and the texts stay where they are; more: both sides are dealt by id
+        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("shuffle_hash")
+        sets = cut(texts.join(wanted, "id").select("class", "text").mapInArrow(_set_rows(plan), "class long, shingles binary"))
         x = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-        return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(plan), "a long, b long")
+        return cut(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(plan), "a long, b long"))
 
     picked = shared.groupBy("token").agg(F.min_by("class", F.xxhash64("token", "class")).alias("b"))
     star = shared.join(picked, "token").where("class <> b").select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
     star = star.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(may_link(plan)).select("a", "b")
-    links = cut(verified(star))
+    links = verified(cut(star))
     united = cut(components(links))
 
     apart = shared.join(united.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -253,7 +259,7 @@ def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame
         .agg(F.count(F.lit(1)).alias("matches"), F.first(F.least("ask_a", "ask_b")).alias("ask"))
         .where("matches >= ask")
     )
-    more = verified(pairs)
+    more = verified(cut(pairs.select("a", "b")))
     # components of the first links stand for their classes
     least = components(links.unionByName(more)).withColumnRenamed("node", "class")
     named = classes.select("class", "class_id", "n").join(least, "class", "left").withColumn("component", F.coalesce("component", "class"))
