@@ -8,7 +8,7 @@
 3. A shard sorts its segments by anchor and indexes them block by block, never cutting an anchor
    apart; blocks are a few MB, so memory doesn't depend on the shard's size.
 
-Anchors with more places than `hot` are dealt out by content instead: their windows are split
+Anchors in more texts than `hot` are dealt out by content instead: their windows are split
 into runs of `fine` neighbours, and a run's key also hashes the content that all windows of the run
 share. Equal windows still meet; near copies of one passage no longer gather in one block.
 
@@ -42,10 +42,6 @@ class Plan:
     fine: int = 16
     block: int = 3 << 20
 
-    @property
-    def unit(self) -> int:
-        return 8 if self.words else 1
-
 
 def _tokens(plan: Plan, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Units for hashing, and the rows' offsets into them."""
@@ -56,7 +52,8 @@ def _tokens(plan: Plan, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
 
 
 def _gram_rows(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, text) to the distinct anchor hashes of each text; twice: more than one place in it."""
+    """(key, text) to the distinct anchor hashes of each text. A hash with more than one place in a text
+    comes with a second key that no text has, so that one text alone makes it shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,19 +66,23 @@ def _gram_rows(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 row, h = row[by], h[by]
                 head = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
                 size = np.diff(np.r_[head, len(h)])
-                yield pa.record_batch([pa.array(scan.signed(h[head])), pa.array(keys[a:b][row[head]]), pa.array(size > 1), pa.array(size)], ["gram", "key", "twice", "places"])
+                gram, key = scan.signed(h[head]), keys[a:b][row[head]]
+                again = size > 1
+                yield pa.record_batch([pa.array(np.r_[gram, gram[again]]), pa.array(np.r_[key, ~key[again]])], ["gram", "key"])
 
     return run
 
 
 def _place_rows(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """where: first window, distance of the anchor from it, number of windows; the latter two in 10 bits each, as windows have under 1024 units."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
             for a, b, data, offsets in scan.slices(*scan.strings(batch.column("text"))):
                 row, h, place, first, size = scan.anchors(*_tokens(plan, data, offsets), plan.window, plan.gram)
                 if len(row):
-                    yield pa.record_batch([pa.array(x) for x in (scan.signed(h), ids[a:b][row], keys[a:b][row], place.astype(np.int32), first.astype(np.int32), size.astype(np.int32))], ["gram", "id", "key", "place", "first", "n"])
+                    yield pa.record_batch([pa.array(x) for x in (scan.signed(h), ids[a:b][row], keys[a:b][row], first << 20 | (place - first) << 10 | size)], ["gram", "id", "key", "where"])
 
     return run
 
@@ -89,33 +90,34 @@ def _place_rows(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def _segment_rows(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Texts with their places to distinct segments, each with where it stands."""
 
+    def part(units: list[bytes] | bytes, a: int, b: int) -> bytes:
+        return b" ".join(units[a:b]) if plan.words else units[a:b]
+
     def flush(kept: dict) -> Iterator[pa.RecordBatch]:
-        out: dict[tuple[int, bytes], tuple[int, list]] = {}
+        out: dict[tuple[int, bytes], list] = {}
         for (gram, segment, lead, hot), where in kept.items():
-            n = len(segment) // plan.unit - plan.window + 1
+            n = (segment.count(b" ") + 1 if plan.words else len(segment)) - plan.window + 1
             if not hot:
-                known = out.setdefault((gram, segment), (n, []))
-                known[1].extend(where)
+                out.setdefault((gram, segment), []).extend(where)
                 continue
+            units = segment.split() if plan.words else segment
             for j in range((lead - n + 1) // plan.fine, lead // plan.fine + 1):
                 # the run's windows start at head .. tail, of which a .. b - 1 are here; all share the core
                 head, tail = lead - (j + 1) * plan.fine + 1, lead - j * plan.fine
                 a, b = max(0, head), min(n, tail + 1)
-                core = segment[tail * plan.unit : (head + plan.window) * plan.unit]
+                core = part(units, tail, head + plan.window)
                 own = int.from_bytes(blake2b(core + j.to_bytes(4, "little"), digest_size=8, key=gram.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
-                known = out.setdefault((own, segment[a * plan.unit : (b - 1 + plan.window) * plan.unit]), (b - a, []))
-                known[1].extend((i, k, f + a) for i, k, f in where)
+                out.setdefault((own, part(units, a, b - 1 + plan.window)), []).extend((i, k, f + a) for i, k, f in where)
         items = list(out.items())
         for at in range(0, len(items), 2048):
-            part = items[at : at + 2048]
+            rows = items[at : at + 2048]
             yield pa.record_batch(
                 [
-                    pa.array([x[0][0] for x in part], pa.int64()),
-                    pa.array([x[0][1] for x in part], pa.binary()),
-                    pa.array([x[1][0] for x in part], pa.int32()),
-                    pa.array([np.array(x[1][1], dtype=np.int64).tobytes() for x in part], pa.binary()),
+                    pa.array([x[0][0] for x in rows], pa.int64()),
+                    pa.array([x[0][1] for x in rows], pa.binary()),
+                    pa.array([np.array(x[1], dtype=np.int64).tobytes() for x in rows], pa.binary()),
                 ],
-                ["shard_key", "segment", "n", "stands"],
+                ["shard_key", "segment", "stands"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,14 +131,13 @@ def _segment_rows(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                     continue
                 own = places[r].values
                 text = data[offsets[r] : offsets[r + 1]]
-                if plan.words:
-                    text = scan.words(text, np.array([0, len(text)]))[2]
-                text = text.tobytes()
+                text = text.tobytes().split() if plan.words else text.tobytes()
                 who = (int(ids[r]), int(keys[r]))
-                fields = [own.field(x).to_pylist() for x in ("gram", "place", "first", "n", "hot")]
-                for gram, place, first, n, hot in dict.fromkeys(zip(*fields, strict=True)):
-                    segment = text[first * plan.unit : (first + n - 1 + plan.window) * plan.unit]
-                    at = (gram, segment, place - first if hot else 0, hot)
+                fields = [own.field(x).to_pylist() for x in ("gram", "where", "hot")]
+                for gram, place, hot in dict.fromkeys(zip(*fields, strict=True)):
+                    first, lead, n = place >> 20, place >> 10 & 1023, place & 1023
+                    segment = part(text, first, first + n - 1 + plan.window)
+                    at = (gram, segment, lead if hot else 0, hot)
                     where = kept.get(at)
                     if where is None:
                         kept[at] = [(*who, first)]
@@ -230,15 +231,17 @@ def mark_with_fm_index(plan: Plan) -> Callable[[dict[bytes, list]], np.ndarray]:
             where = np.frombuffer(b"".join(stands), dtype=np.int64).reshape(-1, 3)
             where = where[np.lexsort((where[:, 2], where[:, 1], where[:, 0]))]
             if len(where) > 1:  # all but the first stand later as a whole
-                out.append(np.column_stack([where[1:], where[1:, 2] + len(segment) // 8 - w + 1]))
+                out.append(np.column_stack([where[1:], where[1:, 2] + segment.count(b" ") + 1 - w + 1]))
             items.append((*where[0].tolist(), segment))
         items.sort()
-        parts = [np.frombuffer(x[3], dtype=np.int64) for x in items]
-        length = np.array([len(x) for x in parts])
-        symbols = np.unique(np.concatenate(parts), return_inverse=True)[1] + 1
+        data = b"\n".join(x[3] for x in items)
+        ends = np.cumsum([len(x[3]) + 1 for x in items])
+        _, _, hashes, of_items = scan.words(np.frombuffer(data, dtype=np.uint8), np.r_[0, ends[:-1], len(data)])
+        length = np.diff(of_items)
+        symbols = np.unique(hashes, return_inverse=True)[1] + 1
         start = np.cumsum(length + 1) - length - 1
-        text = np.zeros(int(length.sum()) + len(parts), dtype=np.int64)
-        text[np.arange(len(symbols)) + np.repeat(np.arange(len(parts)), length)] = symbols
+        text = np.zeros(int(length.sum()) + len(items), dtype=np.int64)
+        text[np.arange(len(symbols)) + np.repeat(np.arange(len(items)), length)] = symbols
         count, first = FMIndex(text, w).stream(text, start, start + length)
         later = (count > 1) & (first < np.arange(len(text)))
         edge = np.flatnonzero(np.diff(np.r_[False, later, False].astype(np.int8)))
@@ -258,24 +261,24 @@ def marked_texts(docs: DataFrame, plan: Plan, mark: Callable, carry: tuple[str,
     keys = cut(texts.select("id", "key"))
     same = keys.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
 
-    grams = texts.select("key", "text").mapInArrow(_gram_rows(plan), "gram long, key long, twice boolean, places long")
+    grams = texts.select("key", "text").mapInArrow(_gram_rows(plan), "gram long, key long")
     shared = (
         grams.groupBy("gram")
-        .agg(F.min("key").alias("least"), F.max("key").alias("most"), F.max("twice").alias("twice"), F.sum("places").alias("places"))
-        .where("least <> most or twice")
-        .select("gram", (F.col("places") > plan.hot).alias("hot"))
+        .agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("texts"))
+        .where("least <> most")
+        .select("gram", (F.col("texts") > plan.hot).alias("hot"))
     )
     places = (
-        texts.mapInArrow(_place_rows(plan), "gram long, id long, key long, place int, first int, n int")
+        texts.mapInArrow(_place_rows(plan), "gram long, id long, key long, where long")
         .join(shared, "gram")
         .groupBy("id", "key")
-        .agg(F.collect_list(F.struct("gram", "place", "first", "n", "hot")).alias("places"))
+        .agg(F.collect_list(F.struct("gram", "where", "hot")).alias("places"))
     )
     firsts = same.select(F.col("first_id").alias("id"), "key")
     places = places.join(firsts, ["id", "key"], "left_semi")
 
     located = texts.join(places.hint("shuffle_hash"), ["id", "key"], "left").select("id", "key", "text", "places")
-    segments = located.mapInArrow(_segment_rows(plan), "shard_key long, segment binary, n int, stands binary")
+    segments = located.mapInArrow(_segment_rows(plan), "shard_key long, segment binary, stands binary")
     marks = (
         segments.repartition("shard_key")
         .sortWithinPartitions("shard_key")
