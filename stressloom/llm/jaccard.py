@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -181,11 +182,11 @@ def _verified(plan: Similarity):
     return run
 
 
-def may_link(plan: Similarity) -> Column:
+def may_link(plan: Similarity, bits: list[str]) -> Column:
     """Holds for all pairs that link: sizes near enough, and no more parity bits that differ than
-    shingles may be in one set only."""
+    shingles may be in one set only. The columns are na, nb and a, b before each of bits."""
     na, nb = F.col("na"), F.col("nb")
-    differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in BITS[1:]), F.bit_count(F.col(f"a{BITS[0]}").bitwiseXOR(F.col(f"b{BITS[0]}"))))
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in bits))
     return (F.least(na, nb) * plan.of >= F.greatest(na, nb) * plan.at_least) & (differ * (plan.of + plan.at_least) <= (na + nb) * (plan.of - plan.at_least))
 
 
@@ -193,6 +194,11 @@ def _side(classes: DataFrame, name: str) -> DataFrame:
     return classes.select(F.col("class").alias(name), F.col("n").alias(f"n{name}"), *(F.col(c).alias(f"{name}{c}") for c in BITS))
 
 
+def _to_all_if_few(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has few rows; other joins deal both sides by the key."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame:
     """Join docs (doc_id, text) with themselves on the Jaccard similarity of their shingle sets.
 
@@ -221,6 +227,7 @@ def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame
     counts = spark.sparkContext.broadcast(cell_counts(summary))
 
     by_token = Window.partitionBy("token")
+    brief = BITS[:2]  # enough to tell most pairs apart
     shared = (
         texts.select("text")
         .mapInArrow(_prefix_rows(plan, counts), "token long, class long, ask int")
@@ -228,6 +235,7 @@ def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame
         .where("low <> high")
         .groupBy("token", "class")
         .agg(F.first("ask").alias("ask"))
+        .join(classes.select("class", "n", *brief), "class")
     )
     shared = cut(shared)
 
@@ -235,31 +243,37 @@ def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame
         """Of pairs (a, b) those that link, by the whole sets of the classes that they name."""
         named = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
         wanted = cut(named.join(classes, "class").select("class", F.col("class_id").alias("id")))
-        # few classes: to every task, and the texts stay where they are; more: both sides are dealt by id
-        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("shuffle_hash")
-        sets = cut(texts.join(wanted, "id").select("class", "text").mapInArrow(_set_rows(plan), "class long, shingles binary"))
+        # few classes: the texts stay where they are
+        sets = cut(texts.join(_to_all_if_few(wanted), "id").select("class", "text").mapInArrow(_set_rows(plan), "class long, shingles binary"))
         x = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
         return cut(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(plan), "a long, b long"))
 
-    picked = shared.groupBy("token").agg(F.min_by("class", F.xxhash64("token", "class")).alias("b"))
-    star = shared.join(picked, "token").where("class <> b").select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
-    star = star.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(may_link(plan)).select("a", "b")
-    links = verified(cut(star))
+    def full(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that all the parity bits allow."""
+        pairs = cut(pairs)
+        return cut(pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(may_link(plan, BITS)).select("a", "b"))
+
+    pick = F.min(F.struct(F.xxhash64("token", "class").alias("order"), "class", "n", *brief)).over(by_token)
+    star = shared.withColumn("pick", pick).select(
+        F.col("class").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in brief), F.col("pick.class").alias("b"), F.col("pick.n").alias("nb"), *(F.col(f"pick.{c}").alias(f"b{c}") for c in brief)
+    )
+    star = star.where((F.col("a") != F.col("b")) & may_link(plan, brief)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = verified(full(star))
     united = cut(components(links))
 
-    apart = shared.join(united.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    apart = apart.withColumns({"low": F.min("component").over(by_token), "high": F.max("component").over(by_token)}).where("low <> high")
-    apart = cut(apart.select("token", "class", "ask", "component").join(classes.select("class", "n", *BITS), "class"))
-    one = apart.select("token", F.col("class").alias("a"), F.col("ask").alias("ask_a"), F.col("component").alias("of_a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in BITS))
-    two = apart.select(F.col("token").alias("token_b"), F.col("class").alias("b"), F.col("ask").alias("ask_b"), F.col("component").alias("of_b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in BITS))
+    apart = shared.join(_to_all_if_few(united.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    apart = cut(apart.withColumns({"low": F.min("component").over(by_token), "high": F.max("component").over(by_token)}).where("low <> high").drop("low", "high"))
+    one = apart.select("token", F.col("class").alias("a"), F.col("ask").alias("ask_a"), F.col("component").alias("of_a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in brief))
+    two = apart.select(F.col("token").alias("token_b"), F.col("class").alias("b"), F.col("ask").alias("ask_b"), F.col("component").alias("of_b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in brief))
     pairs = (
-        one.join(two, (F.col("token") == F.col("token_b")) & (F.col("of_a") < F.col("of_b")) & may_link(plan))
+        one.join(two, (F.col("token") == F.col("token_b")) & (F.col("of_a") < F.col("of_b")) & may_link(plan, brief))
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("matches"), F.first(F.least("ask_a", "ask_b")).alias("ask"))
         .where("matches >= ask")
+        .select("a", "b")
     )
-    more = verified(cut(pairs.select("a", "b")))
+    more = verified(full(pairs))
     # components of the first links stand for their classes
     least = components(links.unionByName(more)).withColumnRenamed("node", "class")
     named = classes.select("class", "class_id", "n").join(least, "class", "left").withColumn("component", F.coalesce("component", "class"))
