@@ -1,0 +1 @@
+"""Nothing here streams: every program of this kind reads a whole graph and ends."""
