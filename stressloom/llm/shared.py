@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, SparkSession, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from ..plans.cuts import cut as cut
 
 #: Stands for a null id inside the operators; results show null again.
 NULL_ID = -(2**63)
@@ -28,33 +27,6 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    known = getattr(spark.sparkContext, "_stressloom_folder", None)
-    if known is None:
-        known = spark.sparkContext._stressloom_folder = tempfile.mkdtemp(prefix="stressloom-")
-    return known
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and the
-    rows survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stressloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate; costs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch of texts can hold; texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
