@@ -40,7 +40,7 @@ def learn_languages(docs: DataFrame, per_language: int = 96, dictionary_bytes: i
     `longest` bytes each; the sample is bounded by these parameters and the same on each run."""
     from .compression import dictionary
 
-    rows = sample(docs.select("doc_id", "text", F.col("lang").alias("label")), per_language, longest)
+    rows = sample(docs.select("doc_id", "text", F.col("lang").alias("label")), None, per_language, longest)
     by: dict[str, list[tuple[int, str]]] = {}
     for row in rows.select("label", "rank", "text").collect():
         by.setdefault(row["label"], []).append((row["rank"], row["text"]))

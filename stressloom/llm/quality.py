@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .samples import fold, sample
+from .samples import fold, sample, settled
 from .shared import small_batches
 
 
@@ -64,22 +64,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int =
     return float(beta[0] / spread), float(beta[1])
 
 
-def learn_quality(rows: DataFrame, per_label: int = 2000, for_dictionary: int = 200, dictionary_bytes: int = 400 << 10, longest: int = 64 << 10) -> Quality:
-    """From rows (doc_id, text, label 0 or 1): of a sample of at most per_label rows of each label, the first for_dictionary
-    make the dictionaries and the others calibrate, weighed so that labels count as in all rows. With one label missing,
+def learn_quality(docs: DataFrame, labels: DataFrame, per_label: int = 2000, for_dictionary: int = 200, dictionary_bytes: int = 400 << 10, longest: int = 64 << 10) -> Quality:
+    """From docs (doc_id, text) and labels (doc_id, label 0 or 1): of a sample of at most per_label rows of each label, the first for_dictionary
+    make the dictionaries and the others calibrate, weighed so that labels count as in all labels. With one label missing,
     the score is that of the other label alone; without labels it is 0.5."""
     from .compression import dictionary
 
-    small_batches(rows.sparkSession)
-    counts = {r["label"]: r["n"] for r in rows.where("label in (0, 1)").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small_batches(docs.sparkSession)
+    counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Quality(b"", b"", 0.0, {0: -5.0, 1: 5.0}.get(next(iter(counts), None), 0.0))
-    chosen = sample(rows.where("label in (0, 1)"), per_label, longest)
+    chosen = sample(docs, labels, per_label, longest)
     first: dict[int, list[tuple[int, str]]] = {0: [], 1: []}
     for row in chosen.where(F.col("rank") <= for_dictionary).select("label", "rank", "text").collect():
         first[row["label"]].append((row["rank"], row["text"]))
     bad, good = (dictionary([t for _, t in sorted(first[y])], dictionary_bytes) for y in (0, 1))
-    model = rows.sparkSession.sparkContext.broadcast(Quality(bad, good, 0.0, 0.0))
+    model = docs.sparkSession.sparkContext.broadcast(Quality(bad, good, 0.0, 0.0))
     rest = chosen.where(F.col("rank") > for_dictionary).select("label", "text").mapInArrow(_rows(model, False), "label int, score double").collect()
     x, y = np.array([r["score"] for r in rest]), np.array([r["label"] for r in rest], dtype=np.float64)
     if len(set(y.tolist())) < 2:
@@ -101,13 +101,7 @@ def score_quality(docs: DataFrame, model: Quality) -> DataFrame:
     return rows.mapInArrow(_rows(shared, True), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """docs with the label of that name; labels that repeat a doc_id count once, by their mean."""
-    known = labels.where(F.col(name).isNotNull()).groupBy("doc_id").agg((F.avg(name) >= 0.5).cast("int").alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
-
-
 def held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The query: learn where crc32(doc_id) mod 3 is not 1, score all."""
-    model = learn_quality(labelled(docs.where(fold(3) != 1), labels, "quality"))
+    model = learn_quality(docs.where(fold(3) != 1), settled(labels, "quality").where(fold(3) != 1))
     return score_quality(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

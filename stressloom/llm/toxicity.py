@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .samples import fold, sample
+from .samples import fold, sample, settled
 from .shared import small_batches
 
 _sentence = re.compile(r"[^.!?\n]+")
@@ -141,14 +141,13 @@ def _score(model, spans: bool):
     return run
 
 
-def learn_toxicity(rows: DataFrame, per_label: int = 1500, longest: int = 32 << 10) -> Toxicity:
-    """From rows (doc_id, text, label 0 or 1); the sample is bounded by per_label rows of each label, of at most `longest`
+def learn_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 1500, longest: int = 32 << 10) -> Toxicity:
+    """From docs (doc_id, text) and labels (doc_id, label 0 or 1); the sample is bounded by per_label rows of each label, of at most `longest`
     bytes. With one label only, the score is near that label; without rows it is 0.5."""
-    rows = rows.where("label in (0, 1)")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Toxicity({0: -5.0, 1: 5.0}.get(next(iter(counts), None), 0.0), {})
-    chosen = [(r["label"], r["text"]) for r in sample(rows, per_label, longest).orderBy("label", "rank").select("label", "text").collect()]
+    chosen = [(r["label"], r["text"]) for r in sample(docs, labels, per_label, longest).orderBy("label", "rank").select("label", "text").collect()]
     return train([t for _, t in chosen], np.array([y for y, _ in chosen], dtype=np.float64), counts[1] / (counts[0] + counts[1]))
 
 
@@ -168,7 +167,5 @@ def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
 
 def held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The query: learn where crc32(doc_id) mod 5 is not 0, score all."""
-    from .quality import labelled
-
-    model = learn_toxicity(labelled(docs.where(fold(5) != 0), labels, "toxic"))
+    model = learn_toxicity(docs.where(fold(5) != 0), settled(labels, "toxic").where(fold(5) != 0))
     return score_toxicity(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences")
