@@ -22,6 +22,10 @@ CELLS = 1 << 20
 _BLOCK = 4096
 #: So many classes, of two longs each, may go to every task.
 FEW = 1_000_000
+#: Pairs of one class that a task verifies.
+SALTED = 2048
+#: Rounds of stars at most, and orders among which a round's tokens choose.
+STARS, PICKS = 3, 8
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 BITS = [f"bits{i}" for i in range(8)]
@@ -152,41 +156,57 @@ def _prefix_rows(plan: Similarity, counts):
     return run
 
 
-def _set_rows(plan: Similarity):
+def _sent_rows(plan: Similarity):
+    """Texts with where their sets are wanted to (to, salt, head, class, shingles)."""
+    names = ["to", "salt", "head", "class"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("class").to_numpy()
             for a, b, data, offsets in scan.slices(*scan.strings(batch.column("text"))):
-                own, sets = [], []
+                sets, good = [], []
                 for want, shingles in zip(wanted[a:b].tolist(), shingle_sets(plan, data, offsets), strict=True):
-                    if _class_of(shingles) == want:
-                        own.append(want)
-                        sets.append(shingles.tobytes())
-                yield pa.record_batch([pa.array(own, pa.int64()), pa.array(sets, pa.binary())], ["class", "shingles"])
+                    good.append(_class_of(shingles) == want)
+                    sets.append(shingles.tobytes())
+                part = pa.record_batch([*(batch.column(c).slice(a, b - a) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
+                yield part.filter(pa.array(good, pa.bool_()))
 
     return run
 
 
 def _verified(plan: Similarity):
+    """Rows in order of (to, salt), the set of `to` itself first, to the pairs that link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, x = None, np.zeros(0, np.uint64)
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(plan.of * shared >= plan.at_least * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            found = []
+            to, salt, head, own = (batch.column(c).to_pylist() for c in ("to", "salt", "head", "class"))
+            for i, y in enumerate(batch.column("shingles")):
+                y = np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                if head[i] == 0:
+                    at, x = (to[i], salt[i]), y
+                elif at == (to[i], salt[i]):
+                    both = np.concatenate([x, y])
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if plan.of * shared >= plan.at_least * (len(x) + len(y) - shared):
+                        found.append((own[i], to[i]))
+            if found:
+                yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
     return run
 
 
+def differing(bits: list[str]) -> Column:
+    return reduce(Column.__add__, (F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in bits))
+
+
 def may_link(plan: Similarity, bits: list[str]) -> Column:
     """Holds for all pairs that link: sizes near enough, and no more parity bits that differ than
     shingles may be in one set only. The columns are na, nb and a, b before each of bits."""
     na, nb = F.col("na"), F.col("nb")
-    differ = reduce(Column.__add__, (F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in bits))
+    differ = differing(bits)
     return (F.least(na, nb) * plan.of >= F.greatest(na, nb) * plan.at_least) & (differ * (plan.of + plan.at_least) <= (na + nb) * (plan.of - plan.at_least))
 
 
@@ -212,8 +232,8 @@ def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame
     gives an empty result.
 
     Equal sets are joined as one class. Tokens are ordered by how often their cell stands in the
-    corpus. First every token's classes are compared with one of them only, which each token picks
-    anew; links found unite classes. Then classes that stay apart and share as many prefix tokens
+    corpus. First, in a few rounds, every token's classes are compared with one of them only; links found unite
+    classes. Then classes that stay apart and share as many prefix tokens
     as the lesser of the two asks for are verified, so no link between components is lost,
     and a group of near copies doesn't become all its pairs.
     """
@@ -239,28 +259,49 @@ def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame
     )
     shared = cut(shared)
 
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) those that link, by the whole sets of the classes that they name."""
-        named = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        wanted = cut(named.join(classes, "class").select("class", F.col("class_id").alias("id")))
-        # few classes: the texts stay where they are
-        sets = cut(texts.join(_to_all_if_few(wanted), "id").select("class", "text").mapInArrow(_set_rows(plan), "class long, shingles binary"))
-        x = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-        y = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-        return cut(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(plan), "a long, b long"))
+        """Of pairs (a, b) those that link. The set of each a goes to the task of its b; a b of many pairs is
+        salted, and its set goes to each salt once."""
+        many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs"))
+        salted = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("pairs") / F.lit(SALTED))).alias("salt"))
+        tails = salted.select(F.col("a").alias("class"), F.col("b").alias("to"), "salt", F.lit(1).alias("head"))
+        heads = salted.select(F.col("b").alias("class"), F.col("b").alias("to"), "salt", F.lit(0).alias("head")).distinct()
+        wanted = cut(tails.unionByName(heads).join(classes.select("class", F.col("class_id").alias("id")), "class"))
+        # few of them: the texts stay where they are
+        sent = texts.join(_to_all_if_few(wanted), "id").select("class", "to", "salt", "head", "text")
+        sent = sent.mapInArrow(_sent_rows(plan), "to long, salt long, head int, class long, shingles binary")
+        sent = sent.repartition("to", "salt").sortWithinPartitions("to", "salt", "head")
+        return cut(sent.mapInArrow(_verified(plan), "a long, b long").distinct())
 
     def full(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that all the parity bits allow."""
         pairs = cut(pairs)
         return cut(pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(may_link(plan, BITS)).select("a", "b"))
 
-    pick = F.min(F.struct(F.xxhash64("token", "class").alias("order"), "class", "n", *brief)).over(by_token)
-    star = shared.withColumn("pick", pick).select(
-        F.col("class").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in brief), F.col("pick.class").alias("b"), F.col("pick.n").alias("nb"), *(F.col(f"pick.{c}").alias(f"b{c}") for c in brief)
-    )
-    star = star.where((F.col("a") != F.col("b")) & may_link(plan, brief)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = verified(full(star))
-    united = cut(components(links))
+    # Rounds of stars. In each, a token's classes look at a few of its own, the same for most tokens that they share, and each class
+    # is verified against the nearest by parity that another component holds.
+    links = united = None
+    for turn in range(STARS):
+        rows_now = shared
+        if united is not None:
+            rows_now = rows_now.join(_to_all_if_few(united.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        else:
+            rows_now = rows_now.withColumn("component", F.col("class"))
+        order = F.xxhash64("class", F.pmod("token", F.lit(PICKS)), F.lit(turn))
+        pick = F.min(F.struct(order.alias("order"), "class", "component", "n", *brief)).over(by_token)
+        star = rows_now.withColumn("pick", pick).where("component <> pick.component").select(
+            F.col("class").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in brief), F.col("pick.class").alias("b"), F.col("pick.n").alias("nb"), *(F.col(f"pick.{c}").alias(f"b{c}") for c in brief)
+        )
+        near = differing(brief).alias("near")
+        star = star.where(may_link(plan, brief)).select("a", "b", near).groupBy("a").agg(F.min_by("b", F.struct("near", "b")).alias("b"))
+        found = verified(full(star))
+        links = found if links is None else links.unionByName(found)
+        if not found.limit(1).count():
+            break
+        united = cut(components(links))
+    if united is None:
+        united = cut(components(links))
 
     apart = shared.join(_to_all_if_few(united.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
     apart = cut(apart.withColumns({"low": F.min("component").over(by_token), "high": F.max("component").over(by_token)}).where("low <> high").drop("low", "high"))
