@@ -28,7 +28,9 @@ SALTED = 2048
 STARS, PICKS = 3, 8
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
+#: Parities of a set's shingles by 512 bins, and the same by 128: words folded into two.
 BITS = [f"bits{i}" for i in range(8)]
+FOLDED = ["even", "odd"]
 
 
 @dataclass(frozen=True)
@@ -243,11 +245,12 @@ def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame
     longs = ", ".join(f"{c} long" for c in BITS)
     summary = cut(texts.mapInArrow(_summary_rows(plan), f"id long, n long, class long, {longs}, block int, counts binary"))
     rows = summary.where("block is null").select("id", "n", "class", *BITS)
-    classes = cut(rows.groupBy("class").agg(F.min("id").alias("class_id"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in BITS)))
+    folded = {name: reduce(Column.bitwiseXOR, (F.col(c) for c in BITS[i::2])) for i, name in enumerate(FOLDED)}
+    classes = cut(rows.groupBy("class").agg(F.min("id").alias("class_id"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in BITS)).withColumns(folded))
     counts = spark.sparkContext.broadcast(cell_counts(summary))
 
     by_token = Window.partitionBy("token")
-    brief = BITS[:2]  # enough to tell most pairs apart
+    brief = FOLDED  # enough to tell most pairs apart
     shared = (
         texts.select("text")
         .mapInArrow(_prefix_rows(plan, counts), "token long, class long, ask int")
