@@ -15,13 +15,11 @@ from pyspark.sql.window import Window
 
 from . import bytescan as scan
 from .components import components
-from .shared import cut, internal_id, public_id, small_batches
+from .shared import cut, internal_id, public_id, small_batches, to_all_if_few
 
 #: Cells of the table of shingle counts that orders prefixes; its size is fixed, so it can be broadcast.
 CELLS = 1 << 20
 _BLOCK = 4096
-#: So many classes, of two longs each, may go to every task.
-FEW = 1_000_000
 #: Pairs of one class that a task verifies.
 SALTED = 2048
 #: Rounds of stars at most, and orders among which a round's tokens choose.
@@ -216,11 +214,6 @@ def _side(classes: DataFrame, name: str) -> DataFrame:
     return classes.select(F.col("class").alias(name), F.col("n").alias(f"n{name}"), *(F.col(c).alias(f"{name}{c}") for c in BITS))
 
 
-def _to_all_if_few(df: DataFrame) -> DataFrame:
-    """df, broadcast if it has few rows; other joins deal both sides by the key."""
-    return F.broadcast(df) if df.count() <= FEW else df
-
-
 def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame:
     """Join docs (doc_id, text) with themselves on the Jaccard similarity of their shingle sets.
 
@@ -272,7 +265,7 @@ def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame
         heads = salted.select(F.col("b").alias("class"), F.col("b").alias("to"), "salt", F.lit(0).alias("head")).distinct()
         wanted = cut(tails.unionByName(heads).join(classes.select("class", F.col("class_id").alias("id")), "class"))
         # few of them: the texts stay where they are
-        sent = texts.join(_to_all_if_few(wanted), "id").select("class", "to", "salt", "head", "text")
+        sent = texts.join(to_all_if_few(wanted), "id").select("class", "to", "salt", "head", "text")
         sent = sent.mapInArrow(_sent_rows(plan), "to long, salt long, head int, class long, shingles binary")
         sent = sent.repartition("to", "salt").sortWithinPartitions("to", "salt", "head")
         return cut(sent.mapInArrow(_verified(plan), "a long, b long").distinct())
@@ -288,7 +281,7 @@ def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame
     for turn in range(STARS):
         rows_now = shared
         if united is not None:
-            rows_now = rows_now.join(_to_all_if_few(united.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
+            rows_now = rows_now.join(to_all_if_few(united.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
         else:
             rows_now = rows_now.withColumn("component", F.col("class"))
         order = F.xxhash64("class", F.pmod("token", F.lit(PICKS)), F.lit(turn))
@@ -306,7 +299,7 @@ def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame
     if united is None:
         united = cut(components(links))
 
-    apart = shared.join(_to_all_if_few(united.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    apart = shared.join(to_all_if_few(united.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
     apart = cut(apart.withColumns({"low": F.min("component").over(by_token), "high": F.max("component").over(by_token)}).where("low <> high").drop("low", "high"))
     one = apart.select("token", F.col("class").alias("a"), F.col("ask").alias("ask_a"), F.col("component").alias("of_a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in brief))
     two = apart.select(F.col("token").alias("token_b"), F.col("class").alias("b"), F.col("ask").alias("ask_b"), F.col("component").alias("of_b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in brief))

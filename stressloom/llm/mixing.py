@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .shared import WORD
+from .shared import WORD, cut, to_all_if_few
 
 #: Turns of weights over the sources in code point order.
 CYCLE = (5, 2, 1)
@@ -92,6 +92,8 @@ def mix_sources(docs: DataFrame, seed: int = 0, cycle: tuple[int, ...] = CYCLE,
     ends = ranged.join(targets, same(ranged, targets), "inner").where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
     ends = ends.select(ranged["source"].alias("end_source"), F.col("range").alias("end_range"), F.col("before").alias("end_before"))
     plan = targets.join(ends, targets["source"].eqNullSafe(ends["end_source"]), "left").drop("end_source").withColumnRenamed("source", "plan_source")
+    # a row for each source: to every task while they are few, so that no text is dealt by source
+    plan = to_all_if_few(cut(plan))
 
     joined = rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"])).drop("plan_source")
     inside = F.col("range") == F.col("end_range")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.cuts import cut as cut
 
@@ -27,6 +27,15 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+#: So many rows of a few short values may go to every task.
+FEW = 1_000_000
+
+
+def to_all_if_few(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has few rows; else the join deals both sides by the key."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch of texts can hold; texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
