@@ -60,6 +60,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+OP1 = r"""
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS s FROM docs)
+), found AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS n FROM windows) WHERE n > 1
+), runs AS (
+  SELECT doc_id, s, sum(first) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (
+    SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 0 ELSE 1 END AS first FROM found)
+), spans AS (
+  SELECT doc_id, min(s) AS a, max(s) + 400 AS b FROM runs GROUP BY doc_id, run
+), cuts AS (
+  SELECT doc_id, b AS a FROM spans UNION ALL SELECT doc_id, 0 FROM docs
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * c.a + 1, 2 * (coalesce(e, len(h) // 2) - c.a)), '' ORDER BY c.a) AS h
+  FROM (SELECT c.doc_id, c.a, min(n.a) AS e FROM cuts c LEFT JOIN spans n ON n.doc_id = c.doc_id AND n.a >= c.a GROUP BY ALL) c JOIN docs USING (doc_id) GROUP BY doc_id
+), gone AS (
+  SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, (len(docs.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM docs JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
 OP4 = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -80,6 +104,25 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM levels GROUP BY conv_id
 """
 
+OP6 = r"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), good AS (
+  SELECT * FROM vectors WHERE label IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM vectors UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a
+), degree AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, m AS component_id, vec_id = m AS kept FROM least LEFT JOIN degree USING (vec_id)
+"""
+
 OP8 = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -98,6 +141,31 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
+OP9 = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    coalesce(1.0::DOUBLE - 0.75::DOUBLE * length(regexp_replace(text, '[\p{L}\x09-\x0D\x20.,]+', '', 'g')) / nullif(length(text), 0), 0.25::DOUBLE) AS quality,
+    (('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 16.0::DOUBLE ** 12 AS u
+  FROM documents
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM docs GROUP BY source
+), weighed AS (
+  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(place - 1) % 3 + 1] AS weight, (3 * source_size)::DOUBLE AS cap FROM sizes
+), levels AS (
+  SELECT a.place, max(a.cap / a.weight) AS own,
+    (sum(b.source_size)::DOUBLE - coalesce(sum(b.cap) FILTER (b.cap / b.weight < a.cap / a.weight), 0)) / sum(b.weight) FILTER (b.cap / b.weight >= a.cap / a.weight) AS level
+  FROM weighed a, weighed b GROUP BY a.place
+), targets AS (
+  SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, own) FROM levels WHERE level <= own)) AS target FROM weighed
+), plan AS (
+  SELECT *, round(target - epochs * source_size)::BIGINT AS rest FROM (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS epochs FROM targets)
+), ahead AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY -ln(u) / quality, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM docs
+)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
+FROM ahead JOIN plan ON ahead.source IS NOT DISTINCT FROM plan.source
+"""
+
 OP10 = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -120,4 +188,11 @@ FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reac
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4, "op8_substring_dedup": OP8, "op10_ngram_jaccard_join": OP10}
+    return {
+        "op1_suffix_array_dedup": OP1,
+        "op4_chat_formatting": OP4,
+        "op6_embedding_near_dedup": OP6,
+        "op8_substring_dedup": OP8,
+        "op9_source_mixing": OP9,
+        "op10_ngram_jaccard_join": OP10,
+    }
