@@ -30,6 +30,10 @@ from . import bytescan as scan
 from .shared import cut, internal_id, small_batches, text_key
 
 
+#: Hashes at most whose places are salted.
+HEAVY = 100_000
+
+
 @dataclass(frozen=True)
 class Plan:
     """words: units are words, else bytes. window: units that make a repeat. gram: units of an
@@ -262,15 +266,18 @@ def marked_texts(docs: DataFrame, plan: Plan, mark: Callable, carry: tuple[str,
     same = keys.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
 
     grams = texts.select("key", "text").mapInArrow(_gram_rows(plan), "gram long, key long")
-    shared = (
-        grams.groupBy("gram")
-        .agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("texts"))
-        .where("least <> most")
-        .select("gram", (F.col("texts") > plan.hot).alias("hot"))
-    )
+    shared = grams.groupBy("gram").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("texts"))
+    shared = cut(shared.where("least <> most").select("gram", "texts"))
+    # the places of a heavy hash are salted; at most HEAVY hashes have more than a HEAVY-th of all, so they may go to every task
+    total = shared.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
+    heavy = F.col("texts") > max(plan.hot, total // HEAVY)
+    salts = F.when(heavy, F.ceil(F.col("texts") / plan.hot)).otherwise(1).cast("int")
+    dealt = shared.select("gram", (F.col("texts") > plan.hot).alias("hot"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     places = (
         texts.mapInArrow(_place_rows(plan), "gram long, id long, key long, where long")
-        .join(shared, "gram")
+        .join(F.broadcast(shared.where(heavy).select("gram", salts.alias("salts"))), "gram", "left")
+        .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "where"), F.col("salts")), F.lit(0)).cast("int"))
+        .join(dealt, ["gram", "salt"])
         .groupBy("id", "key")
         .agg(F.collect_list(F.struct("gram", "where", "hot")).alias("places"))
     )
