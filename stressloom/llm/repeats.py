@@ -234,6 +234,8 @@ def mark_with_fm_index(plan: Plan) -> Callable[[dict[bytes, list]], np.ndarray]:
         for segment, stands in segments.items():
             where = np.frombuffer(b"".join(stands), dtype=np.int64).reshape(-1, 3)
             where = where[np.lexsort((where[:, 2], where[:, 1], where[:, 0]))]
+            if len(where) > 1:  # rows that repeat an id and its text give a place more than once
+                where = where[np.r_[True, (where[1:] != where[:-1]).any(axis=1)]]
             if len(where) > 1:  # all but the first stand later as a whole
                 out.append(np.column_stack([where[1:], where[1:, 2] + segment.count(b" ") + 1 - w + 1]))
             items.append((*where[0].tolist(), segment))

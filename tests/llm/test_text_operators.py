@@ -87,6 +87,13 @@ def test_repeated_rows_and_null_ids(spark):
     assert near[1] is None and near[2] == 2
 
 
+def test_a_repeated_row_leaves_one_copy_whole(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = spark.createDataFrame([(1, long), (1, long), (5, f"x y {long} z")], "doc_id long, text string")
+    out = sorted(tuple(r)[:3] for r in fm_dedup.remove_later_repeats(rows).collect())
+    assert out == [(1, 200, 0), (1, 200, 200), (5, 203, 200)]
+
+
 @pytest.mark.parametrize(("words", "least"), [(3, 90), (5, 80)])
 def test_similar_texts(docs, texts, words, least):
     sets = []
