@@ -227,6 +227,24 @@ def test_classifiers_on_held_out_rows(labelled):
         assert (held[name] == held.predicted).mean() > 0.95
 
 
+def test_unlearned_languages_and_junk_are_rejected(spark):
+    rng = random.Random(4)
+    pieces = ["".join(rng.choice("etaoinsrhldu") for _ in range(2)) for _ in range(30)]
+    words = {x: ["".join(rng.choice(rng.sample(pieces, 18)) for _ in range(rng.randint(1, 4))) for _ in range(50)] for x in "abc"}
+    say = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    junk = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+    learn = [(i, say(x, 80), x) for i, x in enumerate("ab" * 40)]
+    model = language.learn_languages(spark.createDataFrame(learn, "doc_id long, text string, lang string"))
+    sizes = [8, 20, 80, 300] * 5
+    clean = [say(x, n) for x in "ab" for n in sizes]
+    other = [say("c", n) for n in sizes] + [junk(n) for n in sizes]
+    rows = spark.createDataFrame(list(enumerate(clean + other)), "doc_id long, text string")
+    for out in (language.identify_languages(rows, model), language.flag_rejected(rows, model)):
+        got = {r["doc_id"]: r["rejected"] for r in out.collect()}
+        assert not any(got[i] for i in range(len(clean)))
+        assert sum(got[i] for i in range(len(clean), len(got))) >= 0.9 * len(other)
+
+
 def test_offending_sentences_are_found(labelled):
     docs, labels = labelled
     model = toxicity.learn_toxicity(docs, labels.select("doc_id", F.col("toxic").alias("label")))
