@@ -12,80 +12,170 @@ from .components import components
 from .shared import cut, internal_id, public_id
 
 _WIDTH = 48  # hash bits that a pass concatenates
+_WIDEST = 512  # places that a window grows to
+_TILE = 4096  # classes of a block, where all pairs of a label are compared
+_MISSED = 0.001  # share of pairs at the least cosine that passes may be expected to miss
+_FEW = 20_000  # labels whose means may go to every task
 
 
-def _planes(dimension: int, passes: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64([dimension, passes])).standard_normal((dimension, passes * _WIDTH))
+def _planes(dimension: int, turn: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([dimension, turn])).standard_normal((dimension, _WIDTH))
 
 
-def _coded(passes: int):
-    """Vectors of one class each to (pass, label, code, class, copies, vector): the code joins sign hashes."""
+def effort(n: int, spread: float, least: float, passes: int, window: int) -> tuple[int, int]:
+    """Passes and window for a label of n classes, whose unit vectors have mean squared distance `spread` from their mean; no
+    passes: compare all pairs, in tiles.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        names = ["pass", "group", "code", "class", "copies", "vector"]
-        weights = np.int64(1) << np.arange(_WIDTH - 1, -1, -1, dtype=np.int64)
-        for batch in batches:
-            values = batch.column("embedding")
-            sizes = np.diff(np.asarray(values.offsets))
-            for d in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == d)
-                part = batch.take(pa.array(rows))
-                x = np.asarray(part.column("embedding").flatten(), dtype=np.float64).reshape(-1, d)
-                if d not in planes:
-                    planes[d] = _planes(d, passes)
-                bits = (x @ planes[d] >= 0).reshape(len(x), passes, _WIDTH)
-                codes = bits @ weights
-                vectors = pa.array([v.tobytes() for v in x], pa.binary())
-                for p in range(passes):
-                    yield pa.record_batch([pa.array(np.full(len(x), p, np.int32)), part.column("group"), pa.array(np.ascontiguousarray(codes[:, p])), part.column("class"), part.column("copies"), vectors], names)
+    Centred, two vectors at the least cosine have a cosine of about 1 - (1 - least) / spread. The window is the expected number of
+    classes that share so many bits that each pass has an even chance to keep such a pair together, between window and _WIDEST; where that
+    isn't enough, passes grow until at most _MISSED of such pairs are expected to be missed, or tiles send fewer copies of the vectors.
+    """
+    near = 1 - (1 - least) / spread if spread > 0 else -1.0
+    same = min(max(1 - np.arccos(np.clip(near, -1.0, 1.0)) / np.pi, 1e-9), 1 - 1e-9)
+    wide = int(np.clip(np.ceil(n * 2.0 ** (np.log(2) / np.log(same))), window, _WIDEST))
+    chance = min(same ** max(np.log2(n / wide), 0.0), 1 - 1e-9)
+    turns = max(passes, int(min(np.ceil(np.log(_MISSED) / np.log1p(-chance)), 1 << 30)))
+    return (0, wide) if turns > passes and -(-n // _TILE) <= turns else (turns, wide)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors to sums of unit vectors by group; a group may come more than once."""
+    held: dict[int, list] = {}
+
+    def out() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(held), pa.int64()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1].tobytes() for v in held.values()], pa.binary())], ["group", "n", "total"])
+
+    for batch in batches:
+        for group, v in zip(batch.column("group").to_pylist(), batch.column("embedding"), strict=True):
+            x = np.asarray(v.values, dtype=np.float64)
+            x = x / np.sqrt(x @ x)
+            if group in held:
+                held[group][0] += 1
+                held[group][1] += x
+            else:
+                held[group] = [1, x]
+        if len(held) > 4096:
+            yield out()
+            held = {}
+    if held:
+        yield out()
+
+
+def _plan(least: float, passes: int, window: int):
+    """Sums of one group to its mean and effort."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n = sum(table.column("n").to_pylist())
+        mean = sum(_unit(table.column("total").combine_chunks())) / n
+        turns, wide = effort(n, 1 - float(mean @ mean), least, passes, window)
+        return pa.table({"group": table.column("group")[:1], "n": pa.array([n], pa.int64()), "turns": pa.array([turns], pa.int32()), "wide": pa.array([wide], pa.int32()), "mean": pa.array([mean.tobytes()], pa.binary())})
 
     return run
 
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of one class each to (pass, group, code, class, wide, vector): the code joins sign hashes of the centred vector."""
+    planes: dict[tuple[int, int], np.ndarray] = {}
+    names = ["pass", "group", "code", "class", "wide", "vector"]
+    weights = np.int64(1) << np.arange(_WIDTH - 1, -1, -1, dtype=np.int64)
+    for batch in batches:
+        sizes = np.diff(np.asarray(batch.column("embedding").offsets))
+        for d in np.unique(sizes).tolist():
+            part = batch.take(pa.array(np.flatnonzero(sizes == d)))
+            x = np.asarray(part.column("embedding").flatten(), dtype=np.float64).reshape(-1, d)
+            vectors = pa.array([v.tobytes() for v in x], pa.binary())
+            centred = x / np.sqrt((x * x).sum(axis=1))[:, None] - np.array(_unit(part.column("mean")))
+            turns = part.column("turns").to_numpy()
+            for p in range(int(turns.max())):
+                if (d, p) not in planes:
+                    planes[d, p] = _planes(d, p)
+                rows = np.flatnonzero(turns > p)
+                codes = (centred[rows] @ planes[d, p] >= 0) @ weights
+                at = pa.array(rows)
+                yield pa.record_batch([pa.array(np.full(len(rows), p, np.int32)), part.column("group").take(at), pa.array(codes), part.column("class").take(at), part.column("wide").take(at), vectors.take(at)], names)
+
+
 def _unit(vectors: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(v.as_buffer(), dtype=np.float64) for v in vectors]
 
 
-def _neighbours(window: int, least: float):
-    """Rows in order of (pass, group, code) to the pairs within `window` places whose cosine reaches least."""
+def _matrix(vectors: list[np.ndarray]) -> np.ndarray:
+    """Unit vectors; shorter ones are padded."""
+    x = np.zeros((len(vectors), max(len(v) for v in vectors)))
+    for i, v in enumerate(vectors):
+        x[i, : len(v)] = v
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.column_stack([np.maximum(a, b), np.minimum(a, b)]), axis=0)
+    return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+
+
+def _neighbours(least: float):
+    """Rows in order of (pass, group, code) to the pairs within `wide` places whose cosine reaches least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: tuple[np.ndarray, ...] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = _unit(batch.column("vector"))
-            d = max(len(v) for v in vectors)
-            x = np.zeros((len(vectors), d))
-            for i, v in enumerate(vectors):
-                x[i, : len(v)] = v
-            x /= np.sqrt((x * x).sum(axis=1))[:, None]
-            keys = np.column_stack([batch.column("pass").to_numpy(), batch.column("group").to_numpy(), batch.column("class").to_numpy()])
-            done = 0
-            if tail is not None:
-                wide = max(d, tail[0].shape[1])
-                x = np.concatenate([np.pad(y, ((0, 0), (0, wide - y.shape[1]))) for y in (tail[0], x)])
-                keys = np.concatenate([tail[1], keys])
-                done = len(tail[0])
-            out = []
-            for gap in range(1, window + 1):
-                first = max(0, done - gap)
-                a, b = keys[first : len(keys) - gap], keys[first + gap :]
-                if not len(b):
-                    continue
-                near = np.flatnonzero((a[:, 0] == b[:, 0]) & (a[:, 1] == b[:, 1]) & (np.einsum("ij,ij->i", x[first : len(x) - gap], x[first + gap :]) >= least))
-                if len(near):
-                    out.append(np.column_stack([a[near, 2], b[near, 2]]))
-            tail = (x[-window:].copy(), keys[-window:].copy())
-            if out:
-                pairs = np.concatenate(out)
-                pairs = np.unique(np.column_stack([pairs.max(axis=1), pairs.min(axis=1)]), axis=0)
-                yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+        tail: tuple[np.ndarray, np.ndarray] | None = None
+        for whole in batches:
+            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                x = _matrix(_unit(batch.column("vector")))
+                keys = np.column_stack([batch.column("pass").to_numpy(), batch.column("group").to_numpy(), batch.column("class").to_numpy(), batch.column("wide").to_numpy()])
+                new = len(x)
+                if tail is not None:
+                    wide = max(x.shape[1], tail[0].shape[1])
+                    x = np.concatenate([np.pad(y, ((0, 0), (0, wide - y.shape[1]))) for y in (tail[0], x)])
+                    keys = np.concatenate([tail[1], keys])
+                reach = int(keys[-new:, 3].max())
+                first = max(0, len(x) - new - reach)
+                i, j = np.nonzero(x[-new:] @ x[first:].T >= least)
+                i, j = i + len(x) - new, j + first
+                good = (j < i) & (i - j <= keys[i, 3]) & (keys[i, 0] == keys[j, 0]) & (keys[i, 1] == keys[j, 1])
+                if good.any():
+                    yield _pair_rows(keys[i[good], 2], keys[j[good], 2])
+                tail = (x[-_WIDEST:].copy(), keys[-_WIDEST:].copy())
+
+    return run
+
+
+def _tile(least: float):
+    """Two blocks of a label (or one, when i = j) to the pairs whose cosine reaches least."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = _matrix(_unit(table.column("vector").combine_chunks()))
+        own, side = table.column("class").to_numpy(), table.column("side").to_numpy()
+        ask, told = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if table.column("i")[0] == table.column("j")[0]:
+            told = ask
+        found = [np.zeros((0, 2), np.int64)]
+        for k in range(0, len(ask), 256):
+            rows = ask[k : k + 256]
+            i, j = np.nonzero(x[rows] @ x[told].T >= least)
+            found.append(np.column_stack([own[rows[i]], own[told[j]]]))
+        pairs = np.concatenate(found)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        return pa.Table.from_batches([_pair_rows(pairs[:, 0], pairs[:, 1])])
 
     return run
 
 
+def _all_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """Links among all classes of each group, in tiles of two blocks."""
+    blocks = F.ceil(F.col("n") / F.lit(_TILE)).cast("int")
+    dealt = rows.withColumns({"own": F.pmod(F.xxhash64("class"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    # a class asks in the tiles of its block with later ones, and is told in those with earlier ones
+    dealt = dealt.select("group", "class", "embedding", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    binary = dealt.mapInArrow(_tile_rows, "group long, class long, i int, j int, side int, vector binary")
+    return binary.groupBy("group", "i", "j").applyInArrow(_tile(least), "a long, b long")
+
+
+def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["group", "class", "i", "j", "side"]
+    for batch in batches:
+        vectors = pa.array([np.asarray(v.values, dtype=np.float64).tobytes() for v in batch.column("embedding")], pa.binary())
+        yield pa.record_batch([*(batch.column(c) for c in names), vectors], [*names, "vector"])
+
+
 def _degrees(least: float):
     """Members of a component, or of two blocks of one (side 0 counts against all, side 1 is counted), to links per class."""
 
@@ -114,8 +204,9 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, passes: int = 10, w
     vectors: vec_id, embedding (array of float or double), label. Returns vec_id, n_links (other rows linked directly), component_id
     (smallest vec_id reachable), kept (vec_id = component_id); one row per row of vectors.
 
-    Equal vectors of one label are one class, all linked. Each pass orders the classes of a label by sign hashes joined to a code,
-    its own in each pass, and compares each with the next `window`; verified pairs of all passes are united. Links are then
+    Equal vectors of one label are one class, all linked. Each pass orders the classes of a label by sign hashes of the vectors less the
+    label's mean, joined to a code, its own in each pass, and compares each with the next `window`; both grow with the label's size and
+    crowding (see effort), and all pairs of a crowded label are compared. Verified pairs of all passes are united. Links are then
     counted among the members of each component: in one task up to `block` members; in larger ones the members within half the
     angle of the centre are linked without comparing, and only the others are compared with all, block by block.
 
@@ -130,9 +221,15 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, passes: int = 10, w
     group = F.xxhash64("label", F.size("embedding")).alias("group")
     good = rows.where("good").select("id", group, F.xxhash64("label", "embedding").alias("class"), "embedding")
     copies = good.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("group").alias("group"), F.first("embedding").alias("embedding"))
-    coded = copies.mapInArrow(_coded(passes), "pass int, group long, code long, class long, copies long, vector binary")
+    planned = copies.select("group", "embedding").mapInArrow(_sums, "group long, n long, total binary").groupBy("group")
+    planned = cut(planned.applyInArrow(_plan(least, passes, window), "group long, n long, turns int, wide int, mean binary").where("n > 1"))
+    placed = copies.select("group", "class", "embedding").join(F.broadcast(planned) if planned.count() <= _FEW else planned, "group")
+    coded = placed.where("turns > 0").mapInArrow(_coded, "pass int, group long, code long, class long, wide int, vector binary")
     ordered = coded.repartitionByRange("pass", "group", "code", "class").sortWithinPartitions("pass", "group", "code", "class")
-    links = cut(ordered.mapInArrow(_neighbours(window, least), "a long, b long").distinct())
+    links = ordered.mapInArrow(_neighbours(least), "a long, b long")
+    if planned.where("turns = 0").limit(1).count():
+        links = links.unionByName(_all_pairs(placed.where("turns = 0"), least))
+    links = cut(links.distinct())
     united = cut(components(links))
 
     sizes = united.groupBy("component").agg(F.count(F.lit(1)).alias("members"))

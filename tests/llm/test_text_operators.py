@@ -166,6 +166,22 @@ def test_embeddings(spark):
             assert got[i]["component_id"] == min(reach) and got[i]["kept"] == (i == min(reach))
 
 
+def test_links_in_a_crowded_label_are_found(spark):
+    rng = np.random.default_rng(8)
+    d, n = 64, 5000
+    # mean cosine of about 0.925, and 100 pairs that are the only links of their members
+    v = 1 + np.sqrt(0.075 / 0.925) * rng.standard_normal((n, d))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    twins = v[:100] + 0.018 * rng.standard_normal((100, d))
+    v = np.concatenate([v, twins / np.linalg.norm(twins, axis=1)[:, None]])
+    near = v @ v.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert near[np.arange(100), n + np.arange(100)].sum() > 50
+    frame = spark.createDataFrame([(i, x, 1) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.link_embeddings(frame).collect()}
+    assert [got[i] for i in range(len(v))] == near.sum(axis=1).tolist()
+
+
 def test_leaks_within_edits_only(spark):
     rng = random.Random(1)
     say = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n)).strip()
