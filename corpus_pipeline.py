@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stressloom.llm import decontam, jaccard, language, mixing, run_length_dedup
 from stressloom.llm.samples import fold
-from stressloom.llm.shared import cut, internal_id
+from stressloom.llm.shared import cut, internal_id, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -18,11 +18,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(~F.col("rejected")).select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row, written so that it stays the same: rows may share a doc_id or have none."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of least doc_id. Five words a shingle, similarity from 0.8."""
-    groups = jaccard.similar_texts(docs, jaccard.Similarity(words=5, at_least=80))
-    first = groups.where("n_shingles = 0 or doc_id <=> component_id").select(internal_id("doc_id").alias("_kept")).distinct()
-    return docs.join(first, internal_id("doc_id") == F.col("_kept"), "left_semi").select(*COLUMNS)
+    """One row of each group stays, that of least doc_id. Five words a shingle, similarity from 0.8.
+
+    A null doc_id comes before all others. Of rows that share the least doc_id, repeated rows among them, one stays, the first by a
+    hash of the text. Rows without a shingle are groups of their own.
+    """
+    rows = _numbered(docs)
+    groups = jaccard.similar_texts(rows.select(F.col("_row").alias("doc_id"), "text"), jaccard.Similarity(words=5, at_least=80))
+    known = rows.select("_row", internal_id("doc_id").alias("id"), text_key().alias("key"))
+    first = groups.select(F.col("doc_id").alias("_row"), "component_id").join(known, "_row").groupBy("component_id").agg(F.min(F.struct("id", "key", "_row")).alias("first"))
+    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +44,10 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontam.decontaminate(docs, leaks).select(*COLUMNS)
+    """Rows that hold a benchmark item go, and no others that share their doc_id or have none like them."""
+    rows = _numbered(docs)
+    leaks = decontam.find_leaks(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(leaks.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
