@@ -3,32 +3,67 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.cuts import cut
+from ..plans.cuts import cut, numbered
 from .graph import mirrored
 
 #: Edges, both ways, that may be sent to every task.
 MOST_BROADCAST = 20_000_000
 
 
-def _search(offsets: np.ndarray, targets: np.ndarray, source: int, seen: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The nodes at each distance from source. seen holds the last source that reached a node."""
-    seen[source] = source
-    front = np.array([source])
+#: Sources that one search takes together, a bit each.
+_TOGETHER = 64
+
+
+def _search(offsets: np.ndarray, targets: np.ndarray, sources: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(distance, nodes, masks) of the nodes that are met at each distance, with a bit for each of at most 64 sources that meets them there. Only
+    nodes met in the last step are looked at in the next."""
+    n = len(offsets) - 1
+    seen, met = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+    np.bitwise_or.at(seen, sources, np.uint64(1) << np.arange(len(sources), dtype=np.uint64))
+    front = np.unique(sources)
+    mask = seen[front]
     d = 0
     while len(front):
         d += 1
         count = offsets[front + 1] - offsets[front]
         at = np.repeat(offsets[front] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        found = targets[at]
-        front = np.unique(found[seen[found] != source])
-        seen[front] = source
+        to = targets[at]
+        np.bitwise_or.at(met, to, np.repeat(mask, count))
+        if len(to) > n:
+            front = np.flatnonzero(met)
+        else:
+            front = np.unique(to)
+        mask = met[front] & ~seen[front]
+        met[front] = 0
+        fresh = mask != 0
+        front, mask = front[fresh], mask[fresh]
+        seen[front] |= mask
         if len(front):
-            yield d, front
+            yield d, front, mask
+
+
+def _adjacency(edges: DataFrame, n: int):
+    """The neighbours of each node as two arrays, sent to every task; None above MOST_BROADCAST."""
+    count = edges.count()
+    if 2 * count > MOST_BROADCAST:
+        return None
+    rows = mirrored(edges).toArrow() if count else pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64())})
+    src, dst = rows.column("src").to_numpy(), rows.column("dst").to_numpy()
+    by = np.argsort(src, kind="stable")
+    return edges.sparkSession.sparkContext.broadcast((np.searchsorted(src[by], np.arange(n + 1)), dst[by].astype(np.int32)))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for i in range(0, len(ids), _TOGETHER):
+            yield ids[i : i + _TOGETHER]
 
 
 def all_pairs(edges: DataFrame, n: int, sources: list[int] | None = None) -> DataFrame:
@@ -38,49 +73,63 @@ def all_pairs(edges: DataFrame, n: int, sources: list[int] | None = None) -> Dat
     MOST_BROADCAST the distances come from a loop of joins instead.
     """
     spark = edges.sparkSession
-    count = edges.count()
-    if 2 * count > MOST_BROADCAST:
+    shared = _adjacency(edges, n)
+    if shared is None:
         return all_pairs_by_joins(edges, n, sources)
-    rows = mirrored(edges).toArrow() if count else pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64())})
-    src, dst = rows.column("src").to_numpy(), rows.column("dst").to_numpy()
-    by = np.argsort(src, kind="stable")
-    offsets = np.searchsorted(src[by], np.arange(n + 1))
-    shared = spark.sparkContext.broadcast((offsets, dst[by]))
     upper = sources is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, targets = shared.value
-        seen = np.full(n, -1, dtype=np.int64)
-        for batch in batches:
-            for source in batch.column(0).to_pylist():
-                v, d = [], []
-                for distance, front in _search(offsets, targets, source, seen):
-                    front = front[front > source] if upper else front
-                    v.append(front)
-                    d.append(np.full(len(front), distance, dtype=np.int32))
-                if v:
-                    v, d = np.concatenate(v), np.concatenate(d)
-                    yield pa.record_batch([pa.array(np.full(len(v), source, dtype=np.int64)), pa.array(v), pa.array(d)], ["u", "v", "d"])
-
-    start = spark.range(n) if upper else spark.createDataFrame([(s,) for s in sources], "id long")
+        for own in _groups(batches):
+            for d, nodes, masks in _search(offsets, targets, own):
+                for i in range(0, len(nodes), 1 << 14):
+                    bits = np.unpackbits(masks[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, : len(own)]
+                    row, source = np.nonzero(bits)
+                    u, v = own[source], nodes[i + row].astype(np.int64)
+                    if upper:
+                        u, v = u[u < v], v[u < v]
+                    if len(u):
+                        yield pa.record_batch([pa.array(u), pa.array(v), pa.array(np.full(len(u), d, dtype=np.int32))], ["u", "v", "d"])
+
+    start = spark.range(n) if upper else spark.createDataFrame([(s,) for s in dict.fromkeys(sources)], "id long")
     return start.mapInArrow(run, "u long, v long, d int")
 
 
+def histogram(edges: DataFrame, n: int) -> DataFrame:
+    """(d, n_pairs): pairs u < v at each distance, counted where they are found."""
+    shared = _adjacency(edges, n)
+    if shared is None:
+        return all_pairs_by_joins(edges, n).groupBy("d").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offsets, targets = shared.value
+        counts: dict[int, int] = {}
+        for own in _groups(batches):
+            for d, _, masks in _search(offsets, targets, own):
+                counts[d] = counts.get(d, 0) + int(np.bitwise_count(masks).sum(dtype=np.int64))
+        yield pa.record_batch([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["d", "n"])
+
+    found = edges.sparkSession.range(n).mapInArrow(run, "d int, n long")
+    # each pair is found from both of its ends
+    return found.groupBy("d").agg((F.sum("n") / 2).cast("long").alias("n_pairs"))
+
+
 def all_pairs_by_joins(edges: DataFrame, n: int, sources: list[int] | None = None) -> DataFrame:
-    """The same by frontiers: join with the edges, leave out what was reached, until nothing is new."""
+    """The same by frontiers: join with the edges, until nothing is new. A neighbour of a node at distance d is at
+    d - 1, d or d + 1, so a step is compared with the last two frontiers only, and each is written once."""
     spark = edges.sparkSession
     both = cut(mirrored(edges))
     start = spark.range(n) if sources is None else spark.createDataFrame([(s,) for s in sources], "id long")
-    front = reached = cut(start.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0).alias("d")))
-    d = 0
+    front = cut(start.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0).alias("d")))
+    before, reached = front.limit(0), [front]
     while True:
-        d += 1
         step = front.join(both, front["v"] == both["src"]).select("u", F.col("dst").alias("v")).distinct()
-        front = cut(step.join(reached, ["u", "v"], "left_anti").withColumn("d", F.lit(d)))
+        known = before.select("u", "v").unionByName(front.select("u", "v"))
+        before, front = front, cut(step.join(known, ["u", "v"], "left_anti").withColumn("d", F.lit(len(reached))))
         if not front.limit(1).count():
             break
-        reached = cut(reached.unionByName(front))
-    return reached.where("u < v" if sources is None else "d > 0")
+        reached.append(front)
+    return reduce(DataFrame.unionByName, reached).where("u < v" if sources is None else "d > 0")
 
 
 def pair_table(distances: DataFrame) -> DataFrame:
@@ -93,3 +142,13 @@ def extrema(pairs: DataFrame) -> DataFrame:
     """One row: dmin, dmax, wmin, wmax; nulls without pairs."""
     out = pairs.agg(F.min("dij").alias("dmin"), F.max("dij").alias("dmax"))
     return out.select("dmin", "dmax", (1.0 / (F.col("dmax") * F.col("dmax"))).alias("wmin"), (1.0 / (F.col("dmin") * F.col("dmin"))).alias("wmax"))
+
+
+def indexed(pairs: DataFrame) -> DataFrame:
+    """Pairs with pair_idx, from 0 in the order of (u, v)."""
+    return numbered(pairs, "pair_idx", "u", "v")
+
+
+def narrowed(pairs: DataFrame) -> DataFrame:
+    """Pairs in half the bytes: int ids, single-precision distances and weights."""
+    return pairs.select(F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), F.col("dij").cast("float").alias("dij"), F.col("wij").cast("float").alias("wij"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..plans.cuts import cut
+from ..plans.cuts import cut, numbered
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def relabel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Dense ids from 0 in the order of the old ones: nodes (node_id, orig_label) and the edges by them."""
-    labels = nodes_of(edges).select((F.row_number().over(Window.orderBy("node_id")) - 1).cast("long").alias("new_id"), F.col("node_id").alias("orig_label"))
+    labels = numbered(nodes_of(edges).withColumnRenamed("node_id", "orig_label"), "new_id", "orig_label").select("new_id", "orig_label")
     out = edges.select("src", "dst")
     for side in ("src", "dst"):
         out = out.join(labels.select(F.col("orig_label").alias(side), F.col("new_id").alias(f"_{side}")), side)

@@ -7,16 +7,22 @@ in a shuffled order), "tiles" (disjoint tiles of two node blocks in parallel, a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import hash_position
-from .schedule import tile_rounds
+from ..functions import hash_position, hash_uniform
+from ..plans.cuts import cut
+from .schedule import in_block, tile_round
 
-_NEAR = 1e-12
+_log = logging.getLogger(__name__)
+#: Nodes nearer than this coincide, and are taken as _APART from each other in x and y.
+_NEAR, _APART = 1e-12, 1e-6
+#: Nodes of a component whose pairs one task may hold: 200 MB of them.
+ONE_TASK = 5_000
 
 
 def start_positions(nodes: DataFrame, seed: int = 0) -> DataFrame:
@@ -29,15 +35,27 @@ def centred(positions: DataFrame) -> DataFrame:
     return positions.crossJoin(F.broadcast(mean)).select("node_id", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
 
 
-def pair_deltas(pairs: DataFrame, positions: DataFrame, eta: float) -> DataFrame:
-    """(node_id, dx, dy): the step of each pair on both of its nodes, from one snapshot of positions."""
+def _parted(dx: Column, dy: Column, u: Column, v: Column, guard: str, seed: int) -> tuple[Column, Column]:
+    """Differences, where coincident nodes are taken as _APART from each other: in a fixed direction, or at an angle that the pair's hash draws."""
+    close = F.sqrt(dx * dx + dy * dy) < _NEAR
+    if guard == "angle":
+        angle = hash_uniform(u, v, seed) * (2.0 * math.pi)
+        apart = F.cos(angle) * _APART, F.sin(angle) * _APART
+    else:
+        apart = F.lit(_APART), F.lit(_APART)
+    return F.when(close, apart[0]).otherwise(dx), F.when(close, apart[1]).otherwise(dy)
+
+
+def pair_deltas(pairs: DataFrame, positions: DataFrame, eta: float, guard: str = "fixed", seed: int = 0) -> DataFrame:
+    """(node_id, dx, dy): the step of each pair on both of its nodes, from one snapshot of positions. guard: how coincident nodes part, "fixed" as in the
+    kernels, or "angle"."""
     at = lambda c: positions.select(F.col("node_id").alias(c), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}"))
     rows = pairs.join(at("u"), "u").join(at("v"), "v")
-    dx, dy = F.col("xu") - F.col("xv"), F.col("yu") - F.col("yv")
-    norm = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(_NEAR))
+    dx, dy = _parted(F.col("xv") - F.col("xu"), F.col("yv") - F.col("yu"), F.col("u"), F.col("v"), guard, seed)
+    norm = F.sqrt(dx * dx + dy * dy)
     step = F.least(F.col("wij") * eta, F.lit(1.0)) * ((norm - F.col("dij")) / 2.0)
     rows = rows.select("u", "v", (step * (dx / norm)).alias("sx"), (step * (dy / norm)).alias("sy"))
-    both = F.explode(F.array(F.struct(F.col("u").alias("node_id"), (-F.col("sx")).alias("dx"), (-F.col("sy")).alias("dy")), F.struct(F.col("v").alias("node_id"), F.col("sx").alias("dx"), F.col("sy").alias("dy"))))
+    both = F.explode(F.array(F.struct(F.col("u").alias("node_id"), F.col("sx").alias("dx"), F.col("sy").alias("dy")), F.struct(F.col("v").alias("node_id"), (-F.col("sx")).alias("dx"), (-F.col("sy")).alias("dy"))))
     return rows.select(both.alias("e")).select("e.*")
 
 
@@ -48,51 +66,44 @@ def scatter_add(positions: DataFrame, deltas: DataFrame) -> DataFrame:
 
 
 def _step(p: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray, eta: float) -> None:
-    """Move the disjoint pairs (a, b) towards their distances d. Coincident nodes part in a fixed direction."""
+    """Move the disjoint pairs (a, b), a before b, towards their distances d. Coincident nodes part in a fixed direction."""
     delta = p[b] - p[a]
     norm = np.sqrt((delta * delta).sum(axis=1))
     close = norm < _NEAR
     if close.any():
-        delta[close] = 1e-6
-        norm[close] = np.sqrt(2.0) * 1e-6
+        delta[close] = _APART
+        norm[close] = np.sqrt(2.0) * _APART
     move = (np.minimum(eta / (d * d), 1.0) * ((norm - d) / 2.0))[:, None] * (delta / norm[:, None])
     p[a] += move
     p[b] -= move
 
 
-def _circle(n: int, r: int) -> tuple[np.ndarray, np.ndarray]:
-    turn = n + n % 2 - 1
-    k = np.arange(1, (turn + 1) // 2)
-    a, b = np.r_[turn, (r + k) % turn], np.r_[r, (r + turn - k) % turn]
-    good = (a < n) & (b < n)
-    return a[good], b[good]
+def _rounds(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """The round of each pair, as schedule.round_of has it, and how many there are."""
+    m = n if n % 2 else n - 1
+    r = (u.astype(np.int64) + v) * ((m + 1) // 2) % max(m, 1)
+    return (r if n % 2 else np.where(v == n - 1, u, r)), m
 
 
-def _refine(p: np.ndarray, d: np.ndarray, etas: list[float], strategy: str, order: str, seed: int, log: list | None, ids: np.ndarray) -> None:
-    """d: distances among the nodes of p, 0 where no path is."""
-    n = len(p)
+def _refine(p: np.ndarray, u: np.ndarray, v: np.ndarray, d: np.ndarray, etas: list[float], strategy: str, order: str, seed: int, log: list | None, ids: np.ndarray) -> None:
+    """u < v: places in p of the pairs, in order; d: their distances."""
     random = np.random.Generator(np.random.PCG64([seed, int(ids[0])]))
     if strategy == "sequential":
-        u, v = np.nonzero(np.triu(d, 1))
-        far = d[u, v].astype(np.float64)
+        begin, turns = np.arange(len(u) + 1), len(u)
+    else:
+        of, turns = _rounds(u, v, len(p))
+        by = np.argsort(of, kind="stable")
+        u, v, d = u[by], v[by], d[by]
+        begin = np.searchsorted(of[by], np.arange(turns + 1))
     for t, eta in enumerate(etas):
-        if strategy == "sequential":
-            for i in random.permutation(len(u)) if order == "shuffled" else range(len(u)):
-                if log is not None:
-                    log.append((t, ids[u[i]], ids[v[i]], *p[u[i]], *p[v[i]]))
-                _step(p, u[i : i + 1], v[i : i + 1], far[i : i + 1], eta)
-            continue
-        turns = n + n % 2 - 1
         for r in random.permutation(turns).tolist() if order == "shuffled" else range(turns):
-            a, b = _circle(n, r)
-            own = d[a, b]
-            a, b, own = a[own > 0], b[own > 0], own[own > 0].astype(np.float64)
+            at = slice(begin[r], begin[r + 1])
+            a, b = u[at], v[at]
             if not len(a):
                 continue
             if log is not None:
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                log += list(zip([t] * len(a), ids[low].tolist(), ids[high].tolist(), *p[low].T.tolist(), *p[high].T.tolist(), strict=True))
-            _step(p, a, b, own, eta)
+                log.append((np.full(len(a), t, np.int32), ids[a], ids[b], p[a], p[b]))
+            _step(p, a, b, d[at], eta)
 
 
 def _component_kernel(etas: list[float], strategy: str, order: str, seed: int, audit: bool):
@@ -103,18 +114,17 @@ def _component_kernel(etas: list[float], strategy: str, order: str, seed: int, a
         by = np.argsort(ids)
         ids = ids[by]
         p = np.column_stack([places.column(c).to_numpy() for c in "xy"])[by].astype(np.float64)
-        d = np.zeros((len(ids), len(ids)), dtype=np.uint16)
-        u, v = np.searchsorted(ids, pairs.column("u").to_numpy()), np.searchsorted(ids, pairs.column("v").to_numpy())
-        d[u, v] = d[v, u] = pairs.column("dij").to_numpy().astype(np.uint16)
+        u, v = (np.searchsorted(ids, pairs.column(c).to_numpy()).astype(np.int32) for c in "uv")
+        far = pairs.column("dij").to_numpy().astype(np.float64)
+        by = np.lexsort((v, u))
         log: list | None = [] if audit else None
         if len(ids):
-            _refine(p, d, etas, strategy, order, seed, log, ids)
+            _refine(p, u[by], v[by], far[by], etas, strategy, order, seed, log, ids)
         if log is not None:
-            cols = list(zip(*log, strict=True)) if log else [[]] * 7
-            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
-            names = ["iteration", "u", "v", "xi", "yi", "xj", "yj"]
-            out = {"iteration": pa.array(cols[0], kinds[0]), "record_idx": pa.array(range(len(log)), pa.int64())}
-            return pa.table(out | {n: pa.array(c, k) for n, c, k in zip(names[1:], cols[1:], kinds[1:], strict=True)})
+            none = (np.zeros(0, np.int32), ids[:0], ids[:0], p[:0], p[:0])
+            t, a, b, pa_, pb = (np.concatenate(x) for x in zip(*(log or [none]), strict=True))
+            cols = [t, np.arange(len(t)), a, b, *(np.ascontiguousarray(x[:, i]) for x in (pa_, pb) for i in (0, 1))]
+            return pa.table(dict(zip(["iteration", "record_idx", "u", "v", "xi", "yi", "xj", "yj"], cols, strict=True)))
         return pa.table({"node_id": ids, "x": np.ascontiguousarray(p[:, 0]), "y": np.ascontiguousarray(p[:, 1])})
 
     return run
@@ -123,13 +133,16 @@ def _component_kernel(etas: list[float], strategy: str, order: str, seed: int, a
 AUDIT = "iteration int, record_idx long, u long, v long, xi double, yi double, xj double, yj double"
 
 
-def refine(pairs: DataFrame, positions: DataFrame, components: DataFrame, etas: list[float], strategy: str = "rounds", order: str = "shuffled", seed: int = 0, block: int = 1024, audit: bool = False) -> DataFrame:
-    """New positions (node_id, x, y), or with audit a row per step with the positions before it.
+def refine(pairs: DataFrame, positions: DataFrame, components: DataFrame, etas: list[float], strategy: str = "auto", order: str = "shuffled", seed: int = 0, block: int = 1024, audit: bool = False) -> DataFrame:
+    """New positions (node_id, x, y), or with audit a row per step with the positions before it; record_idx counts the steps of a component.
 
     Layouts of components don't touch, so each is a group of its own; rates are global. order: "shuffled" by the
-    seed, or "fixed". A node outside `components` is alone and stays. A component's distances are held by its task as 2 bytes a pair; for larger ones
-    take "tiles".
+    seed, or "fixed". A node outside `components` is alone and stays. With "rounds" and "sequential" a component's pairs are held by its task, 16 bytes each;
+    "auto" takes "rounds" where no component has more than ONE_TASK nodes, and "tiles" beyond.
     """
+    if strategy == "auto":
+        largest = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        strategy = "tiles" if (largest or 0) > ONE_TASK and not audit else "rounds"
     if strategy == "tiles":
         return _refine_tiles(pairs, positions, etas, seed, block, order)
     if strategy not in ("rounds", "sequential"):
@@ -142,6 +155,12 @@ def refine(pairs: DataFrame, positions: DataFrame, components: DataFrame, etas:
     return grouped.groupBy("component").cogroup(places.groupBy("component")).applyInArrow(kernel, schema)
 
 
+def audit_pairs(log: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Log rows with pair_idx, by which they join their pairs (pair_idx, u, v, dij, wij)."""
+    marked = log.join(pairs.select("u", "v", "pair_idx"), ["u", "v"]).drop("u", "v")
+    return marked.join(pairs, "pair_idx")
+
+
 def _tile_kernel(positions, etas_at: float, seed: list[int], shuffled: bool):
     def run(table: pa.Table) -> pa.Table:
         nodes, p = positions.value
@@ -151,13 +170,9 @@ def _tile_kernel(positions, etas_at: float, seed: list[int], shuffled: bool):
         own, at = np.unique(np.r_[u, v], return_inverse=True)
         local = p[own]
         a, b = at[: len(u)], at[len(u) :]
-        # sub-rounds: inside a block by the circle, across two blocks by the difference of places along the longer one
+        # sub-rounds: inside a block by _rounds, across two blocks by the difference of places along the longer one
         if i == j:
-            n = len(own)
-            turn = n + n % 2 - 1
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            sub = np.where(high == turn, low, (low + high) * ((turn + 1) // 2) % max(turn, 1)) if n % 2 == 0 else (low + high) * ((turn + 1) // 2) % max(turn, 1)
-            turns = turn
+            sub, turns = _rounds(np.minimum(a, b), np.maximum(a, b), len(own))
         else:
             left, right = np.unique(a), np.unique(b)
             turns = max(len(left), len(right))
@@ -175,15 +190,15 @@ def _tile_kernel(positions, etas_at: float, seed: list[int], shuffled: bool):
 
 
 def _refine_tiles(pairs: DataFrame, positions: DataFrame, etas: list[float], seed: int, block: int, order: str) -> DataFrame:
-    """Only positions, two doubles a node, pass through the driver; pairs stay in a table by round and tile."""
-    from ..plans.cuts import cut
-
+    """Only positions, two doubles a node, pass through the driver; pairs stay in a table that is parted by round, so that a job reads
+    its own round's pairs and no others."""
     spark = pairs.sparkSession
     table = positions.orderBy("node_id").toArrow()
     nodes, p = table.column("node_id").to_numpy(), np.column_stack([table.column(c).to_numpy() for c in "xy"]).astype(np.float64)
     blocks = max(1, -(-int(nodes.max() + 1) // block)) if len(nodes) else 1
-    tiles = tile_rounds(spark, blocks)
-    dealt = cut(pairs.withColumn("bi", F.floor(F.col("u") / block).cast("int")).withColumn("bj", F.floor(F.col("v") / block).cast("int")).join(F.broadcast(tiles), ["bi", "bj"]))
+    (bi, _), (bj, _) = in_block(F.col("u"), block), in_block(F.col("v"), block)
+    dealt = pairs.select("u", "v", "dij", bi.alias("bi"), bj.alias("bj"))
+    dealt = cut(dealt.withColumn("round", tile_round(F.col("bi"), F.col("bj"), blocks)).repartition("round", "bi", "bj"), "round")
     rounds = [r[0] for r in dealt.select("round").distinct().orderBy("round").collect()]
     random = np.random.Generator(np.random.PCG64(seed))
     for t, eta in enumerate(etas):
@@ -195,4 +210,5 @@ def _refine_tiles(pairs: DataFrame, positions: DataFrame, etas: list[float], see
             p = p.copy()
             p[at] = np.column_stack([moved.column(c).to_numpy() for c in "xy"])
             shared.destroy()
+        _log.info("sweep %d of %d: %d rounds at rate %.6g", t + 1, len(etas), len(rounds), eta)
     return spark.createDataFrame(pa.table({"node_id": nodes, "x": np.ascontiguousarray(p[:, 0]), "y": np.ascontiguousarray(p[:, 1])}))

@@ -35,10 +35,11 @@ def to_pixels(square: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def edge_vertices(edges: DataFrame, positions: DataFrame, columns: tuple[str, str] = ("x", "y")) -> DataFrame:
-    """Edges with the coordinates of both ends: (src, dst, x0, y0, x1, y1)."""
-    x, y = columns
-    at = lambda c, i: positions.select(F.col("node_id").alias(c), F.col(x).alias(f"x{i}"), F.col(y).alias(f"y{i}"))
-    return edges.join(at("src", 0), "src").join(at("dst", 1), "dst").select("src", "dst", "x0", "y0", "x1", "y1")
+    """Edges with the coordinates of both ends: (src, dst, x0, y0, x1, y1). An edge to a node without a position is an error."""
+    at = lambda c: positions.select(F.col("node_id").alias(c), F.struct(*columns).alias(f"at_{c}"))
+    rows = edges.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+    place = lambda c, i: F.coalesce(F.col(f"at_{c}"), F.raise_error(F.concat(F.lit("no position of node "), F.col(c).cast("string"))))[columns[i]]
+    return rows.select("src", "dst", place("src", 0).alias("x0"), place("src", 1).alias("y0"), place("dst", 0).alias("x1"), place("dst", 1).alias("y1"))
 
 
 def edge_pixels(edges: DataFrame, pixels: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def learning_rates(extremes: DataFrame, iterations: int = 15, epsilon: float = 0.1) -> DataFrame:
@@ -15,28 +15,50 @@ def learning_rates(extremes: DataFrame, iterations: int = 15, epsilon: float = 0
     return rows.select("t", (high * F.exp(-fall * F.col("t"))).alias("eta"))
 
 
+def round_of(u: Column, v: Column, n: int) -> Column:
+    """The round of a pair u < v of 0 .. n - 1: an odd number m of seats gives the pair half of u + v, modulo m; with n even the
+    last node has no seat and meets each other node in the round of that node's number."""
+    m = n if n % 2 else n - 1
+    half = ((u + v) * ((m + 1) // 2)) % max(m, 1)
+    return half if n % 2 else F.when(v == n - 1, u).otherwise(half)
+
+
 def circle_rounds(spark: SparkSession, n: int) -> DataFrame:
-    """(round, u, v), u < v: every pair of 0 .. n - 1 once, each node once a round at most. One seat stays while the others
-    move around it; an odd n has an empty seat."""
-    seats = n + n % 2
-    turn = seats - 1
-    rows = spark.range(max(turn, 0)).select(F.col("id").alias("round")).crossJoin(spark.range(seats // 2).select(F.col("id").alias("k")))
-    a = F.when(F.col("k") == 0, turn).otherwise((F.col("round") + F.col("k")) % max(turn, 1))
-    b = F.when(F.col("k") == 0, F.col("round")).otherwise((F.col("round") + turn - F.col("k")) % max(turn, 1))
-    rows = rows.select(F.col("round").cast("int").alias("round"), F.least(a, b).cast("long").alias("u"), F.greatest(a, b).cast("long").alias("v"))
-    return rows.where(f"v < {n}")
+    """(round, u, v), u < v: every pair of 0 .. n - 1 once, each node once a round at most."""
+    first = spark.range(max(n - 1, 0)).select(F.col("id").alias("u"))
+    pairs = first.withColumn("v", F.explode(F.sequence(F.col("u") + 1, F.lit(n - 1).cast("long"))))
+    return pairs.select(round_of(F.col("u"), F.col("v"), n).cast("int").alias("round"), "u", "v")
 
 
-def tile_rounds(spark: SparkSession, blocks: int) -> DataFrame:
-    """(round, bi, bj), bi <= bj: every tile once. Tiles of two blocks first, by circle rounds; then each block with itself,
-    as many a round as there are tiles in a circle round."""
-    across = circle_rounds(spark, blocks).select("round", F.col("u").cast("int").alias("bi"), F.col("v").cast("int").alias("bj"))
+def tile_round(bi: Column, bj: Column, blocks: int) -> Column:
+    """The round of tile bi <= bj: tiles of two blocks by round_of; after them each block with itself,
+    as many a round as there are tiles in a round of two."""
     circle = blocks + blocks % 2 - 1 if blocks > 1 else 0
-    width = max(1, blocks // 2)
-    own = spark.range(blocks).select((F.lit(circle) + F.floor(F.col("id") / width)).cast("int").alias("round"), F.col("id").cast("int").alias("bi"), F.col("id").cast("int").alias("bj"))
-    return across.unionByName(own)
+    return F.when(bi == bj, F.lit(circle) + F.floor(bi / max(1, blocks // 2))).otherwise(round_of(bi, bj, blocks)).cast("int")
+
+
+def tile_rounds(spark: SparkSession, blocks: int) -> DataFrame:
+    """(round, bi, bj), bi <= bj: every tile once, in the round of tile_round."""
+    tiles = spark.range(blocks).select(F.col("id").cast("int").alias("bi")).withColumn("bj", F.explode(F.sequence(F.col("bi"), F.lit(blocks - 1))))
+    return tiles.select(tile_round(F.col("bi"), F.col("bj"), blocks).alias("round"), "bi", "bj")
+
+
+def most_tiles(tiles: DataFrame) -> DataFrame:
+    """One row: the most tiles that a round has."""
+    return tiles.groupBy("round").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most_tiles"))
+
+
+def tile_shapes(tiles: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Tiles with the lengths of both of their blocks: (round, bi, bj, li, lj)."""
+    of = lambda c, name: F.broadcast(lengths.select(F.col("b").alias(c), F.col("len").alias(name)))  # noqa: E731  a row a block
+    return tiles.join(of("bi", "li"), "bi").join(of("bj", "lj"), "bj").select("round", "bi", "bj", "li", "lj")
 
 
 def block_lengths(spark: SparkSession, n: int, size: int) -> DataFrame:
     """(b, start, len): blocks of `size` nodes, the last one shorter."""
     return spark.range(-(-n // size)).select(F.col("id").cast("int").alias("b"), (F.col("id") * size).alias("start"), F.least(F.lit(size), n - F.col("id") * size).cast("int").alias("len"))
+
+
+def in_block(node: Column, size: int) -> tuple[Column, Column]:
+    """A node's block and its place there."""
+    return F.floor(node / size).cast("int").alias("b"), F.pmod(node, F.lit(size)).cast("int").alias("place")

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def stress(pairs: DataFrame, positions: DataFrame, half: bool = False) -> DataFrame:
-    """One row: the sum of wij * (length - dij)^2 over pairs u < v, or half of it."""
-    at = lambda c: positions.select(F.col("node_id").alias(c), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}"))
-    rows = pairs.join(at("u"), "u").join(at("v"), "v")
+    """One row: the sum of wij * (length - dij)^2 over pairs u < v, or half of it. A pair of a node without a position is an error."""
+    at = lambda c: positions.select(F.col("node_id").alias(c), F.struct("x", "y").alias(f"at{c}"))
+    rows = pairs.join(at("u"), "u", "left").join(at("v"), "v", "left")
+    place = lambda c, i: F.coalesce(F.col(f"at{c}"), F.raise_error(F.concat(F.lit("no position of node "), F.col(c).cast("string"))))[i].alias(f"{i}{c}")
+    rows = rows.select("dij", "wij", *(place(c, i) for c in "uv" for i in "xy"))
     dx, dy = F.col("xu") - F.col("xv"), F.col("yu") - F.col("yv")
     off = F.sqrt(dx * dx + dy * dy) - F.col("dij")
     return rows.agg(F.coalesce(F.sum((0.5 if half else 1.0) * F.col("wij") * off * off), F.lit(0.0)).alias("stress"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import sinks, sources
 from .functions import rounded
 from .operators import distance, graph, layout, render, schedule, stress
-from .plans.layout import lay_out, prepare, quality
+from .plans.layout import lay_out, measured, prepare, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,7 +101,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(_forest(spark, sf_dir)[0])
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, 1000000000 + l_partkey AS b FROM lineitem WHERE l_quantity >= 50)
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, 1000000000 + l_partkey AS b FROM lineitem)
 SELECT count(*)::BIGINT AS n_edges, count(DISTINCT a)::BIGINT AS n_suppliers, count(DISTINCT b)::BIGINT AS n_parts FROM e""")
 def supply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph.canonical_edges(sources.supply(spark, sf_dir))
@@ -135,7 +135,12 @@ def apsp_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FOREST_DIST} SELECT d, count(*)::BIGINT AS n_pairs FROM dist GROUP BY d")
 def distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.all_pairs(*_forest(spark, sf_dir)).groupBy("d").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return distance.histogram(*_forest(spark, sf_dir))
+
+
+@query(f"{FOREST_DIST} SELECT u::INT AS u, v::INT AS v, dij::FLOAT AS dij, wij::FLOAT AS wij FROM pairs")
+def pairs_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.narrowed(distance.pair_table(distance.all_pairs(*_forest(spark, sf_dir))))
 
 
 @query(f"{GEO_DIST} SELECT u, v, dij, wij FROM pairs")
@@ -194,11 +199,9 @@ def stress_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("status", rounded(F.col("stress"), 4).alias("stress"), "n_components")
 
 
-CIRCLE = """seats AS (SELECT {n} AS n, {n} + {n} % 2 AS ne), circle AS (
-  SELECT r AS round, least(a, b)::BIGINT AS u, greatest(a, b)::BIGINT AS v FROM (
-    SELECT r, n, CASE WHEN k = 0 THEN ne - 1 ELSE (r + k) % (ne - 1) END AS a, CASE WHEN k = 0 THEN r ELSE (r + ne - 1 - k) % (ne - 1) END AS b
-    FROM (SELECT n, ne, r, unnest(range(0, ne // 2)) AS k FROM (SELECT n, ne, unnest(range(0, ne - 1)) AS r FROM seats)))
-  WHERE a < n AND b < n)"""
+CIRCLE = """circle AS (
+  SELECT CASE WHEN n % 2 = 0 AND v = n - 1 THEN u ELSE (u + v) * ((m + 1) // 2) % m END AS round, u, v
+  FROM (SELECT {n} AS n, {n} - 1 + {n} % 2 AS m, u, v FROM (SELECT unnest(range({n}))::BIGINT AS u), (SELECT unnest(range({n}))::BIGINT AS v) WHERE u < v))"""
 
 
 @query(f"WITH {FOREST}, {CIRCLE.format(n=101)} SELECT round::INT AS round, u, v FROM circle")
@@ -221,14 +224,30 @@ def tile_round_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.tile_rounds(spark, _geo(spark, sf_dir)[1]).groupBy("round").agg(F.count(F.lit(1)).alias("n_tiles"))
 
 
+@query(f"WITH {GEO}, {CIRCLE.format(n=30)}, {TILES.format(n=30)} SELECT max(n)::BIGINT AS most_tiles FROM (SELECT count(*) AS n FROM tiles GROUP BY round)")
+def tile_round_most(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.most_tiles(schedule.tile_rounds(spark, _geo(spark, sf_dir)[1]))
+
+
+@query(f"WITH {GEO}, {CIRCLE.format(n=4)}, {TILES.format(n=4)}, l AS (SELECT (node_id // 8)::INT AS b, count(*)::INT AS len FROM nodes GROUP BY 1) SELECT round, bi, bj, i.len AS li, j.len AS lj FROM tiles JOIN l i ON bi = i.b JOIN l j ON bj = j.b")
+def tile_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.tile_shapes(schedule.tile_rounds(spark, 4), schedule.block_lengths(spark, _geo(spark, sf_dir)[1], 8))
+
+
+@query(f"WITH {FOREST} SELECT node_id, (node_id // 64)::INT AS b, (node_id % 64)::INT AS place FROM nodes")
+def node_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block, place = schedule.in_block(F.col("node_id"), 64)
+    return spark.range(_forest(spark, sf_dir)[1]).withColumnRenamed("id", "node_id").select("node_id", block, place)
+
+
 @query(f"WITH {FOREST} SELECT (node_id // 64)::INT AS b, min(node_id)::BIGINT AS start, count(*)::INT AS len FROM nodes GROUP BY 1")
 def block_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.block_lengths(spark, _forest(spark, sf_dir)[1], 64)
 
 
-def _sgd(steps: str) -> str:
-    """The whole refinement by fixed circle rounds as a recursive table of positions."""
-    return f"""WITH RECURSIVE {GEO}, {DIST.format(depth=8)}, {START}, {EXTREMES}, {CIRCLE.format(n=30)},
+def _sgd(steps: str, rounds: str = CIRCLE.format(n=30), turns: int = 29) -> str:
+    """The whole refinement by fixed rounds, of which a sweep has `turns`, as a recursive table of positions."""
+    return f"""WITH RECURSIVE {GEO}, {DIST.format(depth=8)}, {START}, {EXTREMES}, {rounds},
 half AS (SELECT round AS r, c.u AS node, c.v AS other, d FROM circle c JOIN dist USING (u, v) UNION ALL SELECT round, c.v, c.u, d FROM circle c JOIN dist USING (u, v)),
 rate AS (SELECT 1.0 / wmin AS high, 0.1 / wmax AS low FROM extremes),
 st AS (
@@ -238,9 +257,9 @@ st AS (
     x + CASE WHEN d IS NULL THEN 0.0 ELSE least(eta / (d * d), 1.0) * ((nrm - d) / 2.0) * ((xo - x) / nrm) END,
     y + CASE WHEN d IS NULL THEN 0.0 ELSE least(eta / (d * d), 1.0) * ((nrm - d) / 2.0) * ((yo - y) / nrm) END
   FROM (
-    SELECT s.step, s.node, s.x, s.y, o.x AS xo, o.y AS yo, h.d::DOUBLE AS d, high * exp(-(ln(high / low) / 14.0) * (s.step // 29)) AS eta,
+    SELECT s.step, s.node, s.x, s.y, o.x AS xo, o.y AS yo, h.d::DOUBLE AS d, high * exp(-(ln(high / low) / 14.0) * (s.step // {turns})) AS eta,
       greatest(sqrt((o.x - s.x) * (o.x - s.x) + (o.y - s.y) * (o.y - s.y)), 1e-12) AS nrm
-    FROM st s LEFT JOIN half h ON h.node = s.node AND h.r = s.step % 29 LEFT JOIN st o ON o.node = h.other CROSS JOIN rate
+    FROM st s LEFT JOIN half h ON h.node = s.node AND h.r = s.step % {turns} LEFT JOIN st o ON o.node = h.other CROSS JOIN rate
     WHERE s.step < {steps})
 ), final AS (SELECT node AS node_id, x, y FROM st WHERE step = {steps}) """
 
@@ -275,10 +294,22 @@ def sgd_one_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.scatter_add(ready.positions, deltas).select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
-@query(_sgd("29") + "SELECT 0::INT AS iteration, c.u, c.v, round(a.x, 6) + 0.0 AS xi, round(a.y, 6) + 0.0 AS yi, round(b.x, 6) + 0.0 AS xj, round(b.y, 6) + 0.0 AS yj FROM circle c JOIN dist USING (u, v) JOIN st a ON a.step = round AND a.node = c.u JOIN st b ON b.step = round AND b.node = c.v")
+AUDIT = """, log AS (SELECT 0::INT AS iteration, row_number() OVER (ORDER BY round, c.u) - 1 AS record_idx, c.u, c.v, d, round(a.x, 6) + 0.0 AS xi, round(a.y, 6) + 0.0 AS yi, round(b.x, 6) + 0.0 AS xj, round(b.y, 6) + 0.0 AS yj
+  FROM circle c JOIN dist USING (u, v) JOIN st a ON a.step = round AND a.node = c.u JOIN st b ON b.step = round AND b.node = c.v) """
+
+
+@query(_sgd("29") + AUDIT + "SELECT iteration, record_idx, u, v, xi, yi, xj, yj FROM log")
 def sgd_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _refined(spark, sf_dir, audit=True, iterations=1)[1]
-    return log.select("iteration", "u", "v", *(rounded(F.col(c)).alias(c) for c in ("xi", "yi", "xj", "yj")))
+    return log.select("iteration", "record_idx", "u", "v", *(rounded(F.col(c)).alias(c) for c in ("xi", "yi", "xj", "yj")))
+
+
+@query(_sgd("29") + AUDIT + ", numbers AS (SELECT u, v, dij, wij, row_number() OVER (ORDER BY u, v) - 1 AS pair_idx FROM pairs) SELECT record_idx, pair_idx, u, v, dij, wij, xi, yi, xj, yj FROM log JOIN numbers USING (u, v)")
+def sgd_audit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a sweep joined to its pairs."""
+    ready, log = _refined(spark, sf_dir, audit=True, iterations=1)
+    joined = layout.audit_pairs(log, distance.indexed(ready.pairs))
+    return joined.select("record_idx", "pair_idx", "u", "v", "dij", "wij", *(rounded(F.col(c)).alias(c) for c in ("xi", "yi", "xj", "yj")))
 
 
 @query(f"{GEO_DIST} SELECT t AS iteration, (SELECT count(*) FROM dist)::BIGINT AS n_updates FROM (SELECT unnest(range(15))::INT AS t)")
@@ -417,8 +448,24 @@ def layout_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(ready, final)
 
 
-@query()
+#: Blocks of 10 of the 30 nodes: three rounds of a tile of two blocks, in 10 sub-rounds, then three of a block with itself, in 9.
+TILED = """tile_pairs AS (SELECT u, v, u // 10 AS bi, v // 10 AS bj, u % 10 AS a, v % 10 AS b FROM (SELECT unnest(range(30))::BIGINT AS u), (SELECT unnest(range(30))::BIGINT AS v) WHERE u < v),
+circle AS (SELECT dense_rank() OVER (ORDER BY r, s) - 1 AS round, u, v FROM (
+  SELECT u, v, CASE WHEN bi = bj THEN 3 + bi ELSE (bi + bj) * 2 % 3 END AS r, CASE WHEN bi <> bj THEN (a - b + 10) % 10 WHEN b = 9 THEN a ELSE (a + b) * 5 % 9 END AS s FROM tile_pairs))"""
+
+
+@query(_sgd("855", TILED, 57) + PLACES)
 def layout_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tiled strategy, which no single task holds: rows only."""
-    ready, final = lay_out(*_geo(spark, sf_dir), seed=7, iterations=3, strategy="tiles", block=10)
-    return quality(ready, final)
+    """15 sweeps of the tiled strategy, which no single task holds, in a fixed order."""
+    edges, n = _geo(spark, sf_dir)
+    final = lay_out(edges, n, center=False, strategy="tiles", order="fixed", block=10)[1]
+    return final.select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
+
+
+@query(_sgd("435") + f"""SELECT (SELECT count(*) FROM nodes)::BIGINT AS n_nodes, (SELECT count(*) FROM edges)::BIGINT AS n_edges, (SELECT count(*) FROM dist)::BIGINT AS n_pairs, (SELECT 15 * count(*) FROM dist)::BIGINT AS n_updates,
+  ({STRESS.format(half="1.0", places="start")}) AS stress_before, ({STRESS.format(half="1.0", places="final")}) AS stress_after""")
+def layout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics row of a layout, without its seconds."""
+    edges, n = _geo(spark, sf_dir)
+    told = measured("geography", edges, n, center=False, order="fixed")[2]
+    return told.select("n_nodes", "n_edges", "n_pairs", "n_updates", rounded(F.col("stress_before"), 4).alias("stress_before"), rounded(F.col("stress_after"), 4).alias("stress_after"))

@@ -10,6 +10,8 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.cuts import numbered
+
 
 def result_rows(edges: DataFrame, positions: DataFrame, title: str, stamp: str, places: int = 9) -> DataFrame:
     """(section, ordinal, line) of a result file; by section and ordinal they are in order."""
@@ -18,17 +20,11 @@ def result_rows(edges: DataFrame, positions: DataFrame, title: str, stamp: str,
     head = n.crossJoin(e).select(F.posexplode(F.array(F.lit(f"# {title}"), F.lit(f"# Timestamp: {stamp}"), F.concat(F.lit("# Node count: "), "n"), F.concat(F.lit("# Edge count: "), "e"), F.lit(""))))
     head = head.select(F.lit(0).alias("section"), F.col("pos").cast("long").alias("ordinal"), F.col("col").alias("line"))
     fixed = lambda section, lines: spark.createDataFrame([(section, i, x) for i, x in enumerate(lines)], "section int, ordinal long, line string")
-    edge = edges.select(F.lit(2).alias("section"), (F.row_number().over(_order("src", "dst")) - 1).cast("long").alias("ordinal"), F.concat_ws(" ", "src", "dst").alias("line"))
+    edge = numbered(edges, "ordinal", "src", "dst").select(F.lit(2).alias("section"), "ordinal", F.concat_ws(" ", "src", "dst").alias("line"))
     place = positions.select(F.lit(4).alias("section"), F.col("node_id").alias("ordinal"), F.format_string(f"%.{places}f %.{places}f", "x", "y").alias("line"))
     return head.unionByName(fixed(1, ["# Edges (source target)"])).unionByName(edge).unionByName(fixed(3, ["", "# Positions (x y)"])).unionByName(place)
 
 
-def _order(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*columns)
-
-
 def result_name(label: str, graph: str, stamp: datetime, state: int) -> str:
     """state 0: before refinement, 1: after."""
     return f"{label}-{graph}-{stamp:%Y%m%d_%H%M%S}-{state}.txt"
@@ -53,7 +49,28 @@ def image(pixels: DataFrame, width: int, height: int) -> np.ndarray:
     return out
 
 
-def write_png(path: str, picture: np.ndarray) -> None:
+def picture_size(text: str) -> tuple[int, int]:
+    """Width and height of a text like 2048x1024."""
+    width, _, height = text.lower().partition("x")
+    if not (width.isdecimal() and height.isdecimal() and int(width) and int(height)):
+        raise ValueError(f"not a size like 2048x2048: {text}")
+    return int(width), int(height)
+
+
+def picture_radius(text: str) -> float:
+    """A node's radius in pixels, above 0."""
+    radius = float(text)
+    if not 0 < radius < float("inf"):
+        raise ValueError(f"not a radius: {text}")
+    return radius
+
+
+def stress_title(name: str, stress: float | None) -> str:
+    return f"{name}, stress {stress:.2f}" if stress is not None else f"{name}, disconnected"
+
+
+def write_png(path: str, picture: np.ndarray, title: str = "", dpi: int = 150) -> None:
+    """A picture with its title as PNG text and its dots per inch."""
     height, width, _ = picture.shape
 
     def chunk(kind: bytes, data: bytes) -> bytes:
@@ -61,9 +78,12 @@ def write_png(path: str, picture: np.ndarray) -> None:
 
     lines = np.concatenate([np.zeros((height, 1), np.uint8), picture.reshape(height, width * 4)], axis=1)
     head = struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)
-    Path(path).write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b""))
+    metre = round(dpi / 0.0254)
+    told = chunk(b"iTXt", b"Title\0\0\0\0\0" + title.encode()) if title else b""
+    body = chunk(b"IHDR", head) + chunk(b"pHYs", struct.pack(">IIB", metre, metre, 1)) + told + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+    Path(path).write_bytes(b"\x89PNG\r\n\x1a\n" + body)
 
 
-def write_side_by_side(path: str, left: np.ndarray, right: np.ndarray) -> None:
-    """Before and after in one picture."""
-    write_png(path, np.concatenate([left, right], axis=1))
+def write_side_by_side(path: str, left: np.ndarray, right: np.ndarray, titles: tuple[str, str] = ("", ""), dpi: int = 150) -> None:
+    """Before and after in one picture, with both titles."""
+    write_png(path, np.concatenate([left, right], axis=1), " | ".join(filter(None, titles)), dpi)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import glob
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import hash_uniform
+from ..plans.cuts import numbered
 
 
 def mtx_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -24,10 +28,12 @@ def _entries(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_mtx(lines: DataFrame) -> DataFrame:
-    """0-based edges (src, dst) of lines (line_id, line); loops dropped, values ignored."""
+    """0-based edges (src, dst) of lines (line_id, line); loops dropped, values ignored. A line that doesn't begin with two positive numbers is an error."""
     parts = F.split("line", r"\s+")
     _, entries = _entries(lines)
-    edges = entries.select((parts[0].cast("long") - 1).alias("src"), (parts[1].cast("long") - 1).alias("dst"))
+    good = F.col("line").rlike(r"^0*[1-9]\d*\s+0*[1-9]\d*(\s|$)")
+    node = lambda i: (F.when(good, parts[i].cast("long")).otherwise(F.raise_error(F.concat(F.lit("not an entry: "), F.col("line")))) - 1)
+    edges = entries.select(node(0).alias("src"), node(1).alias("dst"))
     return edges.where("src <> dst")
 
 
@@ -49,6 +55,24 @@ def gnp_graph(spark: SparkSession, n: int = 500, p: float = 0.005, seed: int = 3
     return u.join(v, F.col("src") < F.col("dst")).where(hash_uniform(F.col("src"), F.col("dst"), seed) < p)
 
 
+def gnp_by_skips(spark: SparkSession, n: int, p: float, seed: int = 34) -> DataFrame:
+    """Random graph for large n: each node's larger neighbours by geometric skips, so that the work grows with the edges and not with the
+    pairs. Other edges than gnp_graph, of the same distribution; the same for a seed on any partitioning."""
+
+    def run(batches):
+        for batch in batches:
+            for u in batch.column(0).to_pylist():
+                random, found, at = np.random.Generator(np.random.PCG64([seed, u])), [], u
+                while at < n and p > 0:
+                    ahead = at + np.cumsum(random.geometric(p, 64 + int(2 * p * (n - at))))
+                    found.append(ahead[ahead < n])
+                    at = int(ahead[-1])
+                dst = np.concatenate(found) if found else np.zeros(0, np.int64)
+                yield pa.record_batch([pa.array(np.full(len(dst), u, np.int64)), pa.array(dst.astype(np.int64))], ["src", "dst"])
+
+    return spark.range(n).mapInArrow(run, "src long, dst long")
+
+
 def ring_graph(spark: SparkSession, n: int = 10) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
 
@@ -66,14 +90,18 @@ def parse_result(lines: DataFrame) -> DataFrame:
 
     A line of a part must be two numbers, else it is an error; blank lines and other # lines are skipped.
     """
-    order = Window.orderBy("line_id")
     part = F.when(F.col("line") == _EDGES, "edge").when(F.col("line") == _POSITIONS, "position")
-    rows = lines.withColumn("part", F.last(part, ignorenulls=True).over(order))
-    rows = rows.where((F.col("line") != "") & ~F.col("line").startswith("#") & F.col("part").isNotNull())
+    # the lines that begin a part, a few in any file, go to every task
+    begins = lines.where(part.isNotNull()).agg(F.array_sort(F.collect_list(F.struct("line_id", part.alias("part")))).alias("begins"))
+    rows = lines.where((F.col("line") != "") & ~F.col("line").startswith("#")).crossJoin(F.broadcast(begins))
+    above = F.filter("begins", lambda b: b["line_id"] < F.col("line_id"))
+    rows = rows.withColumn("part", F.try_element_at(above, F.lit(-1))["part"]).where(F.col("part").isNotNull()).select("part", "line_id", "line")
+    rows = numbered(rows, "at", "part", "line_id")
+    first = rows.groupBy("part").agg(F.min("at").alias("first"))
+    rows = rows.join(F.broadcast(first), "part").withColumn("ordinal", F.col("at") - F.col("first"))
     tokens = F.split(F.trim("line"), r"\s+")
-    number: Column = F.row_number().over(Window.partitionBy("part").orderBy("line_id")) - 1
     value = lambda i: F.when(F.size(tokens) == 2, tokens[i].cast("double")).otherwise(F.raise_error(F.concat(F.lit("not two numbers: "), F.col("line"))))
-    return rows.select("part", number.cast("long").alias("ordinal"), value(0).alias("a"), value(1).alias("b"))
+    return rows.select("part", "ordinal", value(0).alias("a"), value(1).alias("b"))
 
 
 def read_result(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -90,11 +118,24 @@ def read_result(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def result_path(name: str, folder: str = "output") -> Path:
-    """A bare name stands for a file of that name in folder; others are paths."""
+    """A bare name stands for a file in folder: of that name, with .txt after it, or the only or last by name that begins with it. Others are paths."""
     path = Path(name)
     if path.parent != Path("."):
         return path
-    return Path(folder) / (name if path.suffix else f"{name}.txt")
+    whole = Path(folder) / (name if path.suffix else f"{name}.txt")
+    begun = sorted(Path(folder).glob(f"{glob.escape(name)}*.txt")) if not whole.exists() else []
+    return begun[-1] if begun else whole
+
+
+def matrix_path(name: str, folder: str = "data") -> Path:
+    """A bare name stands for the MatrixMarket file of that name in folder; others are paths."""
+    path = Path(name)
+    return path if path.parent != Path(".") else Path(folder) / (name if path.suffix else f"{name}.mtx")
+
+
+def graph_edges(spark: SparkSession, name: str, folder: str = "data") -> DataFrame:
+    """The edges of a named matrix; a blank name stands for the random graph."""
+    return read_mtx(spark, str(matrix_path(name.strip(), folder))) if name.strip() else gnp_graph(spark)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,10 +169,11 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.least("c_nationkey", "s_nationkey").cast("long").alias("src"), F.greatest("c_nationkey", "s_nationkey").cast("long").alias("dst"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return flows.crossJoin(F.broadcast(flows.agg(F.avg("n").alias("mean")))).where("n > mean").select("src", "dst")
+    # a row for each pair of nations, so one task may hold them
+    return flows.withColumn("mean", F.avg("n").over(Window.partitionBy())).where("n > mean").select("src", "dst")
 
 
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and parts (1 billion and the key) joined by full lots."""
-    line = _table(spark, sf_dir, "lineitem").where("l_quantity >= 50")
+    """Suppliers and parts (1 billion and the key) joined by lineitems."""
+    line = _table(spark, sf_dir, "lineitem")
     return line.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst"))

@@ -1,10 +1,15 @@
+from collections import Counter
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stressloom import sinks, sources
 from stressloom.operators import distance, graph, layout, render, schedule, stress
-from stressloom.plans.layout import lay_out, quality
+from stressloom.plans import cuts
+from stressloom.plans.layout import lay_out, measured, quality
 
 
 def test_ring_has_closed_form_distances(spark):
@@ -40,16 +45,94 @@ def test_strategies_lower_stress_and_centre(spark, strategy, order):
     assert max(abs(mean[0]), abs(mean[1])) < 1e-9
 
 
-def test_tiles_update_every_pair_once(spark):
-    # with distances kept, each pair of 11 nodes in blocks of 4 falls into exactly one sub-round without a shared node
-    n, block = 11, 4
-    edges = sources.ring_graph(spark, n)
-    pairs = distance.pair_table(distance.all_pairs(edges, n))
+@pytest.mark.parametrize(("n", "block"), [(11, 4), (12, 5), (7, 7), (16, 4)])
+def test_tiles_update_every_pair_once(spark, monkeypatch, n, block):
+    """Each pair of a sweep moves once, and no node twice in a step."""
+    steps = []
+    monkeypatch.setattr(layout, "_step", lambda p, a, b, d, eta: steps.append((p[a, 0].astype(int), p[b, 0].astype(int))))
     nodes = np.arange(n)
-    start = layout.start_positions(spark.range(n).withColumnRenamed("id", "node_id"))
-    out = layout.refine(pairs, start, graph.components(edges), [1.0], strategy="tiles", block=block)
-    assert out.count() == n
-    assert len(nodes) == n
+    places = SimpleNamespace(value=(nodes, np.column_stack([nodes, nodes]).astype(float)))
+    done = []
+    for tile in schedule.tile_rounds(spark, -(-n // block)).collect():
+        u, v = (x.ravel() for x in np.meshgrid(nodes, nodes, indexing="ij"))
+        own = (u < v) & (u // block == tile["bi"]) & (v // block == tile["bj"])
+        size = int(own.sum())
+        if size:
+            table = pa.table({"u": u[own], "v": v[own], "dij": np.ones(size), "bi": np.full(size, tile["bi"]), "bj": np.full(size, tile["bj"])})
+            layout._tile_kernel(places, 1.0, [0, 0, 0], True)(table)
+    for a, b in steps:
+        assert len({*a.tolist(), *b.tolist()}) == 2 * len(a)
+        done += zip(a.tolist(), b.tolist())
+    assert sorted(tuple(sorted(x)) for x in done) == [(u, v) for u in range(n) for v in range(u + 1, n)]
+
+
+def test_coincident_nodes_part(spark):
+    pairs = spark.createDataFrame([(0, 1, 1.0, 1.0)], "u long, v long, dij double, wij double")
+    places = spark.createDataFrame([(0, 0.5, 0.5), (1, 0.5, 0.5)], "node_id long, x double, y double")
+    for guard in ("fixed", "angle"):
+        moved = sorted(map(tuple, layout.scatter_add(places, layout.pair_deltas(pairs, places, 1.0, guard)).collect()))
+        assert abs(np.hypot(moved[0][1] - moved[1][1], moved[0][2] - moved[1][2]) - 1) < 1e-3
+    parts = spark.createDataFrame([(0, 0), (1, 0)], "node_id long, component long")
+    kernel = sorted(map(tuple, layout.refine(pairs, places, parts, [1.0]).collect()))
+    fixed = sorted(map(tuple, layout.scatter_add(places, layout.pair_deltas(pairs, places, 1.0)).collect()))
+    assert np.allclose(kernel, fixed)
+
+
+def test_numbers_are_dense_and_in_order(spark):
+    rows = spark.range(5000).selectExpr("(id * 7919) % 5000 AS k", "id % 3 AS rest").repartition(7)
+    got = cuts.numbered(rows, "at", "k").collect()
+    assert sorted((r["at"], r["k"]) for r in got) == [(i, i) for i in range(5000)]
+    assert cuts.numbered(rows.limit(0), "at", "k").count() == 0
+
+
+def test_tables_cut_on_the_way_are_deleted(spark):
+    held = len(cuts._tables(spark))
+    out = cuts.finished(spark, lambda: cuts.cut(cuts.cut(spark.range(5)).where("id > 1")))
+    assert out.count() == 3 and len(cuts._tables(spark)) == held + 1
+
+
+def test_metrics_and_titles(spark, tmp_path):
+    ready, final, told = measured("ring", sources.ring_graph(spark, 10), 10)
+    row = told.first()
+    assert (row["n_nodes"], row["n_edges"], row["n_pairs"], row["n_updates"]) == (10, 10, 45, 675)
+    assert row["stress_after"] < row["stress_before"] and row["updates_per_s"] > 0
+    image = sinks.image(render.picture(ready.edges, final, 32, 32, 2), 32, 32)
+    titles = [sinks.stress_title("ring", row[c]) for c in ("stress_before", "stress_after")]
+    sinks.write_side_by_side(str(tmp_path / "two.png"), image, image, titles)
+    assert all(t.encode() in (tmp_path / "two.png").read_bytes() for t in titles)
+    assert sinks.picture_size("64x48") == (64, 48) and sinks.picture_radius("2.5") == 2.5
+    for bad in ("64", "0x4", "axb"):
+        with pytest.raises(ValueError):
+            sinks.picture_size(bad)
+
+
+def test_names_of_files(tmp_path):
+    (tmp_path / "ring-1.txt").write_text("")
+    (tmp_path / "ring-2.txt").write_text("")
+    assert sources.result_path("ring", str(tmp_path)).name == "ring-2.txt"
+    assert sources.result_path("ring-1", str(tmp_path)).name == "ring-1.txt"
+    assert sources.result_path("none", str(tmp_path)).name == "none.txt"
+    assert str(sources.result_path("a/b.txt")) == "a/b.txt"
+    assert str(sources.matrix_path("bus")) == "data/bus.mtx"
+
+
+def test_skips_draw_as_many_edges(spark):
+    edges = sources.gnp_by_skips(spark, 400, 0.05, 3).collect()
+    assert len(set(edges)) == len(edges) and all(0 <= u < v < 400 for u, v in edges)
+    assert abs(len(edges) - 0.05 * 400 * 399 / 2) < 5 * (0.05 * 0.95 * 400 * 399 / 2) ** 0.5
+
+
+def test_bad_rows_are_errors(spark):
+    lines = lambda *x: spark.createDataFrame(list(enumerate(x)), "line_id long, line string")
+    for bad in ("1", "0 2", "a 2", "1 -2"):
+        with pytest.raises(Exception):  # noqa: B017
+            sources.parse_mtx(lines("%%MatrixMarket", "3 3 1", bad)).collect()
+    pairs = spark.createDataFrame([(0, 9, 1.0, 1.0)], "u long, v long, dij double, wij double")
+    places = layout.start_positions(spark.range(3).withColumnRenamed("id", "node_id"))
+    with pytest.raises(Exception):  # noqa: B017
+        stress.stress(pairs, places).collect()
+    with pytest.raises(Exception):  # noqa: B017
+        render.edge_vertices(spark.createDataFrame([(0, 9)], "src long, dst long"), places).collect()
 
 
 def test_isolated_nodes_stay_and_edgeless_graphs_are_disconnected(spark):
@@ -112,5 +195,8 @@ def test_distance_strategies_agree(spark):
     edges = graph.canonical_edges(sources.gnp_graph(spark, 40, 0.06, 1))
     a = sorted(map(tuple, distance.all_pairs(edges, 40).collect()))
     assert a == sorted(map(tuple, distance.all_pairs_by_joins(edges, 40).collect()))
+    assert dict(distance.histogram(edges, 40).collect()) == dict(Counter(d for _, _, d in a))
+    some = sorted(map(tuple, distance.all_pairs(edges, 40, [7, 3]).collect()))
+    assert some == sorted(map(tuple, distance.all_pairs_by_joins(edges, 40, [7, 3]).collect()))
     parts = {r["node_id"]: r["component"] for r in graph.components(edges).collect()}
     assert all(parts[u] == parts[v] for u, v, _ in a)
