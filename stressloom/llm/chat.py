@@ -16,7 +16,7 @@ it reads each backslash with the character after it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: The template's control strings.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
@@ -72,27 +72,37 @@ def _survives(role: Column, text: Column, level: int) -> Column:
     return F.coalesce((F.size(back) == 1) & (back[0]["role"] == role) & (back[0]["text"] == text), F.lit(False))
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, text) to one row per conv_id: conv_id, formatted, recovered
-    (the turns that the parser reads back from formatted) and identical (they equal the source).
+def format_conversations(turns: DataFrame, learned: str = "assistant") -> DataFrame:
+    """turns (conv_id, turn, role, text) to one row per conv_id: conv_id, formatted, loss (the spans [start, end) of formatted, in characters, that
+    are texts of the role `learned`, with the level they are escaped at), recovered (the turns that the parser reads back
+    from formatted) and identical (they equal the source).
 
-    Turns go by `turn`; equal numbers by role and text. Null text, or role: empty. Null turn: first. Null conv_id: a
-    conversation of its own. Repeated rows: turns of their own. Other columns are ignored. An empty table gives
-    an empty result. A conversation is one output row, so its turns meet in one task.
+    Turns go by `turn`; equal numbers by role and text. Null text, or role: empty. Null turn: first. Null conv_id: all such rows are one conversation
+    of their own. Repeated rows: turns of their own. Other columns are ignored. An empty table gives
+    an empty result. A conversation is one output row, so its turns, very long ones too, meet in one task.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     source = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     level = F.when(_survives(F.col("role"), F.col("text"), 0), 0).when(_survives(F.col("role"), F.col("text"), 1), 1).otherwise(2)
     source = source.withColumn("level", level)
     source = source.withColumn("rendered", render(F.col("role"), F.col("text"), F.col("level")))
-    whole = source.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "rendered"))).alias("turns"))
-    whole = whole.withColumn("formatted", F.concat_ws("", F.col("turns.rendered")))
+    # where the text of a turn ends: before the [/INST]</s> that closes it
+    so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    source = source.withColumn("end", F.sum(F.char_length("rendered")).over(so_far) - len(CONTROL[3] + CONTROL[1]))
+    escaped = F.when(F.col("level") == 0, F.col("text")).when(F.col("level") == 1, escape(F.col("text"), 1)).otherwise(escape(F.col("text"), 2))
+    source = source.withColumn("start", F.col("end") - F.char_length(escaped))
+    whole = source.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "end", "start", "level", "rendered"))).alias("turns"))
     # control strings can't arise across turns: each begins and ends with a whole one; read back all the same
-    whole = whole.withColumn("recovered", parse(F.col("formatted")))
-    full = F.concat_ws("", F.transform("turns", lambda t: render(t["role"], t["text"], 2)))
-    same = lambda: F.coalesce(F.col("recovered") == F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))), F.lit(False))
-    whole = whole.withColumn("formatted", F.when(same(), F.col("formatted")).otherwise(full)).withColumn("recovered", parse(F.col("formatted")))
-    return whole.select("conv_id", "formatted", "recovered", same().alias("identical"))
+    whole = whole.withColumn("formatted", F.concat_ws("", F.col("turns.rendered")))
+    loss = F.transform(F.filter("turns", lambda t: t["role"] == learned), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["level"].alias("level")))
+    whole = whole.select("conv_id", "formatted", loss.alias("loss"), parse(F.col("formatted")).alias("recovered"), "turns")
+    same = F.coalesce(F.col("recovered") == F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))), F.lit(False))
+    return whole.select("conv_id", "formatted", "loss", "recovered", same.alias("identical"))
+
+
+def under_loss(formatted: Column, loss: Column) -> Column:
+    """The texts under the loss spans, cut from formatted and unescaped, one after the other."""
+    return F.concat_ws("", F.transform(loss, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), s["level"].cast("string"))))
 
 
 def with_conflicts(turns: DataFrame) -> DataFrame:
@@ -106,7 +116,7 @@ def with_conflicts(turns: DataFrame) -> DataFrame:
 def digest(formatted: DataFrame) -> DataFrame:
     """The columns of the query, all read back from the formatted text."""
     told = F.concat_ws("", F.transform("recovered", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    loss = F.concat_ws("", F.transform(F.filter("recovered", lambda t: t["role"] == "assistant"), lambda t: t["text"]))
+    loss = under_loss(F.col("formatted"), F.col("loss"))
     return formatted.select(
         "conv_id",
         F.size("recovered").cast("long").alias("n_turns"),

@@ -84,24 +84,33 @@ SELECT doc_id, (len(docs.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS
 FROM docs JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
 """
 
-OP4 = r"""
+def _nested(text: str, pairs: list[tuple[str, str]]) -> str:
+    for old, new in pairs:
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
+
+
+_BROKEN = [(x, f"{x[0]}\\{x[1:]}") for x in chat.CONTROL]
+_MENDED = [(new, old) for old, new in _BROKEN]
+_HOLDS = " OR ".join(f"contains(role || chr(10) || text, '{x}')" for x in chat.CONTROL)
+_SURVIVES = " AND ".join(f"{_nested(_nested(c, _BROKEN), _MENDED)} = {c}" for c in ("role", "text"))
+OP4 = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), levels AS (
-  SELECT *, replace(replace(replace(replace(t, '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]') AS e FROM (
-    SELECT *, CASE WHEN contains(role || text, '<s>') OR contains(role || text, '</s>') OR contains(role || text, '[INST]') OR contains(role || text, '[/INST]')
-      THEN CASE WHEN contains(role || text, '\') THEN 2 ELSE 1 END ELSE 0 END AS level,
-      CASE WHEN contains(role || text, '\') THEN replace(text, '\', '\\') ELSE text END AS t
-    FROM turns)
+  SELECT *, CASE WHEN NOT ({_HOLDS}) THEN 0 WHEN {_SURVIVES} THEN 1 ELSE 2 END AS level FROM turns
+), rendered AS (
+  SELECT *, CASE level WHEN 0 THEN role || text WHEN 1 THEN {_nested("role", _BROKEN)} || {_nested("text", _BROKEN)}
+    ELSE {_nested("role", [("\\", "\\\\"), *_BROKEN])} || {_nested("text", [("\\", "\\\\"), *_BROKEN])} END AS e FROM levels
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(21 + length(role) + length(CASE WHEN level = 0 THEN text ELSE e END))::BIGINT AS formatted_chars
-FROM levels GROUP BY conv_id
+  sum(21 + length(e))::BIGINT AS formatted_chars
+FROM rendered GROUP BY conv_id
 """
 
 OP6 = r"""
