@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 
-def dictionary(texts: list[str], size: int, piece: int = 2048) -> bytes:
-    """Raw content from the middles of the texts, `piece` bytes of each, up to size bytes. Later content is nearer to the text and cheaper
-    to refer to, so the first texts stand last."""
-    parts, held = [], 0
-    for text in texts:
-        data = text.encode()
-        start = max(0, (len(data) - piece) // 2)
-        part = data[start : start + piece]
+def middle(text: str, piece: int) -> bytes:
+    """The middle `piece` bytes of a text."""
+    data = text.encode()
+    start = max(0, (len(data) - piece) // 2)
+    return data[start : start + piece]
+
+
+def pieces(piece: int, prepare: Callable[[str], str] = str):
+    """Rows with a text to the same rows with its prepared middle instead, so that no more than that comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            parts = pa.array([middle(prepare(t), piece) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.record_batch([parts if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return run
+
+
+def dictionary(parts: list[bytes], size: int) -> bytes:
+    """Raw content from parts, up to size bytes. Later content is nearer to the text and cheaper
+    to refer to, so the first parts stand last."""
+    kept, held = [], 0
+    for part in parts:
         if held + len(part) > size:
             break
-        parts.append(part)
+        kept.append(part)
         held += len(part)
-    return b"\n".join(reversed(parts))
+    return b"\n".join(reversed(kept))
 
 
 class Sizes:

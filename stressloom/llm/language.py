@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from .samples import fold, sample
 from .shared import small_batches
@@ -38,17 +38,19 @@ class Languages:
     dictionaries: tuple[bytes, ...]
 
 
-def learn_languages(docs: DataFrame, per_language: int = 96, dictionary_bytes: int = 112 << 10, longest: int = 64 << 10) -> Languages:
-    """One raw-content dictionary per non-null lang of docs (doc_id, text, lang), from at most per_language texts of at most
-    `longest` bytes each; the sample is bounded by these parameters and the same on each run."""
-    from .compression import dictionary
+def learn_languages(docs: DataFrame, per_language: int = 96, dictionary_bytes: int = 112 << 10, longest: int = 64 << 10, piece: int = 2048, most_languages: int = 256) -> Languages:
+    """One raw-content dictionary per non-null lang of docs (doc_id, text, lang), from the middle `piece` bytes of at most per_language texts of at most
+    `longest` bytes each; of more than most_languages, those of most rows are learned. The sample is bounded by these parameters (the driver holds
+    most_languages * per_language * piece bytes at most, 48 MB) and the same on each run. Null ids aren't learned from; a repeated row counts again."""
+    from .compression import dictionary, pieces
 
-    rows = sample(docs.select("doc_id", "text", F.col("lang").alias("label")), None, per_language, longest)
-    by: dict[str, list[tuple[int, str]]] = {}
-    for row in rows.select("label", "rank", "text").collect():
-        by.setdefault(row["label"], []).append((row["rank"], row["text"]))
+    rows = sample(docs.select("doc_id", "text", F.col("lang").alias("label")), None, per_language, longest, most_languages)
+    kind = StructType([StructField("label", rows.schema["label"].dataType), StructField("rank", IntegerType()), StructField("text", BinaryType())])
+    by: dict[str, list[tuple[int, bytes]]] = {}
+    for row in rows.select("label", "rank", "text").mapInArrow(pieces(piece, letters_only), kind).collect():
+        by.setdefault(row["label"], []).append((row["rank"], bytes(row["text"])))
     names = tuple(sorted(by))
-    return Languages(names, tuple(dictionary([letters_only(t) for _, t in sorted(by[x])], dictionary_bytes) for x in names))
+    return Languages(names, tuple(dictionary([t for _, t in sorted(by[x])], dictionary_bytes) for x in names))
 
 
 def _predict(model, keep_text: bool = False):

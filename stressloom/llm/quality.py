@@ -64,20 +64,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int =
     return float(beta[0] / spread), float(beta[1])
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, per_label: int = 2000, for_dictionary: int = 200, dictionary_bytes: int = 400 << 10, longest: int = 64 << 10) -> Quality:
-    """From docs (doc_id, text) and labels (doc_id, label 0 or 1): of a sample of at most per_label rows of each label, the first for_dictionary
-    make the dictionaries and the others calibrate, weighed so that labels count as in all labels. With one label missing,
+def learn_quality(docs: DataFrame, labels: DataFrame, per_label: int = 2000, for_dictionary: int = 200, dictionary_bytes: int = 400 << 10, longest: int = 64 << 10, piece: int = 2048) -> Quality:
+    """From docs (doc_id, text) and labels (doc_id, label 0 or 1): of a sample of at most per_label rows of each label, of at most `longest` bytes, the middle
+    `piece` bytes of the first for_dictionary make the dictionaries and the others calibrate, weighed so that labels count as in all labels. With one label missing,
     the score is that of the other label alone; without labels it is 0.5."""
-    from .compression import dictionary
+    from .compression import dictionary, pieces
 
     small_batches(docs.sparkSession)
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Quality(b"", b"", 0.0, {0: -5.0, 1: 5.0}.get(next(iter(counts), None), 0.0))
     chosen = sample(docs, labels, per_label, longest)
-    first: dict[int, list[tuple[int, str]]] = {0: [], 1: []}
-    for row in chosen.where(F.col("rank") <= for_dictionary).select("label", "rank", "text").collect():
-        first[row["label"]].append((row["rank"], row["text"]))
+    first: dict[int, list[tuple[int, bytes]]] = {0: [], 1: []}
+    for row in chosen.where(F.col("rank") <= for_dictionary).select("label", "rank", "text").mapInArrow(pieces(piece), "label int, rank int, text binary").collect():
+        first[row["label"]].append((row["rank"], bytes(row["text"])))
     bad, good = (dictionary([t for _, t in sorted(first[y])], dictionary_bytes) for y in (0, 1))
     model = docs.sparkSession.sparkContext.broadcast(Quality(bad, good, 0.0, 0.0))
     rest = chosen.where(F.col("rank") > for_dictionary).select("label", "text").mapInArrow(_rows(model, False), "label int, score double").collect()

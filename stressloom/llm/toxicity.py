@@ -141,12 +141,12 @@ def _score(model, spans: bool):
     return run
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 1500, longest: int = 32 << 10) -> Toxicity:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2500, longest: int = 16 << 10) -> Toxicity:
     """From docs (doc_id, text) and labels (doc_id, label 0 or 1); the sample is bounded by per_label rows of each label, of at most `longest`
     bytes. With one label only, the score is near that label; without rows it is 0.5."""
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
-        return Toxicity({0: -5.0, 1: 5.0}.get(next(iter(counts), None), 0.0), {})
+        return Toxicity({0: -30.0, 1: 30.0}.get(next(iter(counts), None), 0.0), {})
     chosen = [(r["label"], r["text"]) for r in sample(docs, labels, per_label, longest).orderBy("label", "rank").select("label", "text").collect()]
     return train([t for _, t in chosen], np.array([y for y, _ in chosen], dtype=np.float64), counts[1] / (counts[0] + counts[1]))
 
