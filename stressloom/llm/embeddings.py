@@ -112,13 +112,35 @@ def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
 
 
+_EDGE = ["border", "far", "pass", "group", "class", "wide", "vector"]
+_FOUND = "a long, b long, border int, far int, pass int, group long, class long, wide int, vector binary"
+
+
 def _neighbours(least: float):
-    """Rows in order of (pass, group, code) to the pairs within `wide` places whose cosine reaches least."""
+    """Rows in order of (pass, group, code) to the pairs within `wide` places whose cosine reaches least. A partition's first and last rows, as far as
+    windows reach over its ends, follow as rows without a pair: border numbers the end between two partitions, far is how far off
+    it a row stands, below 0 for those before it."""
+
+    def edge_rows(border: int, far: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
+        n = rows.num_rows
+        return pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, border, np.int32)), pa.array(far.astype(np.int32)), *(rows.column(c) for c in _EDGE[2:])], ["a", "b", *_EDGE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        own = TaskContext.get().partitionId()
         tail: tuple[np.ndarray, np.ndarray] | None = None
+        last: pa.RecordBatch | None = None
+        seen = 0
         for whole in batches:
             for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                if own and seen < _WIDEST:
+                    place = seen + np.arange(batch.num_rows)
+                    near = place < batch.column("wide").to_numpy()
+                    yield edge_rows(own, place[near], batch.filter(pa.array(near)))
+                seen += batch.num_rows
+                last = batch if last is None else pa.concat_batches([last, batch])
+                last = last.slice(max(0, last.num_rows - _WIDEST))
                 x = _matrix(_unit(batch.column("vector")))
                 keys = np.column_stack([batch.column("pass").to_numpy(), batch.column("group").to_numpy(), batch.column("class").to_numpy(), batch.column("wide").to_numpy()])
                 new = len(x)
@@ -132,8 +154,30 @@ def _neighbours(least: float):
                 i, j = i + len(x) - new, j + first
                 good = (j < i) & (i - j <= keys[i, 3]) & (keys[i, 0] == keys[j, 0]) & (keys[i, 1] == keys[j, 1])
                 if good.any():
-                    yield _pair_rows(keys[i[good], 2], keys[j[good], 2])
+                    pairs = _pair_rows(keys[i[good], 2], keys[j[good], 2])
+                    n = pairs.num_rows
+                    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                    yield pa.record_batch([*pairs.columns, *(pa.nulls(n, k) for k in kinds)], ["a", "b", *_EDGE])
                 tail = (x[-_WIDEST:].copy(), keys[-_WIDEST:].copy())
+        if last is not None:
+            far = np.arange(last.num_rows) - last.num_rows
+            near = -far <= last.column("wide").to_numpy()
+            yield edge_rows(own + 1, far[near], last.filter(pa.array(near)))
+
+    return run
+
+
+def _over_border(least: float):
+    """The rows on both sides of a border to the pairs that a window over it finds."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = _matrix(_unit(table.column("vector").combine_chunks()))
+        far, turn, group, own, wide = (table.column(c).to_numpy() for c in ("far", "pass", "group", "class", "wide"))
+        before, after = np.flatnonzero(far < 0), np.flatnonzero(far >= 0)
+        i, j = np.nonzero(x[after] @ x[before].T >= least)
+        i, j = after[i], before[j]
+        good = (far[i] - far[j] <= wide[i]) & (turn[i] == turn[j]) & (group[i] == group[j])
+        return pa.Table.from_batches([_pair_rows(own[i[good]], own[j[good]])])
 
     return run
 
@@ -212,7 +256,8 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, passes: int = 10, w
 
     A vector that is null, empty, zero or holds null or non-finite components, or has a null label, links with nothing. Vectors of different
     length don't link. Null vec_id: takes part, and comes before all others. Repeated rows are equal vectors. Other columns are ignored. An empty
-    table gives an empty result. A pair is missed only if no pass sorts it within the window and nothing else joins it; sort partitions may cut a window.
+    table gives an empty result. A pair is missed only if no pass sorts it within the window and nothing else joins it; windows reach
+    over the border between two sort partitions.
     """
     rows = vectors.select(internal_id("vec_id").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -226,7 +271,9 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, passes: int = 10, w
     placed = copies.select("group", "class", "embedding").join(F.broadcast(planned) if planned.count() <= _FEW else planned, "group")
     coded = placed.where("turns > 0").mapInArrow(_coded, "pass int, group long, code long, class long, wide int, vector binary")
     ordered = coded.repartitionByRange("pass", "group", "code", "class").sortWithinPartitions("pass", "group", "code", "class")
-    links = ordered.mapInArrow(_neighbours(least), "a long, b long")
+    found = cut(ordered.mapInArrow(_neighbours(least), _FOUND))
+    links = found.where("border is null").select("a", "b")
+    links = links.unionByName(found.where("border is not null").groupBy("border").applyInArrow(_over_border(least), "a long, b long"))
     if planned.where("turns = 0").limit(1).count():
         links = links.unionByName(_all_pairs(placed.where("turns = 0"), least))
     links = cut(links.distinct())
