@@ -73,12 +73,15 @@ def mix_sources(docs: DataFrame, seed: int = 0, cycle: tuple[int, ...] = CYCLE,
 
     Null source: a source of its own, the last. Null or blank text: size 0, taken 0. Null doc_id:
     hashes as an empty string. Rows that repeat a doc_id share u; size and then a hash of the text order
-    them, and rows equal in all of that are alike. Columns of docs with clashing names are ignored. Empty table: empty result.
+    them, and rows equal in all of that are alike. A very long text counts whole. Columns of docs with clashing names are ignored. Empty table: empty result.
     """
     key = -F.ln(uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) / quality_weight()
     rows = docs.select("doc_id", "source", size_in_words().alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"), *carry)
     rows = rows.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
+    # the texts are counted and hashed once; only columns to carry are read again
+    slim = cut(rows.drop(*carry))
+    rows = rows if carry else slim
+    sums = slim.groupBy("source", "range").agg(F.sum("size").alias("words"))
     sizes = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = source_targets(sizes, cycle, most)
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0)
