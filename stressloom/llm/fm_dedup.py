@@ -17,18 +17,17 @@ from .shared import public_id
 def _kept_words(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, first_ids = batch.column("id").to_pylist(), batch.column("first_id").to_pylist()
-            ranks = batch.column("copy_rank").to_pylist()
+            copy = batch.column("copy").to_pylist()
             marks = batch.column("marks")
             data, offsets = scan.strings(batch.column("text"))
             start, end, _, of_rows = scan.words(data, offsets, hashes=False)
             kept, counts, removed = [], [], []
-            for r in range(len(ids)):
+            for r in range(batch.num_rows):
                 a, b = int(of_rows[r]), int(of_rows[r + 1])
                 n = b - a
                 counts.append(n)
                 text = data[offsets[r] : offsets[r + 1]].tobytes()
-                if (ids[r] != first_ids[r] or ranks[r] > 1) and n >= window:
+                if copy[r] and n >= window:
                     kept.append(b"")
                     removed.append(n)
                     continue
@@ -48,7 +47,7 @@ def _kept_words(window: int):
     return run
 
 
-def remove_later_repeats(docs: DataFrame, window: int = 20, gram: int = 4, hot: int = 8192) -> DataFrame:
+def remove_later_repeats(docs: DataFrame, window: int = 20, gram: int = 4, hot: int = 8192, key_bits: int = 64) -> DataFrame:
     """Remove each word covered by a window of `window` words that also starts earlier.
 
     Words are runs of anything but space and the ASCII line and tab controls, unchanged. Earlier:
@@ -60,13 +59,8 @@ def remove_later_repeats(docs: DataFrame, window: int = 20, gram: int = 4, hot:
     copies, but for one; rows of one doc_id with different texts are ordered by a hash of the text.
     Null doc_id comes before all others. Other columns are ignored. An empty table gives an empty result.
     """
-    plan = Plan(words=True, window=window, gram=gram, hot=hot)
-    found = marked_texts(docs, plan, mark_with_fm_index(plan))
-    # rows that repeat an id and its text: the ones after the first are later copies
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(1))).alias("copy_rank")
-    found = found.select("id", "first_id", "text", "marks", rank)
+    plan = Plan(words=True, window=window, gram=gram, hot=hot, key_bits=key_bits)
+    found = marked_texts(docs, plan, mark_with_fm_index(plan)).select("id", "text", "copy", "marks")
     out = found.mapInArrow(_kept_words(window), "id long, n_words long, n_removed long, kept binary")
     return out.select(public_id("id").alias("doc_id"), "n_words", "n_removed", "kept")
 

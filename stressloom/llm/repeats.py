@@ -24,7 +24,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bytescan as scan
 from .shared import cut, internal_id, small_batches, text_key
@@ -44,7 +44,9 @@ class Plan:
     gram: int
     hot: int = 8192
     fine: int = 16
-    block: int = 3 << 20
+    block: int = 2 << 20
+    #: Bits of the first half of a text's 128 that tell copies; fewer than 64 only make unequal halves likelier to clash.
+    key_bits: int = 64
 
 
 def _tokens(plan: Plan, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,38 +188,43 @@ def _mark_rows(plan: Plan, mark: Callable) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-def mark_with_run_length_index(plan: Plan) -> Callable[[dict[bytes, list]], np.ndarray]:
-    """Every window that also starts elsewhere."""
+def _stands(stands: list[bytes]) -> np.ndarray:
+    """Where a segment stands: (id, key, first) in order. Rows that repeat an id and its text give a place more than once; it counts once."""
+    where = np.frombuffer(b"".join(stands), dtype=np.int64).reshape(-1, 3)
+    where = where[np.lexsort((where[:, 2], where[:, 1], where[:, 0]))]
+    return where if len(where) == 1 else where[np.r_[True, (where[1:] != where[:-1]).any(axis=1)]]
+
+
+def mark_with_run_length_index(plan: Plan, keep_first: bool = False) -> Callable[[dict[bytes, list]], np.ndarray]:
+    """Every window that also starts elsewhere, or with keep_first, earlier: in a text of smaller (id, key), or before in the same."""
 
     def mark(segments: dict[bytes, list]) -> np.ndarray:
         from .suffixes import RunLengthIndex
 
-        w, out, alone = plan.window, [], []
-        texts, begins, ends, at = [], [], [], 0
-        gap = np.zeros(1, np.uint8)
+        w, out, items = plan.window, [], []
         for segment, stands in segments.items():
-            where = np.frombuffer(b"".join(stands), dtype=np.int64).reshape(-1, 3)
-            begins.append(at)
-            texts += [np.frombuffer(segment, dtype=np.uint8) + np.uint8(1), gap]
-            ends.append(at + len(segment) - w + 1)
-            at += len(segment) + 1
+            where = _stands(stands)
+            again = where[1:] if keep_first else where
             if len(where) > 1:
-                out.append(np.column_stack([where, where[:, 2] + len(segment) - w + 1]))
-                alone.append(None)
-            else:
-                alone.append(where[0])
-        repeated = RunLengthIndex(np.concatenate(texts)).matching_statistics() >= w
+                out.append(np.column_stack([again, again[:, 2] + len(segment) - w + 1]))
+            items.append((*where[0].tolist(), segment, keep_first or len(where) == 1))
+        items.sort()
+        gap = np.zeros(1, np.uint8)
+        text = np.concatenate([x for i in items for x in (np.frombuffer(i[3], dtype=np.uint8) + np.uint8(1), gap)])
+        ends = np.cumsum([len(i[3]) + 1 for i in items])
+        begins = np.r_[0, ends[:-1]]
+        index = RunLengthIndex(text)
+        marked = index.earlier(w) if keep_first else index.matching_statistics() >= w
         # what starts too near to the end of its segment may match on across the gap
-        whole = np.zeros(at + 1, dtype=np.int8)
+        whole = np.zeros(len(text) + 1, dtype=np.int8)
         whole[begins] = 1
-        whole[ends] = -1
-        repeated &= np.cumsum(whole[:-1]) > 0
-        edge = np.flatnonzero(np.diff(np.r_[False, repeated, False].astype(np.int8)))
-        begins = np.array(begins)
+        whole[ends - w] = -1
+        marked &= np.cumsum(whole[:-1], dtype=np.int8) > 0
+        edge = np.flatnonzero(np.diff(np.r_[False, marked, False].astype(np.int8)))
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             i = int(np.searchsorted(begins, a, side="right")) - 1
-            if alone[i] is not None:
-                who, key, first = alone[i]
+            who, key, first, _, asked = items[i]
+            if asked:
                 out.append(np.array([[who, key, first + a - begins[i], first + b - begins[i]]]))
         return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
 
@@ -232,10 +239,7 @@ def mark_with_fm_index(plan: Plan) -> Callable[[dict[bytes, list]], np.ndarray]:
 
         w, out, items = plan.window, [], []
         for segment, stands in segments.items():
-            where = np.frombuffer(b"".join(stands), dtype=np.int64).reshape(-1, 3)
-            where = where[np.lexsort((where[:, 2], where[:, 1], where[:, 0]))]
-            if len(where) > 1:  # rows that repeat an id and its text give a place more than once
-                where = where[np.r_[True, (where[1:] != where[:-1]).any(axis=1)]]
+            where = _stands(stands)
             if len(where) > 1:  # all but the first stand later as a whole
                 out.append(np.column_stack([where[1:], where[1:, 2] + segment.count(b" ") + 1 - w + 1]))
             items.append((*where[0].tolist(), segment))
@@ -260,14 +264,18 @@ def mark_with_fm_index(plan: Plan) -> Callable[[dict[bytes, list]], np.ndarray]:
 
 
 def marked_texts(docs: DataFrame, plan: Plan, mark: Callable, carry: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, text) to one row per row of docs: id, text, first_id and copies of its whole
-    text, and marks: runs [first, end) of windows found by mark, in the text of least id among copies. Columns of docs named in carry follow."""
+    """docs (doc_id, text) to one row per row of docs: id, text, copies of its whole text (told by 128 bits), copy (whether it is another than the
+    first of them, which has the least id), and marks: runs [first, end) of windows found by mark, in the first among copies. Columns of docs named in
+    carry follow."""
     small_batches(docs.sparkSession)
-    texts = docs.select(internal_id("doc_id").alias("id"), text_key().alias("key"), "text")
-    keys = cut(texts.select("id", "key"))
-    same = keys.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-
-    grams = texts.select("key", "text").mapInArrow(_gram_rows(plan), "gram long, key long")
+    named = [internal_id("doc_id").alias("id"), text_key(bits=plan.key_bits).alias("key"), text_key(1).alias("check"), "text"]
+    every = docs.select(*named, *carry)
+    texts = every.select("id", "key", "text")
+    keys = cut(every.select("id", "key", "check"))
+    same = keys.groupBy("key", "check").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    rows = keys.groupBy("id", "key", "check").agg(F.count(F.lit(1)).alias("rows"))
+
+    grams = every.select(F.col("check").alias("key"), "text").mapInArrow(_gram_rows(plan), "gram long, key long")
     shared = grams.groupBy("gram").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("texts"))
     shared = cut(shared.where("least <> most").select("gram", "texts"))
     # the places of a heavy hash are salted; at most HEAVY hashes have more than a HEAVY-th of all, so they may go to every task
@@ -283,7 +291,7 @@ def marked_texts(docs: DataFrame, plan: Plan, mark: Callable, carry: tuple[str,
         .groupBy("id", "key")
         .agg(F.collect_list(F.struct("gram", "where", "hot")).alias("places"))
     )
-    firsts = same.select(F.col("first_id").alias("id"), "key")
+    firsts = same.select(F.col("first_id").alias("id"), "key").distinct()
     places = places.join(firsts, ["id", "key"], "left_semi")
 
     located = texts.join(places.hint("shuffle_hash"), ["id", "key"], "left").select("id", "key", "text", "places")
@@ -295,12 +303,12 @@ def marked_texts(docs: DataFrame, plan: Plan, mark: Callable, carry: tuple[str,
         .groupBy("id", "key")
         .agg(F.collect_list(F.struct("first", "end")).alias("marks"))
     )
-    # copies carry the marks of the first among them, whose id they learn through the key
-    known = (
-        keys.distinct()
-        .join(same, "key")
-        .join(marks.select(F.col("id").alias("first_id"), "key", "marks"), ["first_id", "key"], "left")
-        .select("id", "key", "first_id", "copies", "marks")
-    )
-    whole = docs.select(internal_id("doc_id").alias("id"), text_key().alias("key"), "text", *carry) if carry else texts
-    return whole.join(known.hint("shuffle_hash"), ["id", "key"], "left").select("id", "key", "text", "first_id", "copies", "marks", *carry)
+    # copies carry the marks of the first among them, whose id they learn through both keys
+    marks = marks.select(F.col("id").alias("first_id"), "key", "marks")
+    known = rows.join(same, ["key", "check"]).join(marks, ["first_id", "key"], "left").select("id", "key", "check", "first_id", "copies", "marks")
+    found = every.join(known.hint("shuffle_hash"), ["id", "key", "check"], "left")
+    copy = F.col("id") != F.col("first_id")
+    if rows.where("rows > 1").limit(1).count():  # of rows that repeat an id and its text, one is the first
+        rank = F.row_number().over(Window.partitionBy("id", "key", "check").orderBy(F.lit(1)))
+        copy = copy | (rank > 1)
+    return found.select("id", "text", "copies", copy.alias("copy"), "marks", *carry)

@@ -27,13 +27,13 @@ def _removed(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = scan.strings(batch.column("text"))
-            marks, copies = batch.column("marks"), batch.column("copies").to_pylist()
+            marks, whole = batch.column("marks"), batch.column("whole").to_pylist()
             kept, spans, sizes = [], [], []
             for r in range(batch.num_rows):
                 text = data[offsets[r] : offsets[r + 1]]
                 n = len(text)
                 sizes.append(n)
-                if copies[r] > 1 and n >= window:
+                if whole[r] and n >= window:
                     kept.append(b"")
                     spans.append([{"start": 0, "end": n}])
                 elif marks[r].is_valid:
@@ -51,20 +51,22 @@ def _removed(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 400, gram: int = 64, hot: int = 8192, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Remove each byte covered by a `window`-byte string that also starts anywhere else.
+def remove_repeats(docs: DataFrame, window: int = 400, gram: int = 64, hot: int = 8192, carry: tuple[str, ...] = (), keep_first: bool = False, key_bits: int = 64) -> DataFrame:
+    """Remove each byte covered by a `window`-byte string that also starts anywhere else, or with keep_first, that also starts earlier: in a
+    document of smaller doc_id, or before in the same one.
 
     Whole texts as UTF-8; matches never cross documents, may overlap, and are judged on the input.
     Returns doc_id, n_bytes, kept (binary: the remaining bytes) and spans (maximal removed runs of
     bytes [start, end)), and the columns of docs named in carry; one row per row of docs.
 
     Null or empty text: nothing to remove. Texts under `window` bytes: kept. Repeated rows and
-    equal texts are copies of each other: all of their bytes go once they have `window` bytes. Null
-    doc_id: the row is a document like others and keeps its null. Other columns are ignored.
-    An empty table gives an empty result.
+    equal texts are copies of each other: all of their bytes go once they have `window` bytes; with keep_first, one row, of the least doc_id, stays. Null
+    doc_id: the row is a document like others, comes before them and keeps its null. Rows of one doc_id with different texts are ordered by a
+    hash of the text. A very long text is scanned in slices. Other columns are ignored. An empty table gives an empty result.
     """
-    plan = Plan(words=False, window=window, gram=gram, hot=hot)
-    found = marked_texts(docs, plan, mark_with_run_length_index(plan), carry).select("id", "text", "copies", "marks", *carry)
+    plan = Plan(words=False, window=window, gram=gram, hot=hot, key_bits=key_bits)
+    whole = F.col("copy") if keep_first else F.col("copies") > 1
+    found = marked_texts(docs, plan, mark_with_run_length_index(plan, keep_first), carry).select("id", "text", whole.alias("whole"), "marks", *carry)
     schema = "id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
     schema = ", ".join([schema, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)])
     out = found.mapInArrow(_removed(window), schema)

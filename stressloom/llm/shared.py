@@ -22,9 +22,11 @@ def public_id(name: str) -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 
 
-def text_key() -> Column:
-    """64 bits that stand for a whole text (null counts as empty)."""
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+def text_key(half: int = 0, bits: int = 64) -> Column:
+    """64 bits that stand for a whole text (null counts as empty); both halves tell texts apart by 128."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.xxhash64(F.lit(half), text) if half else F.xxhash64(text)
+    return key if bits == 64 else key.bitwiseAND(F.lit((1 << bits) - 1))
 
 
 #: So many rows of a few short values may go to every task.

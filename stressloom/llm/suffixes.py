@@ -73,9 +73,9 @@ def common_bytes(ahead: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class RunLengthIndex:
     """A run-compressed Burrows-Wheeler transform with sampled run ends.
 
-    Kept per run: its byte, its length, and at its two ends a text place with the length of the
-    prefix shared with the neighbour across the border. Inside a run the shared length one place
-    further on in the text is one less, so the samples give the matching statistics everywhere.
+    Kept per run: its byte, its length, and at its two ends a text place with the place of the suffix across the border
+    and the length of the prefix shared with it. Inside a run the neighbour of the next place in the text is
+    the place next to the neighbour, and the shared length is one less, so the samples give neighbours and matching statistics everywhere.
     """
 
     def __init__(self, text: np.ndarray) -> None:
@@ -83,32 +83,65 @@ class RunLengthIndex:
         ahead = eight_bytes(text)
         order = suffix_order(ahead, 8)
         before = np.where(order > 0, text[order - 1].astype(np.int16), np.int16(-1))
-        border = before[1:] != before[:-1]
-        heads = np.flatnonzero(np.r_[True, border]) if n else np.zeros(0, np.int64)
+        heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]]) if n else np.zeros(0, np.int64)
+        #: The transform: its runs.
         self.run_byte = before[heads]
         self.run_length = np.diff(np.r_[heads, n])
         inner = heads[1:]
         shared = common_bytes(ahead, order[inner - 1], order[inner])
-        #: At the head of a run: shared with the suffix before it. At its end: with the one after.
-        self.head_place = order[heads].astype(np.int64)
-        self.head_shared = np.r_[0, shared] if n else shared
-        ends = np.r_[inner - 1, n - 1] if n else heads
-        self.end_place = order[ends].astype(np.int64)
-        self.end_shared = np.r_[shared, 0] if n else shared
-
-    def _stream(self, place: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        at = np.zeros(self.n, dtype=np.int64)
-        value = np.zeros(self.n, dtype=np.int64)
+        #: At the head of a run: the suffix before it. At its end: the one after.
+        self.head_place = order[heads]
+        self.head_shared = np.r_[0, shared].astype(np.int32) if n else shared
+        self.end_place = order[np.r_[inner - 1, n - 1]] if n else order
+        self.end_shared = np.r_[shared, 0].astype(np.int32) if n else shared
+
+    def transform(self) -> np.ndarray:
+        """The byte before each suffix in their order, -1 for the whole text."""
+        return np.repeat(self.run_byte, self.run_length)
+
+    def _stream(self, place: np.ndarray, shared: np.ndarray, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Shared length at each place in text order, and the neighbour if asked for."""
+        at = np.zeros(self.n, dtype=np.int32)
         at[place] = place
-        value[place] = shared
         np.maximum.accumulate(at, out=at)
-        return value[at] - (np.arange(self.n) - at)
+        value = np.zeros(self.n, dtype=np.int32)
+        value[place] = shared
+        on = np.arange(self.n, dtype=np.int32) - at
+        length = value[at] - on
+        if near is None:
+            return length, None
+        value[place] = near
+        return length, value[at] + on
 
     def matching_statistics(self) -> np.ndarray:
         """For each place in text order, the longest prefix of what follows that also starts elsewhere."""
         if not self.n:
-            return np.zeros(0, np.int64)
-        return np.maximum(self._stream(self.head_place, self.head_shared), self._stream(self.end_place, self.end_shared))
+            return np.zeros(0, np.int32)
+        return np.maximum(self._stream(self.head_place, self.head_shared)[0], self._stream(self.end_place, self.end_shared)[0])
+
+    def earlier(self, window: int) -> np.ndarray:
+        """For each place, whether the `window` bytes that start there also start at an earlier place. Suffixes that share them are
+        neighbours in a row; the least place of a row is found by doubling the steps along it, both ways."""
+        place = np.arange(self.n, dtype=np.int32)
+        least = place.copy()
+        if not self.n:
+            return least < place
+        ways = ((self.head_place, self.head_shared, np.r_[self.head_place[:1], self.end_place[:-1]]), (self.end_place, self.end_shared, np.r_[self.head_place[1:], self.end_place[-1:]]))
+        for own, shared, near in ways:
+            length, step = self._stream(own, shared, near)
+            step = np.where(length >= window, step, place)
+            m = place.copy()
+            live = np.flatnonzero(step != place)
+            while len(live):
+                to = step[live]
+                # all read before any is written, so that a step covers twice as much as the one before
+                near_m, further = m[to], step[to]
+                m[live] = np.minimum(m[live], near_m)
+                moved = further != to
+                step[live] = further
+                live = live[moved]
+            np.minimum(least, m, out=least)
+        return least < place
 
 
 class WaveletTree:
