@@ -144,25 +144,38 @@ class RunLengthIndex:
         return least < place
 
 
+class Bits:
+    """A bit vector, 64 to a word, with the number of ones before each word in 32 bits: 1.5 bits a place."""
+
+    def __init__(self, bit: np.ndarray) -> None:
+        packed = np.packbits(bit, bitorder="little")
+        self.words = np.zeros(len(bit) // 64 + 1, dtype=np.uint64)
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.before = np.zeros(len(self.words), dtype=np.int32)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
+
+    def rank(self, end: np.ndarray) -> np.ndarray:
+        """Ones in front of each place."""
+        word = end >> 6
+        inside = self.words[word] & ((np.uint64(1) << (end & 63).astype(np.uint64)) - np.uint64(1))
+        return self.before[word] + np.bitwise_count(inside)
+
+
 class WaveletTree:
-    """Bit planes of a symbol sequence, each stably split by the bit above, with rank blocks."""
+    """Bit planes of a symbol sequence, each stably split by the bit above."""
 
     def __init__(self, symbols: np.ndarray, bits: int) -> None:
-        self.bits, self.planes, n = bits, [], len(symbols)
+        self.bits, self.planes = bits, []
         for level in range(bits - 1, -1, -1):
             bit = (symbols >> level & 1).astype(bool)
-            packed = np.packbits(np.r_[bit, np.zeros(-n % 64 + 64, bool)], bitorder="little").view(np.uint64)
-            counts = np.r_[0, np.cumsum(np.bitwise_count(packed))[:-1]].astype(np.int64)
-            zeros = n - int(bit.sum())
-            self.planes.append((packed, counts, zeros))
+            self.planes.append((Bits(bit), int(len(bit) - bit.sum())))
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
 
     def rank(self, symbol: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Where the prefix up to end lands among the sorted occurrences of each symbol."""
         at = end.astype(np.int64)
-        for level, (packed, counts, zeros) in zip(range(self.bits - 1, -1, -1), self.planes, strict=True):
-            word = at >> 6
-            ones = counts[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+        for level, (plane, zeros) in zip(range(self.bits - 1, -1, -1), self.planes, strict=True):
+            ones = plane.rank(at)
             at = np.where(symbol >> level & 1 == 1, zeros + ones, at - ones)
         return at
 
@@ -170,8 +183,8 @@ class WaveletTree:
 class FMIndex:
     """Backward search over the Burrows-Wheeler transform held in a wavelet tree.
 
-    text holds symbols from 1 and 0 between segments. For windows of `window` symbols it keeps
-    the interval of suffixes that share that many symbols and the first place among them.
+    text holds symbols from 1 and 0 between segments. For windows of `window` symbols it keeps the intervals of
+    suffixes that share that many symbols, as a bit at the head of each, and the first place among them. The suffix order itself isn't kept.
     """
 
     def __init__(self, text: np.ndarray, window: int) -> None:
@@ -196,9 +209,13 @@ class FMIndex:
         head = np.ones(n, dtype=bool)
         head[linked] = False
         starts = np.flatnonzero(head)
-        self.lowest = np.repeat(starts, np.diff(np.r_[starts, n]))
-        self.highest = np.repeat(np.r_[starts[1:], n] if n else starts, np.diff(np.r_[starts, n]))
-        self.earliest = np.repeat(np.minimum.reduceat(order, starts), np.diff(np.r_[starts, n])) if n else order
+        self.heads = Bits(head)
+        self.bounds = np.r_[starts, n].astype(np.int32)
+        self.earliest = np.minimum.reduceat(order, starts) if n else order
+
+    def interval(self, place: np.ndarray) -> np.ndarray:
+        """The number of the interval that holds a place of the suffix order."""
+        return self.heads.rank(place + 1) - 1
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the interval of symbol + what [low, high) stands for."""
@@ -223,7 +240,8 @@ class FMIndex:
             low, high = self.extend(text[at].astype(np.int64), low, high)
             if t + 1 >= self.window:
                 # one symbol more than the window was matched at most: widen to the window's interval
-                low, high = self.lowest[low], self.highest[low]
+                own = self.interval(low)
+                low, high = self.bounds[own].astype(np.int64), self.bounds[own + 1].astype(np.int64)
                 count[at] = high - low
-                first[at] = self.earliest[low]
+                first[at] = self.earliest[own]
         return count, first
