@@ -260,7 +260,7 @@ def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame
     Equal sets, told by 128 bits, are joined as one class. Tokens are ordered by how often their cell stands in the
     corpus. Tokens that stand in the same classes' prefixes become one list that counts as many matches. While lists hold
     more pairs than places, a list's classes are compared with one of them only, in rounds; links found unite classes, and rounds
-    go on while they take a quarter off what is left. Then classes that stay apart, whose sizes, places and parities allow a link and that share as many prefix tokens
+    go on while they halve what is left and ask about no fewer pairs than before, by a quarter. Then classes that stay apart, whose sizes, places and parities allow a link and that share as many prefix tokens
     as the lesser of the two asks for, are verified, so no link between components is lost,
     and a group of near copies doesn't become all its pairs. A very long text is one set of its distinct shingles in
     one task, 8 bytes each.
@@ -315,19 +315,23 @@ def similar_texts(docs: DataFrame, plan: Similarity = Similarity()) -> DataFrame
     # is verified against the nearest by parity that another component holds. First it is the class with the most shared tokens, as
     # copies share fewer the more they were changed; later a few are drawn.
     now = shared.withColumn("component", F.col("class"))
-    links, turn = None, 0
+    links, turn, asked = None, 0, 0
     left, places = _left(now)
     while left > places:
         order = (F.xxhash64("class", F.pmod("token", F.lit(PICKS)), F.lit(turn)) if turn else -F.col("met")).alias("order")
         picks = now.groupBy("token").agg(F.min(F.struct(order, "class", "component", "n", *BITS)).alias("pick"))
         picks = picks.select("token", F.col("pick.class").alias("b"), F.col("pick.n").alias("nb"), *(F.col(f"pick.{c}").alias(f"b{c}") for c in BITS), F.col("pick.component").alias("of_b"))
         star = _side(now, "a", F.col("token"), F.col("component").alias("of_a")).join(picks, "token").where(F.col("of_a") != F.col("of_b")).where(may_link(plan))
-        found = verified(star.select("a", "b", differing().alias("near")).groupBy("a").agg(F.min_by("b", F.struct("near", "b")).alias("b")))
+        star = cut(star.select("a", "b", differing().alias("near")).groupBy("a").agg(F.min_by("b", F.struct("near", "b")).alias("b")))
+        last, asked = asked, star.count()
+        if 4 * asked < 3 * last or not asked:
+            break
+        found = verified(star)
         links = found if links is None else links.unionByName(found)
         united = cut(components(links))
         now = cut(shared.join(to_all_if_few(united.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class")))
         before, left, turn = left, _left(now)[0], turn + 1
-        if 4 * left > 3 * before:
+        if 2 * left > before:
             break
 
     # a: the larger set of a pair
