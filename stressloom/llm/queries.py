@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, embeddings, fm_dedup, jaccard, language, mixing, quality, run_length_dedup, toxicity
+from . import chat, conversations, decontam, embeddings, features, fm_dedup, jaccard, language, mixing, packing, quality, run_length_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,20 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op12_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.point_in_time(*(_table(spark, sf_dir, name) for name in ("sales", "clicks", "sale_lines")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_array_dedup, op2_toxicity, op3_quality, op4_chat_formatting, op5_language_id, op6_embedding_near_dedup, op7_benchmark_decontamination, op8_substring_dedup, op9_source_mixing, op10_ngram_jaccard_join)
+    found = (op1_suffix_array_dedup, op2_toxicity, op3_quality, op4_chat_formatting, op5_language_id, op6_embedding_near_dedup, op7_benchmark_decontamination, op8_substring_dedup, op9_source_mixing, op10_ngram_jaccard_join, op11_packing, op12_point_in_time, op13_conversation_repair)
     return {f.__name__: f for f in found}
 
 
@@ -196,6 +208,93 @@ FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reac
 """
 
 
+#: The table of the checksum, from its polynomial, and the checksum of an ASCII text by it.
+STEPS = "SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)"
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP12 = f"""
+WITH steps AS (
+  {STEPS}
+), asked AS (
+  SELECT row_number() OVER () AS r, sale_id, client_id, epoch_us(sold_at) AS e, epoch_us(arrived_at) + 14400000000 AS known, coalesce(floor(100 * total + 0.5)::BIGINT, 0) AS cents,
+    epoch_us(sold_at) + {_crc("sale_id::VARCHAR")} % 259200 * 1000000 AS t
+  FROM sales, steps WHERE client_id IS NOT NULL AND sold_at IS NOT NULL
+), probes AS (SELECT r, sale_id, client_id, t, d FROM asked, (SELECT unnest([2, 14])::INT AS d)),
+once AS (SELECT DISTINCT click_id, ts, arrived_at, client_id, kind, value, props FROM clicks),
+seen AS (
+  SELECT r, d, count(*) AS n_clicks, count(*) FILTER (kind = 'purchase') AS n_purchases, sum(coalesce(floor(100 * value + 0.5)::BIGINT, 0)) AS click_cents, arg_max(click_id, (ts, click_id)) AS last_click_id
+  FROM probes p JOIN once c ON c.client_id = p.client_id AND epoch_us(c.ts) > t - d * 86400000000 AND epoch_us(c.ts) <= t AND epoch_us(c.arrived_at) + 14400000000 <= t GROUP BY r, d
+), before AS (
+  SELECT p.r, d, p.t, s.r AS q, s.sale_id, s.cents FROM probes p JOIN asked s ON s.client_id = p.client_id AND s.e > p.t - d * 86400000000 AND s.e <= p.t AND s.known <= p.t
+), bought AS (SELECT r, d, count(*) AS n_sales, sum(cents) AS sale_cents FROM before GROUP BY r, d),
+sent AS (
+  SELECT r, d, count(*) AS n_lines, count(DISTINCT item_id) AS n_items, sum(coalesce(floor(100 * amount + 0.5)::BIGINT, 0)) AS line_cents
+  FROM before b JOIN sale_lines l ON l.sale_id = b.sale_id AND epoch_us(l.shipped_at) <= b.t GROUP BY r, d
+), labels AS (SELECT DISTINCT p.r FROM asked p JOIN asked s ON s.client_id = p.client_id AND s.e > p.t AND s.e <= p.t + 604800000000)
+SELECT p.sale_id, p.d, p.t AS t_us, l.r IS NOT NULL AS label, coalesce(n_clicks, 0)::BIGINT AS n_clicks, coalesce(n_purchases, 0)::BIGINT AS n_purchases, coalesce(click_cents, 0)::BIGINT AS click_cents, last_click_id,
+  coalesce(n_sales, 0)::BIGINT AS n_sales, coalesce(sale_cents, 0)::BIGINT AS sale_cents, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(line_cents, 0)::BIGINT AS line_cents
+FROM probes p LEFT JOIN seen USING (r, d) LEFT JOIN bought USING (r, d) LEFT JOIN sent USING (r, d) LEFT JOIN labels l ON l.r = p.r
+"""
+
+OP13 = rf"""
+WITH RECURSIVE steps AS (
+  {STEPS}
+), hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h
+  FROM conversations, steps
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM hashed, (SELECT unnest(range(2)) AS copy) WHERE h <> 0 AND (copy = 0 OR h = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) - 1 AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS solid FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN solid = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, left(role, 1) AS k FROM placed
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || k NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
+), costs AS (
+  SELECT conv_id, n AS i, 6::BIGINT AS n0, 6::BIGINT AS ns, 3::BIGINT AS nu, 0::BIGINT AS na, 0::BIGINT AS f0 FROM counts
+  UNION ALL
+  SELECT conv_id, i, least(b0, 3 + least(bu, 3 + ba)), least(bs, 3 + least(bu, 3 + ba)), least(bu, 3 + ba), least(ba, 3 + bu), least(b0, 3 + least(bu, 3 + ba)) FROM (
+    SELECT j.conv_id, j.i,
+      least(4 + p0, CASE WHEN fault IN ('', 't') THEN (CASE WHEN fault = 't' THEN 3 ELSE 0 END) + least(3 + c.nu, CASE k WHEN 's' THEN c.ns WHEN 'u' THEN c.nu ELSE 999999999 END) ELSE 999999999 END) AS b0,
+      least(4 + c.ns, CASE WHEN fault IN ('', 't') THEN (CASE WHEN fault = 't' THEN 3 ELSE 0 END) + least(3 + c.nu, CASE k WHEN 'u' THEN c.nu ELSE 999999999 END) ELSE 999999999 END) AS bs,
+      least(4 + c.nu, CASE WHEN fault IN ('', 't') THEN (CASE WHEN fault = 't' THEN 3 ELSE 0 END) + least(3 + c.na, CASE k WHEN 'a' THEN c.na ELSE 999999999 END) ELSE 999999999 END) AS bu,
+      least(4 + c.na, CASE WHEN fault IN ('', 't') THEN (CASE WHEN fault = 't' THEN 3 ELSE 0 END) + least(3 + c.nu, CASE k WHEN 'u' THEN c.nu ELSE 999999999 END) ELSE 999999999 END) AS ba
+    FROM (SELECT *, f0 AS p0 FROM costs) c JOIN judged j ON j.conv_id IS NOT DISTINCT FROM c.conv_id AND j.i = c.i - 1)
+)
+, walk AS (
+  SELECT conv_id, 0::BIGINT AS i, '0' AS s, '' AS audit, '' AS made, 0::BIGINT AS step FROM counts
+  UNION ALL
+  SELECT conv_id, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE WHEN e = 'D' THEN s WHEN e = 'K' AND k = 's' THEN 's' WHEN s = 'u' THEN 'a' ELSE 'u' END, audit || e,
+    made || CASE e WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || CASE WHEN s = 'u' THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END END, step + 1
+  FROM (
+    SELECT w.*, j.k, j.role, j.text, CASE
+      WHEN j.k IS NOT NULL AND now = 4 + CASE s WHEN '0' THEN x.f0 WHEN 's' THEN x.ns WHEN 'u' THEN x.nu ELSE x.na END THEN 'D'
+      WHEN now = 3 + CASE s WHEN 'u' THEN c.na ELSE c.nu END THEN 'I'
+      WHEN fault IN ('', 't') AND now = (CASE WHEN fault = 't' THEN 3 ELSE 0 END) + CASE WHEN s = '0' AND k = 's' THEN x.ns WHEN s <> 'u' AND k = 'u' THEN x.nu WHEN s = 'u' AND k = 'a' THEN x.na ELSE 999999999 END THEN 'K'
+      ELSE 'R' END AS e
+    FROM walk w JOIN (SELECT * FROM costs) c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.i = w.i, LATERAL (SELECT CASE w.s WHEN '0' THEN c.f0 WHEN 's' THEN c.ns WHEN 'u' THEN c.nu ELSE c.na END AS now)
+      LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i LEFT JOIN (SELECT * FROM costs) x ON x.conv_id IS NOT DISTINCT FROM w.conv_id AND x.i = w.i + 1
+    WHERE j.k IS NOT NULL OR now > 0)
+), ends AS (
+  SELECT conv_id, arg_max(audit, step) AS audit, arg_max(made, step) AS made FROM walk GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(f0, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(substr(made, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+  LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN (SELECT * FROM costs WHERE i = 0) z ON z.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_array_dedup": OP1,
@@ -204,4 +303,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_substring_dedup": OP8,
         "op9_source_mixing": OP9,
         "op10_ngram_jaccard_join": OP10,
+        "op12_point_in_time": OP12,
+        "op13_conversation_repair": OP13,
     }
