@@ -1,4 +1,8 @@
-"""Hop distances over undirected edges with dense node ids."""
+"""Hop distances over undirected edges with dense node ids.
+
+Where the adjacency fits into a task, tasks search from 64 sources at a time. Else frontiers are rows (node, block of 64 sources, mask), and a step is a join
+and a bitwise or.
+"""
 
 from __future__ import annotations
 
@@ -12,8 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.cuts import cut, numbered
 from .graph import mirrored
 
-#: Edges, both ways, that may be sent to every task.
-MOST_BROADCAST = 20_000_000
+#: Bytes of adjacency that may be sent to every task: 8 a node for the offsets, 4 an edge and way. A search holds 16 more a node.
+MOST_BROADCAST = 96 << 20
 
 
 #: Sources that one search takes together, a bit each.
@@ -49,9 +53,9 @@ def _search(offsets: np.ndarray, targets: np.ndarray, sources: np.ndarray) -> It
 
 
 def _adjacency(edges: DataFrame, n: int):
-    """The neighbours of each node as two arrays, sent to every task; None above MOST_BROADCAST."""
+    """The neighbours of each node as two arrays, sent to every task; None above MOST_BROADCAST, whether by edges or by nodes."""
     count = edges.count()
-    if 2 * count > MOST_BROADCAST:
+    if 8 * (n + 1) + 8 * count > MOST_BROADCAST:
         return None
     rows = mirrored(edges).toArrow() if count else pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64())})
     src, dst = rows.column("src").to_numpy(), rows.column("dst").to_numpy()
@@ -70,12 +74,12 @@ def all_pairs(edges: DataFrame, n: int, sources: list[int] | None = None) -> Dat
     """(u, v, d) with u < v for all pairs that a path joins; with sources, (u, v, d) from these to all others.
 
     Sources are spread over tasks that hold the adjacency as two arrays, so no row is shuffled. Above
-    MOST_BROADCAST the distances come from a loop of joins instead.
+    MOST_BROADCAST the distances come from frontiers of source masks instead.
     """
     spark = edges.sparkSession
     shared = _adjacency(edges, n)
     if shared is None:
-        return all_pairs_by_joins(edges, n, sources)
+        return all_pairs_by_masks(edges, sources)
     upper = sources is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +103,7 @@ def histogram(edges: DataFrame, n: int) -> DataFrame:
     """(d, n_pairs): pairs u < v at each distance, counted where they are found."""
     shared = _adjacency(edges, n)
     if shared is None:
-        return all_pairs_by_joins(edges, n).groupBy("d").agg(F.count(F.lit(1)).alias("n_pairs"))
+        return histogram_by_masks(edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, targets = shared.value
@@ -132,6 +136,91 @@ def all_pairs_by_joins(edges: DataFrame, n: int, sources: list[int] | None = Non
     return reduce(DataFrame.unionByName, reached).where("u < v" if sources is None else "d > 0")
 
 
+def source_blocks(edges: DataFrame, sources: list[int] | None = None) -> DataFrame:
+    """(node, block, bit): sources, all nodes with an edge if none are named, dealt to blocks of 64. Nodes with the same least neighbour are near each other, so that the sources of a
+    block tend to reach the same nodes and share their rows."""
+    both = mirrored(edges)
+    near = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("near"))
+    if sources is not None:
+        near = near.join(edges.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(sources)], "node long"), "node")
+    dense = numbered(near, "number", "near", "node")
+    return dense.select("node", F.shiftright("number", 6).alias("block"), F.col("number").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+
+
+def mask_levels(edges: DataFrame, blocks: DataFrame) -> list[DataFrame]:
+    """(node, block, mask) for each distance from 0 on: a bit for each source of the block that meets the node there.
+
+    A step joins the frontier with the edges and takes the bitwise or of what arrives at a (node, block). A neighbour of a node at distance d is at d - 1, d or d + 1, so what is new is
+    what the last two frontiers don't have. Up to 64 sources share a row, and no task holds anything of the graph's size.
+    """
+    both = cut(mirrored(edges))
+    front = cut(blocks.select("node", "block", F.expr("shiftleft(1L, bit)").alias("mask")))
+    before, levels = front.limit(0), [front]
+    zero = F.lit(0).cast("long")
+    while True:
+        arriving = front.join(both, front["node"] == both["src"]).select(F.col("dst").alias("node"), "block", F.col("mask").alias("new"), zero.alias("old"))
+        known = front.unionByName(before).select("node", "block", zero.alias("new"), F.col("mask").alias("old"))
+        met = arriving.unionByName(known).groupBy("node", "block").agg(F.bit_or("new").alias("new"), F.bit_or("old").alias("old"))
+        fresh = met.select("node", "block", F.col("new").bitwiseAND(F.bitwise_not("old")).alias("mask")).where("mask <> 0")
+        before, front = front, cut(fresh)
+        if front.isEmpty():
+            return levels
+        levels.append(front)
+
+
+def all_pairs_by_masks(edges: DataFrame, sources: list[int] | None = None) -> DataFrame:
+    """The same rows as all_pairs, by frontiers of source masks: pairs are written out only at the end, from the ids of each block's sources."""
+    blocks = cut(source_blocks(edges, sources))
+    ids = blocks.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bit", "node"))).alias("_s")).select("block", "_s.bit", "_s.node")
+    ids = cut(ids.withColumnRenamed("node", "ids").withColumnRenamed("bit", "bits"))  # at most 64 of each
+    here = "true" if sources is not None else "x < node"
+    rows = [level.withColumn("d", F.lit(d)) for d, level in enumerate(mask_levels(edges, blocks)) if d]
+    if not rows:
+        return edges.sparkSession.createDataFrame([], "u long, v long, d int")
+    found = reduce(DataFrame.unionByName, rows).join(ids, "block")
+    found = found.withColumn("u", F.explode(F.expr(f"filter(ids, (x, i) -> {here} and (shiftright(mask, bits[i]) & 1) = 1)")))
+    return found.select("u", F.col("node").alias("v"), "d")
+
+
+def histogram_by_masks(edges: DataFrame) -> DataFrame:
+    """(d, n_pairs) by counting bits; no pair becomes a row."""
+    levels = mask_levels(edges, source_blocks(edges))
+    none = levels[0].limit(0).withColumn("d", F.lit(0))
+    found = reduce(DataFrame.unionByName, [level.withColumn("d", F.lit(d)) for d, level in enumerate(levels) if d], none)
+    return found.groupBy("d").agg((F.sum(F.bit_count("mask")) / 2).cast("long").alias("n_pairs"))
+
+
+def stress_of(edges: DataFrame, n: int, positions: DataFrame, half: bool = False) -> DataFrame:
+    """One row: the stress of positions (node_id 0 .. n - 1, x, y), summed where the search meets a pair, so that no pair becomes a row. Graphs or layouts too large for
+    a task go by the pair table. A node without a position is an error where a pair has it."""
+    from .stress import stress
+
+    shared = _adjacency(edges, n) if 16 * n <= MOST_BROADCAST else None
+    if shared is None:
+        return stress(pair_table(all_pairs_by_masks(edges)), positions, half)
+    table = positions.select("node_id", "x", "y").where(f"node_id between 0 and {n - 1}").toArrow()
+    at = np.full((n, 2), np.nan)
+    at[table.column("node_id").to_numpy()] = np.column_stack([table.column(c).to_numpy() for c in "xy"])
+    places = edges.sparkSession.sparkContext.broadcast(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (offsets, targets), p = shared.value, places.value
+        total = 0.0
+        for own in _groups(batches):
+            here = p[own]
+            for d, nodes, masks in _search(offsets, targets, own):
+                for i in range(0, len(nodes), 1 << 14):
+                    part = nodes[i : i + (1 << 14)]
+                    bits = np.unpackbits(masks[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, : len(own)].view(bool)
+                    off = np.hypot(p[part, 0, None] - here[:, 0], p[part, 1, None] - here[:, 1]) - d
+                    total += float((off[bits] ** 2).sum()) / (d * d)
+        yield pa.record_batch([pa.array([total])], ["part"])
+
+    found = edges.sparkSession.range(n).mapInArrow(run, "part double")
+    total = found.agg((F.coalesce(F.sum("part"), F.lit(0.0)) * (0.25 if half else 0.5)).alias("stress"))  # each pair is met from both of its ends
+    return total.select(F.when(F.isnan("stress"), F.raise_error(F.lit("no position of a node"))).otherwise(F.col("stress")).alias("stress"))
+
+
 def pair_table(distances: DataFrame) -> DataFrame:
     """(u, v, dij, wij) of reachable pairs u < v: weight 1 / d^2."""
     d = F.col("d").cast("double")

@@ -1,22 +1,23 @@
 """Positions and their refinement by pairwise gradient steps.
 
 A round of pairs without a common node has no order inside, so it is one vector operation, and a schedule of such
-rounds gives the same result on any machine. Strategies: "rounds" (one task per component), "sequential" (pairs one by one
-in a shuffled order), "tiles" (disjoint tiles of two node blocks in parallel, a job a round).
+rounds gives the same result on any machine. Strategies: "rounds" (one task per component), "sequential" (the result of taking pairs one by one
+in some order, by vector steps over pairs that don't depend on each other), "tiles" (disjoint tiles of two node blocks in parallel; positions and pairs stay in the cluster).
 """
 
 from __future__ import annotations
 
 import logging
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import hash_position, hash_uniform
-from ..plans.cuts import cut
-from .schedule import in_block, tile_round
+from ..functions import hash_position, hash_uniform, hash_uniform_of
+from ..plans.cuts import cut, numbered
+from .schedule import in_block, tile_in_round, tile_round
 
 _log = logging.getLogger(__name__)
 #: Nodes nearer than this coincide, and are taken as _APART from each other in x and y.
@@ -85,16 +86,53 @@ def _rounds(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, int]:
     return (r if n % 2 else np.where(v == n - 1, u, r)), m
 
 
+def dependency_levels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The level of each pair, from 1: one more than the larger last level of its two nodes. Pairs of a level share no node, and all that a pair's nodes went through before it is on lower
+    levels, so steps by levels give bit for bit what pairs one by one give."""
+    last, out = [0] * n, []
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        level = max(last[a], last[b]) + 1
+        last[a] = last[b] = level
+        out.append(level)
+    return np.array(out, dtype=np.int64)
+
+
+def _one_by_one(p: np.ndarray, u: np.ndarray, v: np.ndarray, d: np.ndarray, eta: float, log: list | None) -> None:
+    """All pairs in order, by levels; the log keeps the order."""
+    level = dependency_levels(u, v, len(p))
+    by = np.argsort(level, kind="stable")
+    begin = np.searchsorted(level[by], np.arange(1, (level[by[-1]] if len(by) else 0) + 2))
+    before = np.empty((2, len(u), 2)) if log is not None else None
+    for low, high in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        rows = by[low:high]
+        if before is not None:
+            before[0, rows], before[1, rows] = p[u[rows]], p[v[rows]]
+        _step(p, u[rows], v[rows], d[rows], eta)
+    if before is not None:
+        log.append((u, v, before[0], before[1]))
+
+
+ORDERS = ("shuffled", "fixed", "hash")
+
+
 def _refine(p: np.ndarray, u: np.ndarray, v: np.ndarray, d: np.ndarray, etas: list[float], strategy: str, order: str, seed: int, log: list | None, ids: np.ndarray) -> None:
     """u < v: places in p of the pairs, in order; d: their distances."""
     random = np.random.Generator(np.random.PCG64([seed, int(ids[0])]))
     if strategy == "sequential":
-        begin, turns = np.arange(len(u) + 1), len(u)
-    else:
-        of, turns = _rounds(u, v, len(p))
-        by = np.argsort(of, kind="stable")
-        u, v, d = u[by], v[by], d[by]
-        begin = np.searchsorted(of[by], np.arange(turns + 1))
+        for t, eta in enumerate(etas):
+            if order == "hash":
+                turn = np.lexsort((v, u, hash_uniform_of(ids[u], ids[v], seed + t)))
+            else:
+                turn = random.permutation(len(u)) if order == "shuffled" else np.arange(len(u))
+            steps: list | None = [] if log is not None else None
+            _one_by_one(p, u[turn], v[turn], d[turn], eta, steps)
+            for a, b, pa_, pb in steps or ():
+                log.append((np.full(len(a), t, np.int32), ids[a], ids[b], pa_, pb))
+        return
+    of, turns = _rounds(u, v, len(p))
+    by = np.argsort(of, kind="stable")
+    u, v, d = u[by], v[by], d[by]
+    begin = np.searchsorted(of[by], np.arange(turns + 1))
     for t, eta in enumerate(etas):
         for r in random.permutation(turns).tolist() if order == "shuffled" else range(turns):
             at = slice(begin[r], begin[r + 1])
@@ -134,19 +172,21 @@ AUDIT = "iteration int, record_idx long, u long, v long, xi double, yi double, x
 
 
 def refine(pairs: DataFrame, positions: DataFrame, components: DataFrame, etas: list[float], strategy: str = "auto", order: str = "shuffled", seed: int = 0, block: int = 1024, audit: bool = False) -> DataFrame:
-    """New positions (node_id, x, y), or with audit a row per step with the positions before it; record_idx counts the steps of a component.
+    """New positions (node_id, x, y), or with audit a row per step with the positions before it; record_idx counts the steps of a component, with tiles those of all.
 
     Layouts of components don't touch, so each is a group of its own; rates are global. order: "shuffled" by the
-    seed, or "fixed". A node outside `components` is alone and stays. With "rounds" and "sequential" a component's pairs are held by its task, 16 bytes each;
+    seed, "fixed", or with "sequential" also "hash", which SQL can compute too. A node outside `components` is alone and stays. With "rounds" and "sequential" a component's pairs are held by its task, 16 bytes each;
     "auto" takes "rounds" where no component has more than ONE_TASK nodes, and "tiles" beyond.
     """
     if strategy == "auto":
         largest = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        strategy = "tiles" if (largest or 0) > ONE_TASK and not audit else "rounds"
-    if strategy == "tiles":
-        return _refine_tiles(pairs, positions, etas, seed, block, order)
-    if strategy not in ("rounds", "sequential"):
+        strategy = "tiles" if (largest or 0) > ONE_TASK else "rounds"
+    if strategy not in ("rounds", "sequential", "tiles"):
         raise ValueError(f"no strategy {strategy}")
+    if order not in ORDERS or (order == "hash" and strategy != "sequential"):
+        raise ValueError(f"no order {order} for {strategy}")
+    if strategy == "tiles":
+        return _refine_tiles(pairs, positions, etas, seed, block, order, audit)
     of = components.select("node_id", "component")
     places = positions.join(of, "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
     grouped = pairs.join(of.withColumnRenamed("node_id", "u"), "u").select("component", "u", "v", "dij")
@@ -161,54 +201,97 @@ def audit_pairs(log: DataFrame, pairs: DataFrame) -> DataFrame:
     return marked.join(pairs, "pair_idx")
 
 
-def _tile_kernel(positions, etas_at: float, seed: list[int], shuffled: bool):
-    def run(table: pa.Table) -> pa.Table:
-        nodes, p = positions.value
-        u, v = np.searchsorted(nodes, table.column("u").to_numpy()), np.searchsorted(nodes, table.column("v").to_numpy())
-        i, j = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-        far = table.column("dij").to_numpy()
-        own, at = np.unique(np.r_[u, v], return_inverse=True)
-        local = p[own]
-        a, b = at[: len(u)], at[len(u) :]
-        # sub-rounds: inside a block by _rounds, across two blocks by the difference of places along the longer one
-        if i == j:
-            sub, turns = _rounds(np.minimum(a, b), np.maximum(a, b), len(own))
-        else:
-            left, right = np.unique(a), np.unique(b)
-            turns = max(len(left), len(right))
-            sub = (np.searchsorted(left, a) - np.searchsorted(right, b)) % turns
-        order = np.random.Generator(np.random.PCG64([*seed, i, j])).permutation(turns) if shuffled else np.arange(turns)
-        by = np.argsort(sub, kind="stable")
-        begin = np.searchsorted(sub[by], np.arange(turns + 1))
-        for s in order.tolist():
-            rows = by[begin[s] : begin[s + 1]]
-            if len(rows):
-                _step(local, a[rows], b[rows], far[rows], etas_at)
-        return pa.table({"node_id": nodes[own], "x": np.ascontiguousarray(local[:, 0]), "y": np.ascontiguousarray(local[:, 1])})
+_PLACED = "node_id long, x double, y double"
+_LOGGED = f"part int, {_PLACED}, iteration int, turn int, bi int, bj int, step long, u long, v long, xi double, yi double, xj double, yj double"
+
+
+def _tile_kernel(eta: float, seed: list[int], shuffled: bool, audit: tuple[int, int] | None):
+    """A tile's pairs and the positions of its blocks to the new positions, and with audit (sweep, turn) to its log too. Blocks without a tile stay as they are."""
+
+    def run(pairs: pa.Table, places: pa.Table) -> pa.Table:
+        nodes = places.column("node_id").to_numpy()
+        by = np.argsort(nodes)
+        nodes, p = nodes[by], np.column_stack([places.column(c).to_numpy() for c in "xy"])[by].astype(np.float64)
+        log = []
+        if pairs.num_rows:
+            ends = [pairs.column(c).to_numpy() for c in "uv"]
+            order = np.lexsort((ends[1], ends[0]))
+            u, v = ends[0][order], ends[1][order]
+            i, j = pairs.column("bi")[0].as_py(), pairs.column("bj")[0].as_py()
+            far = pairs.column("dij").to_numpy()[order].astype(np.float64)
+            own, at = np.unique(np.r_[u, v], return_inverse=True)
+            where = np.minimum(np.searchsorted(nodes, own), max(len(nodes) - 1, 0))
+            if not len(nodes) or (nodes[where] != own).any():
+                raise ValueError("a pair names a node without a position")
+            local = p[where]
+            a, b = at[: len(u)], at[len(u) :]
+            # sub-rounds: inside a block by _rounds, across two blocks by the difference of places along the longer one
+            if i == j:
+                sub, turns = _rounds(np.minimum(a, b), np.maximum(a, b), len(own))
+            else:
+                left, right = np.unique(a), np.unique(b)
+                turns = max(len(left), len(right))
+                sub = (np.searchsorted(left, a) - np.searchsorted(right, b)) % turns
+            turn = np.random.Generator(np.random.PCG64([*seed, i, j])).permutation(turns) if shuffled else np.arange(turns)
+            by = np.argsort(sub, kind="stable")
+            begin = np.searchsorted(sub[by], np.arange(turns + 1))
+            for s in turn.tolist():
+                rows = by[begin[s] : begin[s + 1]]
+                if len(rows):
+                    if audit:
+                        log.append((u[rows], v[rows], local[a[rows]], local[b[rows]]))
+                    _step(local, a[rows], b[rows], far[rows], eta)
+            p[where] = local
+        column = lambda x: np.ascontiguousarray(x)
+        placed = {"node_id": nodes, "x": column(p[:, 0]), "y": column(p[:, 1])}
+        if not audit:
+            return pa.table(placed)
+        rows = sum(len(x[0]) for x in log)
+        both = lambda n, own, first: pa.array(np.r_[np.zeros(n, own.dtype), own] if not first else np.r_[own, np.zeros(n, own.dtype)])
+        done = [np.concatenate(x) for x in zip(*log, strict=True)] if log else [np.zeros(0, np.int64)] * 2 + [np.zeros((0, 2))] * 2
+        told = {"u": done[0], "v": done[1], "xi": column(done[2][:, 0]), "yi": column(done[2][:, 1]), "xj": column(done[3][:, 0]), "yj": column(done[3][:, 1])}
+        fixed = {"iteration": audit[0], "turn": audit[1], "bi": i if rows else 0, "bj": j if rows else 0}
+        out = {"part": both(len(nodes), np.ones(rows, np.int32), False)} | {c: both(rows, x, True) for c, x in placed.items()}
+        out |= {c: both(len(nodes), np.full(rows, x, np.int32), False) for c, x in fixed.items()} | {"step": both(len(nodes), np.arange(rows), False)}
+        return pa.table(out | {c: both(len(nodes), x, False) for c, x in told.items()})
 
     return run
 
 
-def _refine_tiles(pairs: DataFrame, positions: DataFrame, etas: list[float], seed: int, block: int, order: str) -> DataFrame:
-    """Only positions, two doubles a node, pass through the driver; pairs stay in a table that is parted by round, so that a job reads
-    its own round's pairs and no others."""
-    spark = pairs.sparkSession
-    table = positions.orderBy("node_id").toArrow()
-    nodes, p = table.column("node_id").to_numpy(), np.column_stack([table.column(c).to_numpy() for c in "xy"]).astype(np.float64)
-    blocks = max(1, -(-int(nodes.max() + 1) // block)) if len(nodes) else 1
+#: Rounds that follow each other in one job, before positions are cut.
+_ROUNDS_A_JOB = 6
+
+
+def _refine_tiles(pairs: DataFrame, positions: DataFrame, etas: list[float], seed: int, block: int, order: str, audit: bool) -> DataFrame:
+    """Positions are a table by node, pairs a table parted by round. In a round each block belongs to one tile at most, so the round is one cogroup of the positions, keyed by
+    their block's tile, with the pairs of the tiles. Nothing of the graph's size passes through the driver, which knows the numbers of the rounds alone; a task holds a tile."""
     (bi, _), (bj, _) = in_block(F.col("u"), block), in_block(F.col("v"), block)
+    blocks = (positions.agg(F.max("node_id")).first()[0] or 0) // block + 1
     dealt = pairs.select("u", "v", "dij", bi.alias("bi"), bj.alias("bj"))
     dealt = cut(dealt.withColumn("round", tile_round(F.col("bi"), F.col("bj"), blocks)).repartition("round", "bi", "bj"), "round")
     rounds = [r[0] for r in dealt.select("round").distinct().orderBy("round").collect()]
     random = np.random.Generator(np.random.PCG64(seed))
+    now, logs, since = positions.select("node_id", "x", "y"), [], 0
+    own, _ = in_block(F.col("node_id"), block)
     for t, eta in enumerate(etas):
-        for r in random.permutation(rounds).tolist() if order == "shuffled" else rounds:
-            shared = spark.sparkContext.broadcast((nodes, p))
-            kernel = _tile_kernel(shared, eta, [seed, t, r], order == "shuffled")
-            moved = dealt.where(F.col("round") == r).groupBy("bi", "bj").applyInArrow(kernel, "node_id long, x double, y double").toArrow()
-            at = np.searchsorted(nodes, moved.column("node_id").to_numpy())
-            p = p.copy()
-            p[at] = np.column_stack([moved.column(c).to_numpy() for c in "xy"])
-            shared.destroy()
+        for turn, r in enumerate(random.permutation(rounds).tolist() if order == "shuffled" else rounds):
+            first, second = tile_in_round(own, r, blocks)
+            tile = now.select("node_id", "x", "y", first.alias("bi"), second.alias("bj"))
+            asked = dealt.where(F.col("round") == r).select("u", "v", "dij", "bi", "bj")
+            kernel = _tile_kernel(eta, [seed, t, r], order == "shuffled", (t, turn) if audit else None)
+            now = asked.groupBy("bi", "bj").cogroup(tile.groupBy("bi", "bj")).applyInArrow(kernel, _LOGGED if audit else _PLACED)
+            since += 1
+            if audit:
+                whole = cut(now)
+                logs.append(whole.where("part = 1"))
+                now = whole.where("part = 0").select("node_id", "x", "y")
+            elif since % _ROUNDS_A_JOB == 0:
+                now = cut(now)
         _log.info("sweep %d of %d: %d rounds at rate %.6g", t + 1, len(etas), len(rounds), eta)
-    return spark.createDataFrame(pa.table({"node_id": nodes, "x": np.ascontiguousarray(p[:, 0]), "y": np.ascontiguousarray(p[:, 1])}))
+    if not audit:
+        return now
+    if not logs:
+        return positions.sparkSession.createDataFrame([], AUDIT)
+    every = reduce(DataFrame.unionByName, logs)
+    tickets = numbered(every.select("iteration", "turn", "bi", "bj", "step", "u", "v", "xi", "yi", "xj", "yj"), "record_idx", "iteration", "turn", "bi", "bj", "step")
+    return tickets.select("iteration", "record_idx", "u", "v", "xi", "yi", "xj", "yj")

@@ -37,6 +37,17 @@ def tile_round(bi: Column, bj: Column, blocks: int) -> Column:
     return F.when(bi == bj, F.lit(circle) + F.floor(bi / max(1, blocks // 2))).otherwise(round_of(bi, bj, blocks)).cast("int")
 
 
+def tile_in_round(block: Column, r: int, blocks: int) -> tuple[Column, Column]:
+    """The tile (bi, bj) that a block belongs to in round r; one that rests there is alone in (b, b), which then has no pairs."""
+    m = blocks + blocks % 2 - 1
+    if blocks < 2 or r >= m:
+        return block, block
+    other = F.pmod(F.lit(2 * r) - block, F.lit(m))
+    if blocks % 2 == 0:
+        other = F.when(block == blocks - 1, r).when(other == block, blocks - 1).otherwise(other)
+    return F.least(block, other.cast("int")), F.greatest(block, other.cast("int"))
+
+
 def tile_rounds(spark: SparkSession, blocks: int) -> DataFrame:
     """(round, bi, bj), bi <= bj: every tile once, in the round of tile_round."""
     tiles = spark.range(blocks).select(F.col("id").cast("int").alias("bi")).withColumn("bj", F.explode(F.sequence(F.col("bi"), F.lit(blocks - 1))))
@@ -50,7 +61,7 @@ def most_tiles(tiles: DataFrame) -> DataFrame:
 
 def tile_shapes(tiles: DataFrame, lengths: DataFrame) -> DataFrame:
     """Tiles with the lengths of both of their blocks: (round, bi, bj, li, lj)."""
-    of = lambda c, name: F.broadcast(lengths.select(F.col("b").alias(c), F.col("len").alias(name)))  # noqa: E731  a row a block
+    of = lambda c, name: lengths.select(F.col("b").alias(c), F.col("len").alias(name))
     return tiles.join(of("bi", "li"), "bi").join(of("bj", "lj"), "bj").select("round", "bi", "bj", "li", "lj")
 
 

@@ -16,13 +16,17 @@ def stress(pairs: DataFrame, positions: DataFrame, half: bool = False) -> DataFr
     return rows.agg(F.coalesce(F.sum((0.5 if half else 1.0) * F.col("wij") * off * off), F.lit(0.0)).alias("stress"))
 
 
-def stress_status(pairs: DataFrame, positions: DataFrame, edges: DataFrame, components: DataFrame) -> DataFrame:
-    """One row: status ('value', or 'disconnected' for several nodes without an edge), stress (null then) and n_components,
+def status(value: DataFrame, positions: DataFrame, edges: DataFrame, components: DataFrame) -> DataFrame:
+    """One row: status ('value', or 'disconnected' for several nodes without an edge), stress (that of value; null then) and n_components,
     nodes without an edge among them."""
-    value = stress(pairs, positions)
     n = positions.agg(F.count(F.lit(1)).alias("n_nodes"))
     e = edges.agg(F.count(F.lit(1)).alias("n_edges"))
     c = components.agg(F.countDistinct("component").alias("joined"), F.count(F.lit(1)).alias("inside"))
     rows = value.crossJoin(n).crossJoin(e).crossJoin(c)
     apart = (F.col("n_edges") == 0) & (F.col("n_nodes") > 1)
     return rows.select(F.when(apart, "disconnected").otherwise("value").alias("status"), F.when(~apart, F.col("stress")).alias("stress"), (F.col("joined") + F.col("n_nodes") - F.col("inside")).alias("n_components"))
+
+
+def stress_status(pairs: DataFrame, positions: DataFrame, edges: DataFrame, components: DataFrame) -> DataFrame:
+    """The status of a layout whose pairs are a table."""
+    return status(stress(pairs, positions), positions, edges, components)

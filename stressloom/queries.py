@@ -133,6 +133,17 @@ def apsp_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.all_pairs_by_joins(*_geo(spark, sf_dir))
 
 
+@query(f"{FOREST_DIST} SELECT u, v, d FROM dist")
+def apsp_by_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of the forest as graphs find them that no task holds: frontiers of 64 sources a row."""
+    return distance.all_pairs_by_masks(_forest(spark, sf_dir)[0])
+
+
+@query(f"{FOREST_DIST} SELECT d, count(*)::BIGINT AS n_pairs FROM dist GROUP BY d")
+def histogram_by_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.histogram_by_masks(_forest(spark, sf_dir)[0])
+
+
 @query(f"{FOREST_DIST} SELECT d, count(*)::BIGINT AS n_pairs FROM dist GROUP BY d")
 def distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.histogram(*_forest(spark, sf_dir))
@@ -193,20 +204,22 @@ def stress_half(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {FOREST}, {DIST.format(depth=5)}, {START}, s AS ({STRESS.format(half='1.0', places='start')}) SELECT 'value' AS status, stress, (SELECT count(*) FROM (SELECT node_id FROM nodes LEFT JOIN dist ON v = node_id GROUP BY node_id HAVING count(u) = 0))::BIGINT AS n_components FROM s")
 def stress_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stress is summed by the search; no pair becomes a row."""
     edges, n = _forest(spark, sf_dir)
-    pairs = distance.pair_table(distance.all_pairs(edges, n))
-    out = stress.stress_status(pairs, _places(spark, n), edges, graph.components(edges))
+    places = _places(spark, n)
+    out = stress.status(distance.stress_of(edges, n, places), places, edges, graph.components(edges))
     return out.select("status", rounded(F.col("stress"), 4).alias("stress"), "n_components")
 
 
 CIRCLE = """circle AS (
   SELECT CASE WHEN n % 2 = 0 AND v = n - 1 THEN u ELSE (u + v) * ((m + 1) // 2) % m END AS round, u, v
-  FROM (SELECT {n} AS n, {n} - 1 + {n} % 2 AS m, u, v FROM (SELECT unnest(range({n}))::BIGINT AS u), (SELECT unnest(range({n}))::BIGINT AS v) WHERE u < v))"""
+  FROM (SELECT n, n - 1 + n % 2 AS m, unnest(range(n))::BIGINT AS u FROM (SELECT ({n})::BIGINT AS n)), LATERAL (SELECT unnest(range(u + 1, n))::BIGINT AS v))"""
 
 
-@query(f"WITH {FOREST}, {CIRCLE.format(n=101)} SELECT round::INT AS round, u, v FROM circle")
+@query(f"WITH {FOREST}, {CIRCLE.format(n='(SELECT count(*) FROM supplier)')} SELECT round::INT AS round, u, v FROM circle")
 def circle_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.circle_rounds(spark, 101)
+    """Each supplier meets each other once."""
+    return schedule.circle_rounds(spark, spark.read.parquet(f"{sf_dir}/supplier.parquet").count())
 
 
 TILES = """across AS (SELECT round::INT AS round, u::INT AS bi, v::INT AS bj FROM circle), own AS (
@@ -214,9 +227,13 @@ TILES = """across AS (SELECT round::INT AS round, u::INT AS bi, v::INT AS bj FRO
 tiles AS (SELECT * FROM across UNION ALL SELECT * FROM own)"""
 
 
-@query(f"WITH {GEO}, {CIRCLE.format(n=7)}, {TILES.format(n=7)} SELECT round, bi, bj FROM tiles")
+#: Blocks of 256 nodes of the forest.
+_BLOCKS = "(SELECT (count(*) + 255) // 256 FROM nodes)"
+
+
+@query(f"WITH {FOREST}, {CIRCLE.format(n=_BLOCKS)}, {TILES.format(n=_BLOCKS)} SELECT round, bi, bj FROM tiles")
 def tile_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.tile_rounds(spark, 7)
+    return schedule.tile_rounds(spark, -(-_forest(spark, sf_dir)[1] // 256))
 
 
 @query(f"WITH {GEO}, {CIRCLE.format(n=30)}, {TILES.format(n=30)} SELECT round, count(*)::BIGINT AS n_tiles FROM tiles GROUP BY round")
@@ -245,9 +262,9 @@ def block_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.block_lengths(spark, _forest(spark, sf_dir)[1], 64)
 
 
-def _sgd(steps: str, rounds: str = CIRCLE.format(n=30), turns: int = 29) -> str:
-    """The whole refinement by fixed rounds, of which a sweep has `turns`, as a recursive table of positions."""
-    return f"""WITH RECURSIVE {GEO}, {DIST.format(depth=8)}, {START}, {EXTREMES}, {rounds},
+def _sgd(steps: str, rounds: str = CIRCLE.format(n=30), turns: int = 29, at: str = "s.step % {turns}", graph: str = GEO, depth: int = 8) -> str:
+    """The whole refinement by fixed rounds, of which a sweep has `turns`, as a recursive table of positions. at: the round of a step."""
+    return f"""WITH RECURSIVE {graph}, {DIST.format(depth=depth)}, {START}, {EXTREMES}, {rounds},
 half AS (SELECT round AS r, c.u AS node, c.v AS other, d FROM circle c JOIN dist USING (u, v) UNION ALL SELECT round, c.v, c.u, d FROM circle c JOIN dist USING (u, v)),
 rate AS (SELECT 1.0 / wmin AS high, 0.1 / wmax AS low FROM extremes),
 st AS (
@@ -259,7 +276,7 @@ st AS (
   FROM (
     SELECT s.step, s.node, s.x, s.y, o.x AS xo, o.y AS yo, h.d::DOUBLE AS d, high * exp(-(ln(high / low) / 14.0) * (s.step // {turns})) AS eta,
       greatest(sqrt((o.x - s.x) * (o.x - s.x) + (o.y - s.y) * (o.y - s.y)), 1e-12) AS nrm
-    FROM st s LEFT JOIN half h ON h.node = s.node AND h.r = s.step % {turns} LEFT JOIN st o ON o.node = h.other CROSS JOIN rate
+    FROM st s LEFT JOIN half h ON h.node = s.node AND h.r = {at.format(turns=turns)} LEFT JOIN st o ON o.node = h.other CROSS JOIN rate
     WHERE s.step < {steps})
 ), final AS (SELECT node AS node_id, x, y FROM st WHERE step = {steps}) """
 
@@ -394,16 +411,21 @@ def picture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.picture(edges, places, *SIZE)
 
 
-@query("""WITH v AS (SELECT unnest(range(500))::BIGINT AS id), p AS (SELECT a.id AS src, b.id AS dst, ((a.id * 1103515245 + 12345 + 34) % 2147483648) AS h FROM v a JOIN v b ON a.id < b.id),
+HASH = """(((h % 65536) * 40503 + (h // 65536) * 30011 + 977) % 2147483648)"""
+
+
+@query(f"""WITH v AS (SELECT unnest(range(5 * (SELECT count(*) FROM supplier)))::BIGINT AS id), p AS (SELECT a.id AS src, b.id AS dst, ((a.id * 1103515245 + 12345 + 34) % 2147483648) AS h FROM v a JOIN v b ON a.id < b.id),
 q AS (SELECT src, dst, ((h + dst) * 1103515245 + 12345) % 2147483648 AS h FROM p)
-SELECT src, dst FROM q WHERE (((h % 65536) * 40503 + (h // 65536) * 30011 + 977) % 2147483648) / 2147483648.0::DOUBLE < 0.005""")
+SELECT src, dst FROM q WHERE {HASH} / 2147483648.0::DOUBLE < 0.005""")
 def gnp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.gnp_graph(spark)
+    """A random graph of five nodes a supplier."""
+    return sources.gnp_graph(spark, 5 * spark.read.parquet(f"{sf_dir}/supplier.parquet").count())
 
 
-@query("SELECT k AS src, (k + 1) % 10 AS dst FROM (SELECT unnest(range(10))::BIGINT AS k)")
+@query("SELECT k AS src, (k + 1) % n AS dst FROM (SELECT n, unnest(range(n))::BIGINT AS k FROM (SELECT count(*) AS n FROM customer))")
 def ring_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.ring_graph(spark, 10)
+    """A ring of as many nodes as there are customers."""
+    return sources.ring_graph(spark, spark.read.parquet(f"{sf_dir}/customer.parquet").count())
 
 
 @query(f"""WITH {GEO}, {START} SELECT 0 AS section, i AS ordinal, line FROM (SELECT unnest(range(5))::BIGINT AS i, unnest(['# geo', '# Timestamp: 2024-01-01 00:00:00', '# Node count: ' || (SELECT count(*) FROM nodes), '# Edge count: ' || (SELECT count(*) FROM edges), '']) AS line)
@@ -450,8 +472,8 @@ def layout_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Blocks of 10 of the 30 nodes: three rounds of a tile of two blocks, in 10 sub-rounds, then three of a block with itself, in 9.
 TILED = """tile_pairs AS (SELECT u, v, u // 10 AS bi, v // 10 AS bj, u % 10 AS a, v % 10 AS b FROM (SELECT unnest(range(30))::BIGINT AS u), (SELECT unnest(range(30))::BIGINT AS v) WHERE u < v),
-circle AS (SELECT dense_rank() OVER (ORDER BY r, s) - 1 AS round, u, v FROM (
-  SELECT u, v, CASE WHEN bi = bj THEN 3 + bi ELSE (bi + bj) * 2 % 3 END AS r, CASE WHEN bi <> bj THEN (a - b + 10) % 10 WHEN b = 9 THEN a ELSE (a + b) * 5 % 9 END AS s FROM tile_pairs))"""
+circle AS (SELECT dense_rank() OVER (ORDER BY r, s) - 1 AS round, u, v, bi, bj, r, s FROM (
+  SELECT u, v, bi, bj, CASE WHEN bi = bj THEN 3 + bi ELSE (bi + bj) * 2 % 3 END AS r, CASE WHEN bi <> bj THEN (a - b + 10) % 10 WHEN b = 9 THEN a ELSE (a + b) * 5 % 9 END AS s FROM tile_pairs))"""
 
 
 @query(_sgd("855", TILED, 57) + PLACES)
@@ -462,6 +484,56 @@ def layout_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final.select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
+@query(_sgd("114", TILED, 57) + """SELECT t::INT AS iteration, row_number() OVER (ORDER BY t, r, c.bi, c.bj, s, c.u, c.v) - 1 AS record_idx, c.u, c.v,
+  round(a.x, 6) + 0.0 AS xi, round(a.y, 6) + 0.0 AS yi, round(b.x, 6) + 0.0 AS xj, round(b.y, 6) + 0.0 AS yj
+  FROM circle c JOIN dist USING (u, v), (SELECT unnest(range(2)) AS t) JOIN st a ON a.step = t * 57 + round AND a.node = c.u JOIN st b ON b.step = t * 57 + round AND b.node = c.v""")
+def tile_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of two sweeps of tiles: each pair once a sweep, with tickets that run on over rounds and tiles."""
+    edges, n = _geo(spark, sf_dir)
+    ready = prepare(edges, n, center=False)
+    log = layout.refine(ready.pairs, ready.positions, ready.components, ready.etas[:2], strategy="tiles", order="fixed", block=10, audit=True)
+    return log.select("iteration", "record_idx", "u", "v", *(rounded(F.col(c)).alias(c) for c in ("xi", "yi", "xj", "yj")))
+
+
+#: The order of a sweep by a hash of its pairs, a pair a step; the second sweep has another.
+HASHED = f"""circle AS (SELECT t * 435 + row_number() OVER (PARTITION BY t ORDER BY {HASH}, u, v) - 1 AS round, u, v FROM (
+  SELECT t, u, v, ((h + v) * 1103515245 + 12345) % 2147483648 AS h FROM (SELECT t, u, v, (u * 1103515245 + 12345 + 5 + t) % 2147483648 AS h
+    FROM (SELECT unnest(range(2)) AS t), (SELECT unnest(range(30))::BIGINT AS u), (SELECT unnest(range(30))::BIGINT AS v) WHERE u < v)))"""
+
+
+@query(_sgd("870", HASHED, 435, "s.step") + PLACES)
+def sgd_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sweeps of pairs one by one in the order of a hash, by levels of pairs that don't depend on each other."""
+    edges, n = _geo(spark, sf_dir)
+    ready = prepare(edges, n, center=False)
+    final = layout.refine(ready.pairs, ready.positions, ready.components, ready.etas[:2], strategy="sequential", order="hash", seed=5)
+    return final.select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
+
+
+NEAR = """own AS (SELECT c_custkey::BIGINT AS k, c_nationkey::BIGINT AS n FROM customer), raw AS (
+  SELECT a.k AS a, b.k AS b FROM own a JOIN own b ON b.k = a.k + 1 AND a.k % 20 < 19
+  UNION ALL SELECT a.k, b.k FROM own a JOIN own b ON b.k = a.k - a.k % 20 + a.n % 20
+), nodes AS (
+  SELECT v AS orig_label, row_number() OVER (ORDER BY v) - 1 AS node_id FROM (SELECT a AS v FROM raw WHERE a <> b UNION SELECT b FROM raw WHERE a <> b)
+), edges AS (
+  SELECT DISTINCT least(x.node_id, y.node_id) AS src, greatest(x.node_id, y.node_id) AS dst
+  FROM raw JOIN nodes x ON a = x.orig_label JOIN nodes y ON b = y.orig_label WHERE a <> b
+), both_ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)"""
+#: Rounds inside a stretch of customers: by the places of its nodes, of which there are n.
+STRETCHES = """seats AS (SELECT node_id, orig_label // 20 AS stretch, row_number() OVER (PARTITION BY orig_label // 20 ORDER BY node_id) - 1 AS seat, count(*) OVER (PARTITION BY orig_label // 20) AS n FROM nodes),
+circle AS (SELECT CASE WHEN n % 2 = 0 AND b = n - 1 THEN a ELSE (a + b) * ((m + 1) // 2) % m END AS round, u, v FROM (
+  SELECT x.node_id AS u, y.node_id AS v, x.seat AS a, y.seat AS b, x.n, x.n - 1 + x.n % 2 AS m FROM seats x JOIN seats y ON x.stretch = y.stretch AND x.seat < y.seat))"""
+
+
+@query(_sgd("38", STRETCHES, 19, graph=NEAR, depth=19) + PLACES)
+def sgd_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sweeps over the neighbourhoods of customers: a group a component, as many as the table gives."""
+    labels, edges = graph.relabel(sources.neighbourhoods(spark, sf_dir))
+    ready = prepare(edges, labels.count(), center=False)
+    final = layout.refine(ready.pairs, ready.positions, ready.components, ready.etas[:2], strategy="rounds", order="fixed")
+    return final.select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
+
+
 @query(_sgd("435") + f"""SELECT (SELECT count(*) FROM nodes)::BIGINT AS n_nodes, (SELECT count(*) FROM edges)::BIGINT AS n_edges, (SELECT count(*) FROM dist)::BIGINT AS n_pairs, (SELECT 15 * count(*) FROM dist)::BIGINT AS n_updates,
   ({STRESS.format(half="1.0", places="start")}) AS stress_before, ({STRESS.format(half="1.0", places="final")}) AS stress_after""")
 def layout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

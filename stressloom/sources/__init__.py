@@ -156,6 +156,16 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(customer.select((F.col("c_nationkey") + F.lit(far).cast("long")).alias("src"), (F.col("c_custkey") + 2 * far).alias("dst")))
 
 
+def neighbourhoods(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
+    """Customers by their own keys in stretches of `size`: each to the next, and to the one at its nation's place in the stretch. A component a stretch, however many
+    customers there are."""
+    customer = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("n"))
+    base = F.col("src") - F.pmod("src", F.lit(size))
+    ends = F.explode(F.array(F.when(F.pmod("src", F.lit(size)) < size - 1, F.col("src") + 1), base + F.pmod("n", F.lit(size))))
+    rows = customer.select("src", ends.alias("dst")).where("dst is not null and src <> dst")
+    return rows.join(customer.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of nations with more lineitems between them than the mean pair has."""
     line, order = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
