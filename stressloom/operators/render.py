@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Colour of edges and nodes, and how much of an edge's pixel is edge.
@@ -51,9 +55,94 @@ def edge_pixels(edges: DataFrame, pixels: DataFrame) -> DataFrame:
     return rows.select(along("x0", dx).alias("px"), along("y0", dy).alias("py")).groupBy("px", "py").agg(F.count(F.lit(1)).alias("n"))
 
 
-def node_pixels(pixels: DataFrame, radius: int, width: int, height: int) -> DataFrame:
+#: Sides of an image tile, in pixels; tiles whose counts a task holds; pixels of edges that it makes at a time.
+TILE, _MOST_TILES, _AT_ONCE = 256, 256, 1 << 20
+
+
+class _Counts:
+    """How often pixels are drawn, as a matrix for each image tile that is touched."""
+
+    def __init__(self, width: int, height: int):
+        self.across = -(-width // TILE)
+        self.size = width, height
+        self.tiles: dict[int, np.ndarray] = {}
+
+    def add(self, px: np.ndarray, py: np.ndarray) -> None:
+        inside = (px >= 0) & (py >= 0) & (px < self.size[0]) & (py < self.size[1])
+        px, py = px[inside], py[inside]
+        tile = py // TILE * self.across + px // TILE
+        by = np.argsort(tile, kind="stable")
+        place = (py % TILE * TILE + px % TILE)[by]
+        found, begin = np.unique(tile[by], return_index=True)
+        for t, low, high in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(by)], strict=True):
+            counts = np.bincount(place[low:high], minlength=TILE * TILE)
+            self.tiles[t] = self.tiles[t] + counts if t in self.tiles else counts
+
+    def drawn(self) -> Iterator[pa.RecordBatch]:
+        """Their pixels that are drawn; then they are empty."""
+        while self.tiles:
+            t, counts = self.tiles.popitem()
+            place = np.flatnonzero(counts)
+            px, py = t % self.across * TILE + place % TILE, t // self.across * TILE + place // TILE
+            yield pa.record_batch([pa.array(px.astype(np.int32)), pa.array(py.astype(np.int32)), pa.array(counts[place])], ["px", "py", "n"])
+
+
+def _clipped(start: np.ndarray, step: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last i at which start + step * i may be inside 0 .. size - 1, give or take one."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a, b = (-1.0 - start) / step, (size - start) / step
+    flat = step == 0
+    never = flat & ((start < 0) | (start >= size))
+    low = np.where(flat, np.where(never, 1.0, -np.inf), np.minimum(a, b))
+    high = np.where(flat, np.where(never, 0.0, np.inf), np.maximum(a, b))
+    return low, high
+
+
+def _draw(width: int, height: int, thick: int):
+    """Edges (x0, y0, x1, y1 in pixels) to the counts of the pixels that they draw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts(width, height)
+        for batch in batches:
+            x0, y0, x1, y1 = (batch.column(c).to_numpy().astype(np.int64) for c in ("x0", "y0", "x1", "y1"))
+            dx, dy = x1 - x0, y1 - y0
+            steps = np.maximum(abs(dx), abs(dy))
+            # only the part of an edge that may be inside the picture
+            per = np.maximum(steps, 1).astype(np.float64)
+            (lx, hx), (ly, hy) = _clipped(x0 - thick, dx / per, width + 2 * thick), _clipped(y0 - thick, dy / per, height + 2 * thick)
+            low = np.maximum(0, np.floor(np.maximum(lx, ly)))
+            high = np.minimum(steps, np.ceil(np.minimum(hx, hy)))
+            length = np.maximum(0, high - low + 1).astype(np.int64)
+            low = np.where(length > 0, low, 0).astype(np.int64)
+            begin, total = 0, np.cumsum(length)
+            while begin < len(length):
+                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + _AT_ONCE, side="right")))
+                rows = np.repeat(np.arange(begin, end), length[begin:end])
+                i = np.arange(len(rows)) - np.repeat(np.r_[0, np.cumsum(length[begin:end])[:-1]], length[begin:end]) + low[rows]
+                px = np.floor(x0[rows] + dx[rows] * i / per[rows] + 0.5).astype(np.int64)
+                py = np.floor(y0[rows] + dy[rows] * i / per[rows] + 0.5).astype(np.int64)
+                flat = abs(dx[rows]) >= abs(dy[rows])
+                for aside in range(-((thick - 1) // 2), thick // 2 + 1):
+                    counts.add(px + np.where(flat, 0, aside), py + np.where(flat, aside, 0))
+                begin = end
+                if len(counts.tiles) > _MOST_TILES:
+                    yield from counts.drawn()
+        yield from counts.drawn()
+
+    return run
+
+
+def edge_counts(edges: DataFrame, pixels: DataFrame, width: int, height: int, thick: int = 1) -> DataFrame:
+    """edge_pixels inside the picture, without a row per pixel and edge: a task clips its edges and counts them in a matrix for each image tile, and what it sends are the pixels that it
+    has drawn, at most one row each. thick: pixels across an edge."""
+    ends = edge_vertices(edges, pixels, ("px", "py")).select("x0", "y0", "x1", "y1")
+    drawn = ends.mapInArrow(_draw(width, height, thick), "px int, py int, n long")
+    return drawn.groupBy("px", "py").agg(F.sum("n").alias("n"))
+
+
+def node_pixels(pixels: DataFrame, radius: float, width: int, height: int) -> DataFrame:
     """Pixels within radius of a node, each once, inside the picture."""
-    span = F.sequence(F.lit(-radius), F.lit(radius))
+    span = F.sequence(F.lit(-int(radius)), F.lit(int(radius)))
     rows = pixels.withColumn("ox", F.explode(span)).withColumn("oy", F.explode(span)).where(f"ox * ox + oy * oy <= {radius * radius}")
     rows = rows.select((F.col("px") + F.col("ox")).cast("int").alias("px"), (F.col("py") + F.col("oy")).cast("int").alias("py")).distinct()
     return rows.where(f"px >= 0 and py >= 0 and px < {width} and py < {height}")
@@ -63,15 +152,15 @@ def _byte(c: Column) -> Column:
     return F.floor(c * 255.0 + 0.5).cast("int")
 
 
-def blend(counts: DataFrame) -> DataFrame:
-    """Edge pixels over white: n layers of one colour leave (1 - ALPHA)^n of the ground."""
-    rest = F.pow(F.lit(1.0 - ALPHA), F.col("n"))
+def blend(counts: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Edge pixels over white: n layers of one colour leave (1 - alpha)^n of the ground."""
+    rest = F.pow(F.lit(1.0 - alpha), F.col("n"))
     return counts.select("px", "py", *(_byte(F.lit(c) + (1.0 - c) * rest).alias(name) for c, name in zip(COLOUR, "rgb", strict=True)), F.lit(255).alias("a"))
 
 
-def picture(edges: DataFrame, positions: DataFrame, width: int = 2048, height: int = 2048, radius: int = 4, y_up: bool = True) -> DataFrame:
-    """Nodes over edges over white; pixels that stay white are left out."""
+def picture(edges: DataFrame, positions: DataFrame, width: int = 2048, height: int = 2048, radius: float = 4, y_up: bool = True, edge_width: float = 1.0) -> DataFrame:
+    """Nodes over edges over white; pixels that stay white are left out. radius and edge_width are in pixels; an edge of less than one covers that share of its pixels."""
     pixels = to_pixels(to_square(positions, viewport(positions), y_up), width, height)
     dots = node_pixels(pixels, radius, width, height)
-    lines = blend(edge_pixels(edges, pixels)).join(dots, ["px", "py"], "left_anti")
+    lines = blend(edge_counts(edges, pixels, width, height, max(1, round(edge_width))), ALPHA * min(1.0, edge_width)).join(dots, ["px", "py"], "left_anti")
     return lines.unionByName(dots.select("px", "py", *(_byte(F.lit(c)).alias(n) for c, n in zip(COLOUR, "rgb", strict=True)), F.lit(255).alias("a")))

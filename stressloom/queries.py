@@ -411,6 +411,24 @@ def picture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.picture(edges, places, *SIZE)
 
 
+#: The supply graph on 2048 by 2048 pixels.
+SUPPLY = """raw AS (SELECT DISTINCT l_suppkey AS a, 1000000000 + l_partkey AS b FROM lineitem), nodes AS (
+  SELECT v AS orig_label, row_number() OVER (ORDER BY v) - 1 AS node_id FROM (SELECT a AS v FROM raw UNION SELECT b FROM raw)
+), edges AS (SELECT DISTINCT least(x.node_id, y.node_id) AS src, greatest(x.node_id, y.node_id) AS dst FROM raw JOIN nodes x ON a = x.orig_label JOIN nodes y ON b = y.orig_label)"""
+LARGE = f"WITH {SUPPLY}, {START}, {VIEW}, {SQUARE}, {PIXELS}, {LINES}, {DOTS}".replace("2.0 * 255", "2.0 * 2047").replace("AND 255", "AND 2047")
+
+
+@query(f"""{LARGE}, pixels AS ({LAYERS} ANTI JOIN dots USING (px, py) UNION ALL SELECT px, py, 31, 119, 180, 255 FROM dots)
+SELECT (px // 256)::INT AS tx, (py // 256)::INT AS ty, count(*)::BIGINT AS n_pixels, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b, sum((px * 31 + py) % 1009 * r)::BIGINT AS placed FROM pixels GROUP BY 1, 2""")
+def picture_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture of 2048 by 2048 pixels of all that suppliers and parts share, summed by image tile."""
+    labels, edges = graph.relabel(sources.supply(spark, sf_dir))
+    drawn = render.picture(edges, layout.start_positions(labels.select("node_id")))
+    sums = [F.sum(c).alias(c) for c in "rgb"]
+    placed = F.sum((F.col("px") * 31 + F.col("py")) % 1009 * F.col("r")).alias("placed")
+    return drawn.groupBy(F.floor(F.col("px") / 256).cast("int").alias("tx"), F.floor(F.col("py") / 256).cast("int").alias("ty")).agg(F.count(F.lit(1)).alias("n_pixels"), *sums, placed)
+
+
 HASH = """(((h % 65536) * 40503 + (h // 65536) * 30011 + 977) % 2147483648)"""
 
 
