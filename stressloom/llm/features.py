@@ -32,9 +32,9 @@ CLICK, PURCHASE, SALE, LINE, ITEM = 1, 2, 4, 8, (16, 32)
 MEASURES = ("n_clicks", "n_purchases", "click_cents", "n_sales", "sale_cents", "n_lines", "line_cents", "items_0", "items_1")
 #: Windows of a probe: those of WINDOWS, then the label's.
 _LABEL = len(WINDOWS)
-#: Leaves are 2^fine long for one of these; no window holds a block above _TOP.
-_FINE = tuple(range(40, -1, -4))
+#: No window holds a block of more than 2^_TOP microseconds. Leaves of 2^fine are looked for in these ranges of fine, from cells of the least of each.
 _TOP = 40
+_FINE = ((32, _TOP), (20, 31), (8, 19), (0, 7))
 _CELL = 32  # 2^32 microseconds, 71 minutes
 _CHUNK = 1 << 18  # rows that a task takes together
 #: Columns of what trees are made from. Probes: e is t, or the last place of a piece; a is what it must be known by; v the place before the first; id the sale.
@@ -73,14 +73,33 @@ def events(asked: DataFrame, clicks: DataFrame, lines: DataFrame) -> DataFrame:
     return every.where((F.col("kind") == SALE) | (F.col("a") < F.col("e") + max(WINDOWS) * _DAY))
 
 
+def _many(every: DataFrame, most: int) -> DataFrame:
+    """Clients of more than `most` events."""
+    return cut(every.groupBy("client").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("client"))
+
+
+def collapsed(every: DataFrame) -> DataFrame:
+    """Lines of one client, item and time that are known at once as one event."""
+    lines = every.where(F.col("kind") == LINE).groupBy("client", "id", "e", "a").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).withColumn("kind", F.lit(LINE))
+    return every.where(F.col("kind") != LINE).unionByName(lines.select(*every.columns))
+
+
 def leaves(every: DataFrame, asked: DataFrame, most: int) -> DataFrame:
-    """(client, fine) of clients of more than `most` events: leaves of 2^fine microseconds hold `most` events and ends of windows at most, where any do."""
-    many = cut(every.groupBy("client").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("client"))
-    ends = asked.join(many, "client").select("client", F.explode(F.array(*(F.col("t") - d * _DAY for d in (0, *WINDOWS)), F.col("t") + AHEAD)).alias("e"))
-    at = every.join(many, "client").select("client", "e").unionByName(ends).groupBy("client", "e").agg(F.count(F.lit(1)).alias("n"))
-    at = at.withColumn("fine", F.explode(F.array(*(F.lit(f) for f in _FINE)))).withColumn("leaf", F.expr("shiftright(e, fine)"))
-    largest = at.groupBy("client", "fine", "leaf").agg(F.sum("n").alias("n")).groupBy("client", "fine").agg(F.max("n").alias("n"))
-    return cut(largest.groupBy("client").agg(F.coalesce(F.max(F.when(F.col("n") <= most, F.col("fine"))), F.lit(_FINE[-1])).cast("int").alias("fine")))
+    """(client, fine) of each client: leaves of 2^fine microseconds hold `most` events and ends of windows at most, where any do. Counts are summed up from cells of time, coarse ones first and
+    finer ones for clients alone that need them."""
+    ends = asked.select("client", F.explode(F.array(*(F.col("t") - d * _DAY for d in (0, *WINDOWS)), F.col("t") + AHEAD)).alias("e"))
+    at, known = every.select("client", "e").unionByName(ends), None
+    for low, high in _FINE:
+        own = at if known is None else at.join(known, "client", "left_anti")
+        cells = own.groupBy("client", F.shiftright("e", low).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        levels = cells.withColumn("fine", F.explode(F.sequence(F.lit(low), F.lit(high))))
+        sizes = levels.groupBy("client", "fine", F.expr(f"shiftright(cell, fine - {low})").alias("leaf")).agg(F.sum("n").alias("n")).groupBy("client", "fine").agg(F.max("n").alias("n"))
+        found = cut(sizes.groupBy("client").agg(F.max(F.when(F.col("n") <= most, F.col("fine"))).alias("fine")))
+        good = found.na.fill(0, ["fine"]) if low == 0 else found.where("fine is not null")
+        known = good if known is None else known.unionByName(good)
+        if low == 0 or found.where("fine is null").isEmpty():
+            break
+    return cut(known)
 
 
 def _with_items(lines: DataFrame, later: Column) -> DataFrame:
@@ -115,8 +134,8 @@ def light_rows(every: DataFrame) -> DataFrame:
 
 
 def heavy_rows(every: DataFrame) -> DataFrame:
-    """The same of clients of many events, with `fine`: lines of one item and time that are known at once are one event, and later lines are found by cells of time."""
-    lines = every.where(F.col("kind") == LINE).groupBy("client", "fine", "id", "e", "a").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    """The same of clients of many events, whose lines are collapsed, with `fine`: later lines are found by cells of time."""
+    lines = every.where(F.col("kind") == LINE)
     named = lines.where("id is not null").withColumn("cell", F.shiftright("e", _CELL))
     in_cell = F.min("a").over(_after("client", "id", "cell"))
     cells = named.groupBy("client", "id", "cell").agg(F.min("a").alias("a"))
@@ -143,21 +162,19 @@ class Trees:
         click, line = bit(CLICK), bit(LINE)
         self.measures = np.column_stack([click, bit(PURCHASE), click * v, bit(SALE), bit(SALE) * v, line * n, line * v, bit(ITEM[0]), bit(ITEM[1])])
         self.clicks = np.where(click > 0, np.arange(len(a)), -1)
-        self.levels: dict[int, tuple] = {}
 
     def level(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of blocks of 2^k places: keys (block, rank by known) in order, prefix sums, and the largest place of a click so far."""
-        if k not in self.levels:
-            bits = len(self.rank).bit_length()
-            keys = np.sort(((np.arange(len(self.rank)) >> k) << bits) | self.rank)
-            at = self.by_known[keys & ((1 << bits) - 1)]
-            sums = np.zeros((len(at) + 1, self.measures.shape[1]), dtype=np.int64)
-            np.cumsum(self.measures[at], axis=0, out=sums[1:])
-            self.levels[k] = keys, sums, np.maximum.accumulate(self.clicks[at])
-        return self.levels[k]
+        bits = len(self.rank).bit_length()
+        keys = np.sort(((np.arange(len(self.rank)) >> k) << bits) | self.rank)
+        at = self.by_known[keys & ((1 << bits) - 1)]
+        sums = np.zeros((len(at) + 1, self.measures.shape[1]), dtype=np.int64)
+        np.cumsum(self.measures[at], axis=0, out=sums[1:])
+        return keys, sums, np.maximum.accumulate(self.clicks[at])
 
     def ask(self, group: np.ndarray, after: np.ndarray, upto: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over the events of a group with after < e <= upto and a <= by, and the place of the last click among them, or -1."""
+        """Sums over the events of a group with after < e <= upto and a <= by, and the place of the last click among them, or -1. All that is asked is asked at once, so that
+        one level is held at a time."""
         out, last = np.zeros((len(group), self.measures.shape[1]), dtype=np.int64), np.full(len(group), -1, dtype=np.int64)
         if not len(self.rank):
             return out, last
@@ -169,9 +186,10 @@ class Trees:
         rows = np.flatnonzero(left < right)
         left, right = left[rows], right[rows]
         while len(rows):
-            for used, block in ((left & 1 == 1, left), (right & 1 == 1, right - 1)):
-                if used.any():
-                    keys, sums, clicks = self.level(k)
+            ends = [(left & 1 == 1, left), (right & 1 == 1, right - 1)]
+            if ends[0][0].any() or ends[1][0].any():
+                keys, sums, clicks = self.level(k)
+                for used, block in ends:
                     at, b = rows[used], block[used]
                     upto_rank = np.searchsorted(keys, (b << bits) | cut_at[at])
                     begin = b << k
@@ -227,10 +245,12 @@ def _answers(split: bool, chunk: int):
                 yield _batch([("row", asked["id"]), ("w", asked["kind"].astype(np.int32))], sums, last, trees)
                 continue
             t = asked["e"]
-            label = trees.ask(own, t, t + AHEAD, np.full(len(t), _NEVER))[0][:, MEASURES.index("n_sales")] > 0
-            for w, days in enumerate(WINDOWS):
-                sums, last = trees.ask(own, t - days * _DAY, t, t)
-                yield _batch([("sale_id", asked["id"]), ("t_us", t), ("w", np.full(len(t), w, dtype=np.int32)), ("label", label)], sums, last, trees)
+            after = [*(t - days * _DAY for days in WINDOWS), t]
+            sums, last = trees.ask(np.tile(own, len(after)), np.concatenate(after), np.r_[np.tile(t, len(WINDOWS)), t + AHEAD], np.r_[np.tile(t, len(WINDOWS)), np.full(len(t), _NEVER)])
+            label = sums[_LABEL * len(t) :, MEASURES.index("n_sales")] > 0
+            for w in range(len(WINDOWS)):
+                at = slice(w * len(t), (w + 1) * len(t))
+                yield _batch([("sale_id", asked["id"]), ("t_us", t), ("w", np.full(len(t), w, dtype=np.int32)), ("label", label)], sums[at], last[at], trees)
 
     return run
 
@@ -297,9 +317,11 @@ def _spread(windows: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.select("row", "w", *whole, latest["e"].alias("last_ts"), latest["id"].alias("last_id"))
 
 
-def _of_many(every: DataFrame, asked: DataFrame, chunk: int) -> DataFrame:
+def _of_many(every: DataFrame, asked: DataFrame, most: int, chunk: int) -> DataFrame:
     """Answers for clients of many events."""
-    rows = cut(heavy_rows(every))
+    rows = cut(collapsed(every))
+    fine = leaves(rows, asked, most)
+    rows, asked = cut(heavy_rows(rows.join(fine, "client"))), asked.join(fine, "client")
     windows = _windows(asked)
     ends = F.array_distinct(F.array(F.expr("shiftright(after + 1, fine)"), F.expr("shiftright(upto, fine)")))
     pieces = windows.withColumn("leaf", F.explode(ends))
@@ -316,24 +338,24 @@ def _of_many(every: DataFrame, asked: DataFrame, chunk: int) -> DataFrame:
     return found.select("sale_id", "t_us", "w", "label", *MEASURES, F.col("last.last_ts").alias("last_ts"), F.col("last.last_id").alias("last_id"))
 
 
-def point_in_time(sales: DataFrame, clicks: DataFrame, lines: DataFrame, most: int = 1 << 15, chunk: int = _CHUNK) -> DataFrame:
+def point_in_time(sales: DataFrame, clicks: DataFrame, lines: DataFrame, most: int = 1 << 18, chunk: int = _CHUNK) -> DataFrame:
     """sales (sale_id, client_id, total, sold_at, arrived_at), clicks (click_id, ts, arrived_at, client_id, kind, value, props) and lines (sale_id, item_id, amount, shipped_at) to two rows
     per sale with a client and a time: sale_id, d, t_us, label and the features of the window of d days before t.
 
     Null arrival: never known, though a sale still counts for labels. Null amounts: 0 cents. Null item: no item. Null shipped_at, or a line without a sale: not counted. Clicks that are alike in the
     columns named count once (props are told apart by 128 bits); repeated sales and lines count each; a sale_id that several sales share gives its lines to each of them. Null sale_id: hashed as an empty string, without lines. Null click_id: below all
-    others, and null in the result. Clients of more than `most` events are spread over tasks. Other columns aren't read. Empty tables give no rows, or zeros. Times with a zone are taken in the session's.
+    others, and null in the result. Clients of more than `most` events, which take a task some 100 MB, are spread over tasks. Other columns aren't read. Empty tables give no rows, or zeros. Times with a zone are taken in the session's.
     """
     small_batches(sales.sparkSession, 1 << 16)
     asked = cut(probes(sales))
     every = cut(events(asked, clicks, lines))
-    many = leaves(every, asked, most)
+    many = _many(every, most)
     few = lambda df: df.join(many, "client", "left_anti")
     rows = _as_rows(light_rows(few(every)), F.lit(0), 0)
     t = {"e": F.col("t"), "a": F.col("t"), "kind": F.lit(0), "n": F.lit(0), "v": F.lit(0), "id": F.col("sale_id")}
     found = _in_trees(rows.unionByName(_as_rows(few(asked), F.lit(0), 1, **t)), False, chunk)
     if not many.isEmpty():
-        found = found.unionByName(_of_many(every.join(many, "client"), asked.join(many, "client"), chunk))
+        found = found.unionByName(_of_many(every.join(many, "client"), asked.join(many, "client"), most, chunk))
     days = F.element_at(F.array(*(F.lit(d) for d in WINDOWS)), F.col("w") + 1)
     items = F.when(F.col("w") == 0, F.col("items_0")).otherwise(F.col("items_1"))
     last = F.when(F.col("last_id") != NULL_ID, F.col("last_id"))

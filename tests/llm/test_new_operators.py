@@ -172,7 +172,7 @@ def test_a_client_is_spread_over_tasks(spark):
     clicks = clicks.withColumn("arrived_at", F.col("ts"))
     lines = spark.range(0).selectExpr("id AS sale_id", "id AS item_id", "1.0D AS amount", "TIMESTAMP_NTZ '2024-01-01' AS shipped_at")
     asked = features.probes(sales)
-    every = features.events(asked, clicks, lines)
+    every = features.collapsed(features.events(asked, clicks, lines))
     fine = features.leaves(every, asked, 500).collect()[0]["fine"]
     assert every.groupBy(F.expr(f"shiftright(e, {fine})")).count().agg(F.max("count")).first()[0] <= 500
     key = ["sale_id", "d"]
