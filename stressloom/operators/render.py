@@ -70,6 +70,8 @@ class _Counts:
     def add(self, px: np.ndarray, py: np.ndarray) -> None:
         inside = (px >= 0) & (py >= 0) & (px < self.size[0]) & (py < self.size[1])
         px, py = px[inside], py[inside]
+        if not len(px):
+            return
         tile = py // TILE * self.across + px // TILE
         by = np.argsort(tile, kind="stable")
         place = (py % TILE * TILE + px % TILE)[by]
@@ -109,7 +111,7 @@ def _draw(width: int, height: int, thick: int):
             steps = np.maximum(abs(dx), abs(dy))
             # only the part of an edge that may be inside the picture
             per = np.maximum(steps, 1).astype(np.float64)
-            (lx, hx), (ly, hy) = _clipped(x0 - thick, dx / per, width + 2 * thick), _clipped(y0 - thick, dy / per, height + 2 * thick)
+            (lx, hx), (ly, hy) = _clipped(x0 + thick, dx / per, width + 2 * thick), _clipped(y0 + thick, dy / per, height + 2 * thick)
             low = np.maximum(0, np.floor(np.maximum(lx, ly)))
             high = np.minimum(steps, np.ceil(np.minimum(hx, hy)))
             length = np.maximum(0, high - low + 1).astype(np.int64)

@@ -35,6 +35,12 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def kept_until_the_end(spark: SparkSession, path: str) -> None:
+    """A folder that was written goes when the application ends."""
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+
+
 def cut(df: DataFrame, *parts: str) -> DataFrame:
     """Write df as a table in the shared folder, parted by columns if any are named, and read it back: lineage ends there, and the
     rows survive lost executors. The table goes when the application ends, or earlier by `finished`."""
@@ -42,8 +48,7 @@ def cut(df: DataFrame, *parts: str) -> DataFrame:
     path = f"{shared_folder(spark)}/stressloom-{uuid.uuid4().hex}"
     _tables(spark).append(path)
     df.write.partitionBy(*parts).parquet(path)
-    files, at = _file_system(spark, path)
-    files.deleteOnExit(at)
+    kept_until_the_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

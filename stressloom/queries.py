@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import sinks, sources
 from .functions import rounded
 from .operators import distance, graph, layout, render, schedule, stress
+from .plans import sql as plans_sql
+from .plans.cuts import kept_until_the_end, shared_folder
 from .plans.layout import lay_out, measured, prepare, quality
+from .sources import mtx as mtx_data_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -476,6 +480,17 @@ def mtx_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.canonical_edges(sources.parse_mtx(_mtx(spark, sf_dir)))
 
 
+@query(f"WITH {FOREST} SELECT src, dst FROM edges")
+def mtx_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest written as a MatrixMarket folder and read by ranges of 10,000 bytes."""
+    mtx_data_source.register(spark)
+    path = f"{shared_folder(spark)}/stressloom-{uuid.uuid4().hex}"
+    lines = _mtx(spark, sf_dir)
+    lines.repartitionByRange("line_id").sortWithinPartitions("line_id").select("line").write.text(path)
+    kept_until_the_end(spark, path)
+    return graph.canonical_edges(spark.read.format("mtx").option("bytes", 10_000).load(path))
+
+
 @query(f"WITH {FOREST}, c AS (SELECT count(*)::BIGINT AS n FROM nodes), e AS (SELECT count(*)::BIGINT AS e FROM edges) SELECT n AS n_rows, n AS n_cols, n + e AS nnz, n + e AS n_entries FROM c, e")
 def mtx_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.probe_mtx(_mtx(spark, sf_dir))
@@ -552,6 +567,18 @@ def sgd_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final.select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
+@query(_sgd("38", STRETCHES, 19, graph=NEAR, depth=19) + PLACES)
+def layout_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function, called in SQL."""
+    plans_sql.register(spark)
+    labels, edges = graph.relabel(sources.neighbourhoods(spark, sf_dir))
+    ready = prepare(edges, labels.count(), center=False)
+    joined = ready.pairs.join(ready.components.withColumnRenamed("node_id", "u"), "u").select("component", "u", "v", "dij")
+    joined.createOrReplaceTempView("stressloom_pairs")
+    rates = ", ".join(f"{eta!r}D" for eta in ready.etas[:2])
+    return spark.sql(f"SELECT node_id, round(x, 6) + 0.0D AS x, round(y, 6) + 0.0D AS y FROM lay_out(TABLE(stressloom_pairs), array({rates}))")
+
+
 @query(_sgd("435") + f"""SELECT (SELECT count(*) FROM nodes)::BIGINT AS n_nodes, (SELECT count(*) FROM edges)::BIGINT AS n_edges, (SELECT count(*) FROM dist)::BIGINT AS n_pairs, (SELECT 15 * count(*) FROM dist)::BIGINT AS n_updates,
   ({STRESS.format(half="1.0", places="start")}) AS stress_before, ({STRESS.format(half="1.0", places="final")}) AS stress_after""")
 def layout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

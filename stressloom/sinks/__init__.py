@@ -32,9 +32,9 @@ def result_name(label: str, graph: str, stamp: datetime, state: int) -> str:
     return f"{label}-{graph}-{stamp:%Y%m%d_%H%M%S}-{state}.txt"
 
 
-def write_result(edges: DataFrame, positions: DataFrame, path: str, title: str) -> None:
-    """One text file at path, written by the driver line by line, so no part of it is gathered at once."""
-    rows = result_rows(edges, positions, title, f"{datetime.now():%Y-%m-%d %H:%M:%S}").orderBy("section", "ordinal")
+def write_result(edges: DataFrame, positions: DataFrame, path: str, title: str, stamp: str | None = None) -> None:
+    """One text file at path, written by the driver line by line, so no part of it is gathered at once. result.save_result writes the same by tasks."""
+    rows = result_rows(edges, positions, title, stamp or f"{datetime.now():%Y-%m-%d %H:%M:%S}").orderBy("section", "ordinal")
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path, "w", encoding="utf-8") as out:
         for row in rows.toLocalIterator():
@@ -104,7 +104,7 @@ def _band(width: int, height: int, rows: int):
         lines = np.concatenate([np.zeros((high, 1), np.uint8), out.reshape(high, width * 4)], axis=1).tobytes()
         deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
         data = deflate.compress(lines) + deflate.flush(zlib.Z_FULL_FLUSH)
-        return pa.table({"band": [band], "data": pa.array([data], pa.binary()), "adler": [zlib.adler32(lines)], "length": [len(lines)]})
+        return pa.table({"band": pa.array([band], pa.int32()), "data": pa.array([data], pa.binary()), "adler": [zlib.adler32(lines)], "length": [len(lines)]})
 
     return run
 

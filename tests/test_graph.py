@@ -1,5 +1,4 @@
 from collections import Counter
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +50,6 @@ def test_tiles_update_every_pair_once(spark, monkeypatch, n, block):
     steps = []
     monkeypatch.setattr(layout, "_step", lambda p, a, b, d, eta: steps.append((p[a, 0].astype(int), p[b, 0].astype(int))))
     nodes = np.arange(n)
-    places = SimpleNamespace(value=(nodes, np.column_stack([nodes, nodes]).astype(float)))
     done = []
     for tile in schedule.tile_rounds(spark, -(-n // block)).collect():
         u, v = (x.ravel() for x in np.meshgrid(nodes, nodes, indexing="ij"))
@@ -59,7 +57,9 @@ def test_tiles_update_every_pair_once(spark, monkeypatch, n, block):
         size = int(own.sum())
         if size:
             table = pa.table({"u": u[own], "v": v[own], "dij": np.ones(size), "bi": np.full(size, tile["bi"]), "bj": np.full(size, tile["bj"])})
-            layout._tile_kernel(places, 1.0, [0, 0, 0], True)(table)
+            held = np.flatnonzero(np.isin(nodes // block, [tile["bi"], tile["bj"]])).astype(np.int64)
+            places = pa.table({"node_id": held, "x": held.astype(float), "y": held.astype(float)})
+            layout._tile_kernel(1.0, [0, 0, 0], True, None)(table, places)
     for a, b in steps:
         assert len({*a.tolist(), *b.tolist()}) == 2 * len(a)
         done += zip(a.tolist(), b.tolist())
