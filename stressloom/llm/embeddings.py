@@ -15,7 +15,7 @@ _WIDTH = 48  # hash bits that a pass concatenates
 _WIDEST = 512  # places that a window grows to
 _TILE = 4096  # classes of a block, where all pairs of a label are compared
 _MISSED = 0.001  # share of pairs at the least cosine that passes may be expected to miss
-_FEW = 20_000  # labels whose means may go to every task
+_FEW_BYTES = 32 << 20  # of labels' means that may go to every task
 
 
 def _planes(dimension: int, turn: int) -> np.ndarray:
@@ -112,18 +112,21 @@ def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
 
 
-_EDGE = ["border", "far", "pass", "group", "class", "wide", "vector"]
-_FOUND = "a long, b long, border int, far int, pass int, group long, class long, wide int, vector binary"
+_EDGE = ["part", "side", "place", "pass", "group", "class", "wide", "vector"]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+_FOUND = "a long, b long, part int, side int, place long, pass int, group long, class long, wide int, vector binary"
+#: Sides of a partition: its first rows, its last rows, and how many it has.
+_HEAD, _TAIL, _SIZE = range(3)
 
 
 def _neighbours(least: float):
     """Rows in order of (pass, group, code) to the pairs within `wide` places whose cosine reaches least. A partition's first and last rows, as far as
-    windows reach over its ends, follow as rows without a pair: border numbers the end between two partitions, far is how far off
-    it a row stands, below 0 for those before it."""
+    windows reach over its ends, follow as rows without a pair, with their places in it, and then its size."""
 
-    def edge_rows(border: int, far: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
+    def edge_rows(part: int, side: int, place: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
         n = rows.num_rows
-        return pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, border, np.int32)), pa.array(far.astype(np.int32)), *(rows.column(c) for c in _EDGE[2:])], ["a", "b", *_EDGE])
+        told = [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, side, np.int32)), pa.array(place.astype(np.int64))]
+        return pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *told, *(rows.column(c) for c in _EDGE[3:])], ["a", "b", *_EDGE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -137,7 +140,7 @@ def _neighbours(least: float):
                 if own and seen < _WIDEST:
                     place = seen + np.arange(batch.num_rows)
                     near = place < batch.column("wide").to_numpy()
-                    yield edge_rows(own, place[near], batch.filter(pa.array(near)))
+                    yield edge_rows(own, _HEAD, place[near], batch.filter(pa.array(near)))
                 seen += batch.num_rows
                 last = batch if last is None else pa.concat_batches([last, batch])
                 last = last.slice(max(0, last.num_rows - _WIDEST))
@@ -155,14 +158,35 @@ def _neighbours(least: float):
                 good = (j < i) & (i - j <= keys[i, 3]) & (keys[i, 0] == keys[j, 0]) & (keys[i, 1] == keys[j, 1])
                 if good.any():
                     pairs = _pair_rows(keys[i[good], 2], keys[j[good], 2])
-                    n = pairs.num_rows
-                    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                    yield pa.record_batch([*pairs.columns, *(pa.nulls(n, k) for k in kinds)], ["a", "b", *_EDGE])
+                    yield pa.record_batch([*pairs.columns, *(pa.nulls(pairs.num_rows, k) for k in _KINDS)], ["a", "b", *_EDGE])
                 tail = (x[-_WIDEST:].copy(), keys[-_WIDEST:].copy())
         if last is not None:
-            far = np.arange(last.num_rows) - last.num_rows
-            near = -far <= last.column("wide").to_numpy()
-            yield edge_rows(own + 1, far[near], last.filter(pa.array(near)))
+            place = seen - last.num_rows + np.arange(last.num_rows)
+            near = seen - place <= last.column("wide").to_numpy()
+            yield edge_rows(own, _TAIL, place[near], last.filter(pa.array(near)))
+            size = [pa.array([own], pa.int32()), pa.array([_SIZE], pa.int32()), pa.array([seen], pa.int64())]
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *size, *(pa.nulls(1, k) for k in _KINDS[3:])], ["a", "b", *_EDGE])
+
+    return run
+
+
+def _to_borders(sizes):
+    """Edge rows to the ends of partitions that windows reach over from them, (border, far, ...): far is how far off the end a row stands, below 0 for those before it. First
+    rows go to all ends of earlier partitions that are nearer than their window, so that windows reach over partitions shorter than themselves, and over empty ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, ends = sizes.value
+        for batch in batches:
+            at = np.searchsorted(parts, batch.column("part").to_numpy())
+            start = np.r_[0, ends][at]
+            place = start + batch.column("place").to_numpy()
+            head = batch.column("side").to_numpy() == _HEAD
+            first = np.where(head, np.searchsorted(ends, place - batch.column("wide").to_numpy(), side="right"), at)
+            count = np.where(head, np.maximum(at - first, 0), 1)
+            rows = np.repeat(np.arange(batch.num_rows), count)
+            border = first[rows] + np.arange(len(rows)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
+            kept = batch.select(_EDGE[3:]).take(pa.array(rows))
+            yield pa.record_batch([pa.array(border.astype(np.int32)), pa.array((place[rows] - ends[border]).astype(np.int32)), *kept.columns], ["border", "far", *_EDGE[3:]])
 
     return run
 
@@ -182,6 +206,17 @@ def _over_border(least: float):
     return run
 
 
+def _window_links(ordered: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that windows over the rows in order find, inside partitions and over their borders. Of each partition only its size goes through the driver."""
+    found = cut(ordered.mapInArrow(_neighbours(least), _FOUND))
+    sizes = found.where(F.col("side") == _SIZE).select("part", "place").orderBy("part").collect()
+    shared = ordered.sparkSession.sparkContext.broadcast((np.array([r["part"] for r in sizes]), np.cumsum([r["place"] for r in sizes])))
+    edges = found.where(F.col("side") < _SIZE).select(*_EDGE)
+    edges = edges.mapInArrow(_to_borders(shared), "border int, far int, pass int, group long, class long, wide int, vector binary")
+    links = found.where("side is null").select("a", "b")
+    return links.unionByName(edges.groupBy("border").applyInArrow(_over_border(least), "a long, b long"))
+
+
 def _tile(least: float):
     """Two blocks of a label (or one, when i = j) to the pairs whose cosine reaches least."""
 
@@ -257,23 +292,25 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, passes: int = 10, w
     A vector that is null, empty, zero or holds null or non-finite components, or has a null label, links with nothing. Vectors of different
     length don't link. Null vec_id: takes part, and comes before all others. Repeated rows are equal vectors. Other columns are ignored. An empty
     table gives an empty result. A pair is missed only if no pass sorts it within the window and nothing else joins it; windows reach
-    over the border between two sort partitions.
+    over the borders of sort partitions, of short and empty ones too.
     """
     rows = vectors.select(internal_id("vec_id").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("good", F.coalesce(usable, F.lit(False)))
     group = F.xxhash64("label", F.size("embedding")).alias("group")
-    good = rows.where("good").select("id", group, F.xxhash64("label", "embedding").alias("class"), "embedding")
-    copies = good.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("group").alias("group"), F.first("embedding").alias("embedding"))
+    # equal vectors are told by 128 bits; a class gets a number of its own
+    keys = [F.xxhash64("label", "embedding").alias("_key"), F.xxhash64(F.lit(1), "label", "embedding").alias("_check")]
+    good = rows.where("good").select("id", group, *keys, "embedding")
+    copies = good.groupBy("_key", "_check").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("group").alias("group"), F.first("embedding").alias("embedding"))
+    copies = cut(copies.withColumn("class", F.monotonically_increasing_id()))
     planned = copies.select("group", "embedding").mapInArrow(_sums, "group long, n long, total binary").groupBy("group")
     planned = cut(planned.applyInArrow(_plan(least, passes, window), "group long, n long, turns int, wide int, mean binary").where("n > 1"))
-    placed = copies.select("group", "class", "embedding").join(F.broadcast(planned) if planned.count() <= _FEW else planned, "group")
+    few = (planned.agg(F.sum(F.octet_length("mean"))).first()[0] or 0) <= _FEW_BYTES
+    placed = copies.select("group", "class", "embedding").join(F.broadcast(planned) if few else planned, "group")
     coded = placed.where("turns > 0").mapInArrow(_coded, "pass int, group long, code long, class long, wide int, vector binary")
     ordered = coded.repartitionByRange("pass", "group", "code", "class").sortWithinPartitions("pass", "group", "code", "class")
-    found = cut(ordered.mapInArrow(_neighbours(least), _FOUND))
-    links = found.where("border is null").select("a", "b")
-    links = links.unionByName(found.where("border is not null").groupBy("border").applyInArrow(_over_border(least), "a long, b long"))
+    links = _window_links(ordered, least)
     if planned.where("turns = 0").limit(1).count():
         links = links.unionByName(_all_pairs(placed.where("turns = 0"), least))
     links = cut(links.distinct())
@@ -290,11 +327,10 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, passes: int = 10, w
     counted = counted.unionByName(_large_components(members.where(F.col("members") > block), binary.where(F.col("members") > block), least, block, schema))
     counted = counted.groupBy("class").agg(F.sum("links").alias("links"))
 
-    named = copies.select("class", "class_id", "copies").join(inside.select("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = copies.select("class", "_key", "_check", "class_id", "copies").join(inside.select("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = named.join(smallest, "component").join(counted, "class", "left").select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    key = F.when(F.col("good"), F.xxhash64("label", "embedding")).alias("class")
-    out = rows.select("id", key).join(named, "class", "left")
+    named = named.join(smallest, "component").join(counted, "class", "left").select("_key", "_check", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = rows.select("id", *(F.when(F.col("good"), k).alias(c) for k, c in zip(keys, ("_key", "_check"), strict=True))).join(named, ["_key", "_check"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(public_id("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(component != F.lit(-(2**63)), component).alias("component_id"), (F.col("id") == component).alias("kept"))
 

@@ -65,9 +65,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int =
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, per_label: int = 2000, for_dictionary: int = 200, dictionary_bytes: int = 400 << 10, longest: int = 64 << 10, piece: int = 2048) -> Quality:
-    """From docs (doc_id, text) and labels (doc_id, label 0 or 1): of a sample of at most per_label rows of each label, of at most `longest` bytes, the middle
-    `piece` bytes of the first for_dictionary make the dictionaries and the others calibrate, weighed so that labels count as in all labels. With one label missing,
-    the score is that of the other label alone; without labels it is 0.5."""
+    """From docs (doc_id, text) and labels (doc_id, label 0 or 1): of a sample of at most per_label rows of each label, of at most `longest` bytes, every other one of the first
+    2 * for_dictionary gives its middle `piece` bytes to its label's dictionary, and all others calibrate, weighed so that labels count as in all labels. So half of few rows
+    calibrate too. Both dictionaries have as many bytes, those of the label with less. With one label missing, the score is that of the other label alone; without labels it is 0.5; with one row of a label, which
+    leaves none to calibrate by, slope and offset are 10 and 0."""
     from .compression import dictionary, pieces
 
     small_batches(docs.sparkSession)
@@ -75,12 +76,14 @@ def learn_quality(docs: DataFrame, labels: DataFrame, per_label: int = 2000, for
     if len(counts) < 2:
         return Quality(b"", b"", 0.0, {0: -5.0, 1: 5.0}.get(next(iter(counts), None), 0.0))
     chosen = sample(docs, labels, per_label, longest)
+    gives = (F.col("rank") <= 2 * for_dictionary) & (F.col("rank") % 2 == 1)
     first: dict[int, list[tuple[int, bytes]]] = {0: [], 1: []}
-    for row in chosen.where(F.col("rank") <= for_dictionary).select("label", "rank", "text").mapInArrow(pieces(piece), "label int, rank int, text binary").collect():
+    for row in chosen.where(gives).select("label", "rank", "text").mapInArrow(pieces(piece), "label int, rank int, text binary").collect():
         first[row["label"]].append((row["rank"], bytes(row["text"])))
-    bad, good = (dictionary([t for _, t in sorted(first[y])], dictionary_bytes) for y in (0, 1))
+    most = min(dictionary_bytes, *(sum(len(t) for _, t in own) for own in first.values()))
+    bad, good = (dictionary([t for _, t in sorted(first[y])], most) for y in (0, 1))
     model = docs.sparkSession.sparkContext.broadcast(Quality(bad, good, 0.0, 0.0))
-    rest = chosen.where(F.col("rank") > for_dictionary).select("label", "text").mapInArrow(_rows(model, False), "label int, score double").collect()
+    rest = chosen.where(~gives).select("label", "text").mapInArrow(_rows(model, False), "label int, score double").collect()
     x, y = np.array([r["score"] for r in rest]), np.array([r["label"] for r in rest], dtype=np.float64)
     if len(set(y.tolist())) < 2:
         return Quality(bad, good, 10.0, 0.0)
