@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.cuts import cut, numbered
-from .graph import mirrored
+from .graph import canonical_edges, mirrored
 
 #: Bytes of adjacency that may be sent to every task: 8 a node for the offsets, 4 an edge and way. A search holds 16 more a node.
 MOST_BROADCAST = 96 << 20
@@ -99,11 +99,28 @@ def all_pairs(edges: DataFrame, n: int, sources: list[int] | None = None) -> Dat
     return start.mapInArrow(run, "u long, v long, d int")
 
 
-def histogram(edges: DataFrame, n: int) -> DataFrame:
-    """(d, n_pairs): pairs u < v at each distance, counted where they are found."""
-    shared = _adjacency(edges, n)
+def _compact(edges: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Offsets and neighbours of a graph whose nodes have any labels, numbered on the way; None above MOST_BROADCAST."""
+    if 24 * edges.count() > MOST_BROADCAST:
+        return None
+    rows = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst").toArrow()
+    labels, ends = np.unique(np.r_[rows.column("src").to_numpy(), rows.column("dst").to_numpy()], return_inverse=True)
+    a, b = np.split(ends.astype(np.int64), 2)
+    n = len(labels)
+    once = np.unique(np.r_[a * n + b, b * n + a])
+    return np.searchsorted(once // max(n, 1), np.arange(n + 1)), (once % max(n, 1)).astype(np.int32)
+
+
+def histogram(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """(d, n_pairs): pairs u < v at each distance, counted where they are found. n: nodes are 0 .. n - 1; without it labels may be any longs, and loops and repeated
+    edges are ignored."""
+    if n is not None:
+        shared = _adjacency(edges, n)
+    else:
+        small = _compact(edges)
+        n, shared = (len(small[0]) - 1, edges.sparkSession.sparkContext.broadcast(small)) if small else (0, None)
     if shared is None:
-        return histogram_by_masks(edges)
+        return histogram_by_masks(canonical_edges(edges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, targets = shared.value

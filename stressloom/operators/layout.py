@@ -37,11 +37,16 @@ def centred(positions: DataFrame) -> DataFrame:
 
 
 def _parted(dx: Column, dy: Column, u: Column, v: Column, guard: str, seed: int) -> tuple[Column, Column]:
-    """Differences, where coincident nodes are taken as _APART from each other: in a fixed direction, or at an angle that the pair's hash draws."""
+    """Differences, where coincident nodes are taken as _APART from each other: in a fixed direction, at an angle that the pair's hash draws, or by two normal draws."""
     close = F.sqrt(dx * dx + dy * dy) < _NEAR
     if guard == "angle":
         angle = hash_uniform(u, v, seed) * (2.0 * math.pi)
         apart = F.cos(angle) * _APART, F.sin(angle) * _APART
+    elif guard == "normal":
+        # two uniform draws give two normal ones
+        far = F.sqrt(-2.0 * F.ln(1.0 - hash_uniform(u, v, seed))) * _APART
+        angle = hash_uniform(v, u, seed + 1) * (2.0 * math.pi)
+        apart = far * F.cos(angle), far * F.sin(angle)
     else:
         apart = F.lit(_APART), F.lit(_APART)
     return F.when(close, apart[0]).otherwise(dx), F.when(close, apart[1]).otherwise(dy)
@@ -49,7 +54,7 @@ def _parted(dx: Column, dy: Column, u: Column, v: Column, guard: str, seed: int)
 
 def pair_deltas(pairs: DataFrame, positions: DataFrame, eta: float, guard: str = "fixed", seed: int = 0) -> DataFrame:
     """(node_id, dx, dy): the step of each pair on both of its nodes, from one snapshot of positions. guard: how coincident nodes part, "fixed" as in the
-    kernels, or "angle"."""
+    kernels, "angle" or "normal"."""
     at = lambda c: positions.select(F.col("node_id").alias(c), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}"))
     rows = pairs.join(at("u"), "u").join(at("v"), "v")
     dx, dy = _parted(F.col("xv") - F.col("xu"), F.col("yv") - F.col("yu"), F.col("u"), F.col("v"), guard, seed)

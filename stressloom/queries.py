@@ -150,7 +150,7 @@ def histogram_by_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FOREST_DIST} SELECT d, count(*)::BIGINT AS n_pairs FROM dist GROUP BY d")
 def distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.histogram(*_forest(spark, sf_dir))
+    return distance.histogram(sources.customers(spark, sf_dir))
 
 
 @query(f"{FOREST_DIST} SELECT u::INT AS u, v::INT AS v, dij::FLOAT AS dij, wij::FLOAT AS wij FROM pairs")

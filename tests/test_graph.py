@@ -69,7 +69,7 @@ def test_tiles_update_every_pair_once(spark, monkeypatch, n, block):
 def test_coincident_nodes_part(spark):
     pairs = spark.createDataFrame([(0, 1, 1.0, 1.0)], "u long, v long, dij double, wij double")
     places = spark.createDataFrame([(0, 0.5, 0.5), (1, 0.5, 0.5)], "node_id long, x double, y double")
-    for guard in ("fixed", "angle"):
+    for guard in ("fixed", "angle", "normal"):
         moved = sorted(map(tuple, layout.scatter_add(places, layout.pair_deltas(pairs, places, 1.0, guard)).collect()))
         assert abs(np.hypot(moved[0][1] - moved[1][1], moved[0][2] - moved[1][2]) - 1) < 1e-3
     parts = spark.createDataFrame([(0, 0), (1, 0)], "node_id long, component long")

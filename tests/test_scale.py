@@ -53,6 +53,15 @@ def test_lone_nodes_dont_fill_a_broadcast(spark, monkeypatch):
     assert rows(distance.histogram(edges, 10**9 + 1)) == [(1, 2), (2, 1)]
 
 
+def test_any_labels_are_counted(spark, monkeypatch):
+    edges = spark.createDataFrame([(7, -3), (-3, 10**15), (7, -3), (-3, 7), (5, 5)], "src long, dst long")
+    want = [(1, 2), (2, 1)]
+    assert rows(distance.histogram(edges)) == want
+    assert rows(distance.histogram(edges.limit(0))) == []
+    monkeypatch.setattr(distance, "MOST_BROADCAST", 0)
+    assert rows(distance.histogram(edges)) == want
+
+
 def test_stress_is_summed_by_the_search(spark, monkeypatch):
     edges = graph.canonical_edges(sources.gnp_graph(spark, 80, 0.03, 2))
     places = layout.start_positions(spark.range(80).withColumnRenamed("id", "node_id"))
