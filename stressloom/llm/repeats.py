@@ -4,7 +4,7 @@
    have anchors of equal hash at equal distance, so a window can only repeat if its anchor's
    hash does: one pre-aggregated count over hashes leaves the places worth a look.
 2. The text around each such place, a segment, goes to the shard of its anchor's hash. A
-   task sends equal segments once, with the list of places where they stand.
+   task sends equal segments once, with the least place where they stand; at their other places they are marked at once.
 3. A shard sorts its segments by anchor and indexes them block by block, never cutting an anchor
    apart; blocks are a few MB, so memory doesn't depend on the shard's size.
 
@@ -18,6 +18,7 @@ collapsed to the one of least id before step 2; the caller settles the rest of t
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -94,7 +95,8 @@ def _place_rows(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def _segment_rows(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts with their places to distinct segments, each with where it stands."""
+    """Texts with their places to distinct segments, each with the least place that it stands at here and whether it stands at others. Those others are marked at once, as the segment stands
+    earlier: rows without a segment, whose stands are runs (id, key, first, end), under keys of their own. So a passage of any number of places sends one row a task and batch."""
 
     def part(units: list[bytes] | bytes, a: int, b: int) -> bytes:
         return b" ".join(units[a:b]) if plan.words else units[a:b]
@@ -114,17 +116,21 @@ def _segment_rows(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 core = part(units, tail, head + plan.window)
                 own = int.from_bytes(blake2b(core + j.to_bytes(4, "little"), digest_size=8, key=gram.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
                 out.setdefault((own, part(units, a, b - 1 + plan.window)), []).extend((i, k, f + a) for i, k, f in where)
-        items = list(out.items())
+        items, runs = [], []
+        for (key, segment), where in out.items():
+            least, more = where[0], 0
+            if len(where) > 1:
+                places = sorted(set(where))
+                least, more = places[0], int(len(places) > 1)
+                n = (segment.count(b" ") + 1 if plan.words else len(segment)) - plan.window + 1
+                runs += [(i, k, f, f + n) for i, k, f in places[1:]]
+            items.append((key, segment, struct.pack("=4q", *least, more)))
+        for at in range(0, len(runs), 2048):
+            stands = np.array(runs[at : at + 2048], dtype=np.int64)
+            items.append((int(stands[0] @ np.array([1, 3, 5, 7])), None, stands.tobytes()))
         for at in range(0, len(items), 2048):
-            rows = items[at : at + 2048]
-            yield pa.record_batch(
-                [
-                    pa.array([x[0][0] for x in rows], pa.int64()),
-                    pa.array([x[0][1] for x in rows], pa.binary()),
-                    pa.array([np.array(x[1], dtype=np.int64).tobytes() for x in rows], pa.binary()),
-                ],
-                ["shard_key", "segment", "stands"],
-            )
+            keys, segments, stands = zip(*items[at : at + 2048], strict=True)
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(segments, pa.binary()), pa.array(stands, pa.binary())], ["shard_key", "segment", "stands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
@@ -160,18 +166,24 @@ def _segment_rows(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def _mark_rows(plan: Plan, mark: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Segments sorted by shard key to runs of marked windows: (id, key, first, end)."""
+    """Segments sorted by shard key to runs of marked windows: (id, key, first, end). Runs that are marked already pass through."""
+
+    def told(out: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.ascontiguousarray(out[:, i])) for i in range(4)], ["id", "key", "first", "end"])
 
     def flush(segments: dict) -> Iterator[pa.RecordBatch]:
         out = mark(segments)
         if len(out):
-            yield pa.record_batch([pa.array(np.ascontiguousarray(out[:, i])) for i in range(4)], ["id", "key", "first", "end"])
+            yield told(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments: dict[bytes, list] = {}
         held, last = 0, None
         for batch in batches:
             for key, segment, stands in zip(batch.column("shard_key").to_pylist(), batch.column("segment").to_pylist(), batch.column("stands").to_pylist(), strict=True):
+                if segment is None:
+                    yield told(np.frombuffer(stands, dtype=np.int64).reshape(-1, 4))
+                    continue
                 if key != last and held >= plan.block:
                     yield from flush(segments)
                     segments, held = {}, 0
@@ -188,11 +200,15 @@ def _mark_rows(plan: Plan, mark: Callable) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-def _stands(stands: list[bytes]) -> np.ndarray:
-    """Where a segment stands: (id, key, first) in order. Rows that repeat an id and its text give a place more than once; it counts once."""
-    where = np.frombuffer(b"".join(stands), dtype=np.int64).reshape(-1, 3)
+def _stands(stands: list[bytes]) -> tuple[np.ndarray, bool]:
+    """The least places, of all tasks, where a segment stands: (id, key, first) in order; and whether it stands at several places in all. Rows that repeat an id and its text give a place more
+    than once; it counts once."""
+    where = np.frombuffer(b"".join(stands), dtype=np.int64).reshape(-1, 4)
+    if len(where) == 1:
+        return where[:, :3], bool(where[0, 3])
     where = where[np.lexsort((where[:, 2], where[:, 1], where[:, 0]))]
-    return where if len(where) == 1 else where[np.r_[True, (where[1:] != where[:-1]).any(axis=1)]]
+    once = where[np.r_[True, (where[1:, :3] != where[:-1, :3]).any(axis=1)], :3]
+    return once, len(once) > 1 or bool(where[:, 3].any())
 
 
 def mark_with_run_length_index(plan: Plan, keep_first: bool = False) -> Callable[[dict[bytes, list]], np.ndarray]:
@@ -203,11 +219,11 @@ def mark_with_run_length_index(plan: Plan, keep_first: bool = False) -> Callable
 
         w, out, items = plan.window, [], []
         for segment, stands in segments.items():
-            where = _stands(stands)
+            where, several = _stands(stands)
             again = where[1:] if keep_first else where
-            if len(where) > 1:
+            if several and len(again):
                 out.append(np.column_stack([again, again[:, 2] + len(segment) - w + 1]))
-            items.append((*where[0].tolist(), segment, keep_first or len(where) == 1))
+            items.append((*where[0].tolist(), segment, keep_first or not several))
         items.sort()
         gap = np.zeros(1, np.uint8)
         text = np.concatenate([x for i in items for x in (np.frombuffer(i[3], dtype=np.uint8) + np.uint8(1), gap)])
@@ -239,7 +255,7 @@ def mark_with_fm_index(plan: Plan) -> Callable[[dict[bytes, list]], np.ndarray]:
 
         w, out, items = plan.window, [], []
         for segment, stands in segments.items():
-            where = _stands(stands)
+            where, _ = _stands(stands)
             if len(where) > 1:  # all but the first stand later as a whole
                 out.append(np.column_stack([where[1:], where[1:, 2] + segment.count(b" ") + 1 - w + 1]))
             items.append((*where[0].tolist(), segment))

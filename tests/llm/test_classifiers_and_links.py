@@ -106,3 +106,28 @@ def test_links_are_those_of_the_sql(spark):
     want = sorted(con.sql(queries.OP6).fetchall())
     assert sum(r[1] > 0 for r in want) > 300
     assert got == want
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_a_passage_of_any_number_of_places_sends_one_row(words):
+    """5,000 texts that share a passage: a task keeps its least place, and marks the others at once."""
+    import pyarrow as pa
+
+    from stressloom.llm import repeats
+
+    plan = repeats.Plan(words=words, window=20 if words else 400, gram=8)
+    rng = random.Random(3)
+    passage = " ".join(str(rng.randrange(10**6)) for _ in range(100))
+    n = len(passage.split()) - plan.window + 1 if words else len(passage) - plan.window + 1
+    place = {"gram": 7, "where": (0 << 20) | (0 << 10) | n, "hot": False}
+    kind = pa.list_(pa.struct([("gram", pa.int64()), ("where", pa.int64()), ("hot", pa.bool_())]))
+    batches = [pa.record_batch([pa.array([i]), pa.array([i * 11]), pa.array([passage]), pa.array([[place]], kind)], ["id", "key", "text", "places"]) for i in range(4999, -1, -1)]
+    out = [r for b in repeats._segment_rows(plan)(iter(batches)) for r in b.to_pylist()]
+    own = [r for r in out if r["segment"] is not None]
+    assert len(own) == 1 and np.frombuffer(own[0]["stands"], np.int64).tolist() == [0, 0, 0, 1]
+    runs = np.concatenate([np.frombuffer(r["stands"], np.int64).reshape(-1, 4) for r in out if r["segment"] is None])
+    assert sorted(map(tuple, runs.tolist())) == [(i, i * 11, 0, n) for i in range(1, 5000)]
+    mark = repeats.mark_with_fm_index(plan) if words else repeats.mark_with_run_length_index(plan)
+    rows = pa.record_batch([pa.array([r[c] for r in out], t) for c, t in (("shard_key", pa.int64()), ("segment", pa.binary()), ("stands", pa.binary()))], ["shard_key", "segment", "stands"])
+    marked = sorted(tuple(r.values()) for b in repeats._mark_rows(plan, mark)(iter([rows])) for r in b.to_pylist())
+    assert marked == [(i, i * 11, 0, n) for i in range(1 if words else 0, 5000)]
