@@ -13,6 +13,7 @@ from .operators import distance, graph, layout, render, schedule, stress
 from .plans import sql as plans_sql
 from .plans.cuts import kept_until_the_end, shared_folder
 from .plans.layout import lay_out, measured, prepare, quality
+from .sinks.result import save_result
 from .sources import mtx as mtx_data_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -498,8 +499,9 @@ def mtx_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def layout_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stress before and after, in a shuffled order: rows only."""
-    ready, final = lay_out(*_geo(spark, sf_dir), seed=7)
+    """Stress before and after over the neighbourhoods of customers, in a shuffled order: rows only."""
+    labels, edges = graph.relabel(sources.neighbourhoods(spark, sf_dir))
+    ready, final = lay_out(edges, labels.count(), seed=7)
     return quality(ready, final)
 
 
@@ -579,10 +581,20 @@ def layout_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT node_id, round(x, 6) + 0.0D AS x, round(y, 6) + 0.0D AS y FROM lay_out(TABLE(stressloom_pairs), array({rates}))")
 
 
-@query(_sgd("435") + f"""SELECT (SELECT count(*) FROM nodes)::BIGINT AS n_nodes, (SELECT count(*) FROM edges)::BIGINT AS n_edges, (SELECT count(*) FROM dist)::BIGINT AS n_pairs, (SELECT 15 * count(*) FROM dist)::BIGINT AS n_updates,
+@query(_sgd("285", STRETCHES, 19, graph=NEAR, depth=19) + f"""SELECT (SELECT count(*) FROM nodes)::BIGINT AS n_nodes, (SELECT count(*) FROM edges)::BIGINT AS n_edges, (SELECT count(*) FROM dist)::BIGINT AS n_pairs, (SELECT 15 * count(*) FROM dist)::BIGINT AS n_updates,
   ({STRESS.format(half="1.0", places="start")}) AS stress_before, ({STRESS.format(half="1.0", places="final")}) AS stress_after""")
 def layout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The metrics row of a layout, without its seconds."""
-    edges, n = _geo(spark, sf_dir)
-    told = measured("geography", edges, n, center=False, order="fixed")[2]
+    """The metrics row of a layout of the neighbourhoods of customers, without its seconds."""
+    labels, edges = graph.relabel(sources.neighbourhoods(spark, sf_dir))
+    told = measured("neighbourhoods", edges, labels.count(), center=False, strategy="rounds", order="fixed")[2]
     return told.select("n_nodes", "n_edges", "n_pairs", "n_updates", rounded(F.col("stress_before"), 4).alias("stress_before"), rounded(F.col("stress_after"), 4).alias("stress_after"))
+
+
+@query(f"WITH {FOREST}, {START} SELECT 'edge' AS part, row_number() OVER (ORDER BY src, dst) - 1 AS ordinal, src::DOUBLE AS a, dst::DOUBLE AS b FROM edges UNION ALL SELECT 'position', node_id, round(printf('%.9f', x)::DOUBLE, 6) + 0.0, round(printf('%.9f', y)::DOUBLE, 6) + 0.0 FROM start")
+def result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest and its start positions as a result file that tasks write, read back."""
+    edges, n = _forest(spark, sf_dir)
+    path = f"{shared_folder(spark)}/stressloom-{uuid.uuid4().hex}.txt"
+    save_result(edges, _places(spark, n), path, "forest")
+    kept_until_the_end(spark, path)
+    return sources.parse_result(sources.result_lines(spark, path)).select("part", "ordinal", rounded(F.col("a")).alias("a"), rounded(F.col("b")).alias("b"))
