@@ -31,7 +31,7 @@ class Prepared:
 
 
 def prepare(edges: DataFrame, n: int, iterations: int = 15, epsilon: float = 0.1, seed: int = 0, center: bool = True) -> Prepared:
-    edges = canonical_edges(edges)
+    edges = cut(canonical_edges(edges))
     pairs = cut(pair_table(all_pairs(edges, n)))
     etas = [r["eta"] for r in learning_rates(extrema(pairs), iterations, epsilon).orderBy("t").collect()]
     positions = start_positions(edges.sparkSession.range(n).withColumnRenamed("id", "node_id"), seed)
@@ -58,7 +58,7 @@ def measured(name: str, edges: DataFrame, n: int, iterations: int = 15, epsilon:
     spark = edges.sparkSession
     began = [time.perf_counter()]
     seconds = lambda: began.append(time.perf_counter()) or round(began[-1] - began[-2], 3)
-    edges = cut(edges)
+    edges = cut(canonical_edges(edges))
     told = {"graph": name, "n_nodes": n, "load_s": seconds()}
     ready = prepare(edges, n, iterations, epsilon, seed, center)
     told |= {"n_edges": ready.edges.count(), "n_pairs": ready.pairs.count(), "distance_s": seconds()}

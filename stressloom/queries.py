@@ -11,7 +11,7 @@ from . import sinks, sources
 from .functions import rounded
 from .operators import distance, graph, layout, render, schedule, stress
 from .plans import sql as plans_sql
-from .plans.cuts import kept_until_the_end, shared_folder
+from .plans.cuts import cut, kept_until_the_end, shared_folder
 from .plans.layout import lay_out, measured, prepare, quality
 from .sinks.result import save_result
 from .sources import mtx as mtx_data_source
@@ -40,7 +40,7 @@ def _geo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     labels, edges = graph.relabel(sources.customers(spark, sf_dir))
-    return edges, labels.count()
+    return cut(edges), labels.count()
 
 
 def _places(spark: SparkSession, n: int) -> DataFrame:
