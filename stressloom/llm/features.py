@@ -290,7 +290,8 @@ def _spread(windows: DataFrame, rows: DataFrame) -> DataFrame:
     first, after = F.expr("shiftright(after + 1, fine) + 1"), F.expr("shiftright(upto, fine)")
     steps = windows.select("*", first.alias("_l"), after.alias("_r")).where("_l < _r").withColumn("k", F.explode(F.expr(f"sequence(0, {_TOP} - fine)")))
     steps = steps.select("*", F.expr("shiftright(_l + shiftleft(1L, k) - 1, k)").alias("_lk"), F.expr("shiftright(_r, k)").alias("_rk")).where("_lk < _rk")
-    blocks = F.filter(F.array(F.when(F.col("_lk") % 2 == 1, F.col("_lk")), F.when(F.col("_rk") % 2 == 1, F.col("_rk") - 1)), lambda x: x.isNotNull())
+    odd = lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1  # noqa: E731  of times before 1970 too
+    blocks = F.filter(F.array(F.when(odd("_lk"), F.col("_lk")), F.when(odd("_rk"), F.col("_rk") - 1)), lambda x: x.isNotNull())
     pieces = steps.select("client", (F.col("fine") + F.col("k")).alias("level"), F.explode(blocks).alias("block"), F.col("by").alias("a"), "row", "w")
     zero = F.lit(0).cast("long")
     nothing = {"kind": F.lit(0), "n": zero, "v": zero, "e": zero, "id": zero}
