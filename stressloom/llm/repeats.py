@@ -96,7 +96,7 @@ def _place_rows(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 def _segment_rows(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Texts with their places to distinct segments, each with the least place that it stands at here and whether it stands at others. Those others are marked at once, as the segment stands
-    earlier: rows without a segment, whose stands are runs (id, key, first, end), under keys of their own. So a passage of any number of places sends one row a task and batch."""
+    earlier: rows without a segment, whose stands are runs (id, key, first and length in one number), under keys of their own. So a passage of any number of places sends one row a task and batch."""
 
     def part(units: list[bytes] | bytes, a: int, b: int) -> bytes:
         return b" ".join(units[a:b]) if plan.words else units[a:b]
@@ -124,10 +124,10 @@ def _segment_rows(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 least, more = places[0], int(len(places) > 1)
                 n = (segment.count(b" ") + 1 if plan.words else len(segment)) - plan.window + 1
                 runs += [(i, k, f, f + n) for i, k, f in places[1:]]
-            items.append((key, segment, struct.pack("=4q", *least, more)))
+            items.append((key, segment, struct.pack("=3q", least[0], least[1], least[2] << 1 | more)))
         for at in range(0, len(runs), 2048):
-            stands = np.array(runs[at : at + 2048], dtype=np.int64)
-            items.append((int(stands[0] @ np.array([1, 3, 5, 7])), None, stands.tobytes()))
+            stands = np.array([(i, k, f << 20 | e - f) for i, k, f, e in runs[at : at + 2048]], dtype=np.int64)
+            items.append((int(stands[0] @ np.array([1, 3, 5])), None, stands.tobytes()))
         for at in range(0, len(items), 2048):
             keys, segments, stands = zip(*items[at : at + 2048], strict=True)
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(segments, pa.binary()), pa.array(stands, pa.binary())], ["shard_key", "segment", "stands"])
@@ -182,7 +182,9 @@ def _mark_rows(plan: Plan, mark: Callable) -> Callable[[Iterator[pa.RecordBatch]
         for batch in batches:
             for key, segment, stands in zip(batch.column("shard_key").to_pylist(), batch.column("segment").to_pylist(), batch.column("stands").to_pylist(), strict=True):
                 if segment is None:
-                    yield told(np.frombuffer(stands, dtype=np.int64).reshape(-1, 4))
+                    runs = np.frombuffer(stands, dtype=np.int64).reshape(-1, 3)
+                    first = runs[:, 2] >> 20
+                    yield told(np.column_stack([runs[:, :2], first, first + (runs[:, 2] & (1 << 20) - 1)]))
                     continue
                 if key != last and held >= plan.block:
                     yield from flush(segments)
@@ -203,12 +205,13 @@ def _mark_rows(plan: Plan, mark: Callable) -> Callable[[Iterator[pa.RecordBatch]
 def _stands(stands: list[bytes]) -> tuple[np.ndarray, bool]:
     """The least places, of all tasks, where a segment stands: (id, key, first) in order; and whether it stands at several places in all. Rows that repeat an id and its text give a place more
     than once; it counts once."""
-    where = np.frombuffer(b"".join(stands), dtype=np.int64).reshape(-1, 4)
-    if len(where) == 1:
-        return where[:, :3], bool(where[0, 3])
-    where = where[np.lexsort((where[:, 2], where[:, 1], where[:, 0]))]
-    once = where[np.r_[True, (where[1:, :3] != where[:-1, :3]).any(axis=1)], :3]
-    return once, len(once) > 1 or bool(where[:, 3].any())
+    where = np.frombuffer(b"".join(stands), dtype=np.int64).reshape(-1, 3).copy()
+    more = bool((where[:, 2] & 1).any())
+    where[:, 2] >>= 1
+    if len(where) > 1:
+        where = where[np.lexsort((where[:, 2], where[:, 1], where[:, 0]))]
+        where = where[np.r_[True, (where[1:] != where[:-1]).any(axis=1)]]
+    return where, more or len(where) > 1
 
 
 def mark_with_run_length_index(plan: Plan, keep_first: bool = False) -> Callable[[dict[bytes, list]], np.ndarray]:
@@ -310,7 +313,9 @@ def marked_texts(docs: DataFrame, plan: Plan, mark: Callable, carry: tuple[str,
     firsts = same.select(F.col("first_id").alias("id"), "key").distinct()
     places = places.join(firsts, ["id", "key"], "left_semi")
 
-    located = texts.join(places.hint("shuffle_hash"), ["id", "key"], "left").select("id", "key", "text", "places")
+    # texts are dealt once, by (id, key): both joins below read that shuffle, so both name all of its columns
+    every_text = every.repartition("id", "key")
+    located = every_text.join(places.hint("shuffle_hash"), ["id", "key"], "left").select(*every.columns, "places")
     segments = located.mapInArrow(_segment_rows(plan), "shard_key long, segment binary, stands binary")
     marks = (
         segments.repartition("shard_key")
@@ -321,8 +326,11 @@ def marked_texts(docs: DataFrame, plan: Plan, mark: Callable, carry: tuple[str,
     )
     # copies carry the marks of the first among them, whose id they learn through both keys
     marks = marks.select(F.col("id").alias("first_id"), "key", "marks")
-    known = rows.join(same, ["key", "check"]).join(marks, ["first_id", "key"], "left").select("id", "key", "check", "first_id", "copies", "marks")
-    found = every.join(known.hint("shuffle_hash"), ["id", "key", "check"], "left")
+    known = rows.join(same, ["key", "check"]).join(marks, ["first_id", "key"], "left")
+    known = known.groupBy("id", "key").agg(F.collect_list(F.struct("check", "first_id", "copies", "marks")).alias("_known"))
+    found = every_text.join(known.hint("shuffle_hash"), ["id", "key"], "left")
+    found = found.withColumn("_own", F.filter("_known", lambda k: k["check"] == F.col("check"))[0])
+    found = found.select(*every.columns, *(F.col(f"_own.{c}").alias(c) for c in ("first_id", "copies", "marks")))
     copy = F.col("id") != F.col("first_id")
     if rows.where("rows > 1").limit(1).count():  # of rows that repeat an id and its text, one is the first
         rank = F.row_number().over(Window.partitionBy("id", "key", "check").orderBy(F.lit(1)))

@@ -124,9 +124,9 @@ def test_a_passage_of_any_number_of_places_sends_one_row(words):
     batches = [pa.record_batch([pa.array([i]), pa.array([i * 11]), pa.array([passage]), pa.array([[place]], kind)], ["id", "key", "text", "places"]) for i in range(4999, -1, -1)]
     out = [r for b in repeats._segment_rows(plan)(iter(batches)) for r in b.to_pylist()]
     own = [r for r in out if r["segment"] is not None]
-    assert len(own) == 1 and np.frombuffer(own[0]["stands"], np.int64).tolist() == [0, 0, 0, 1]
-    runs = np.concatenate([np.frombuffer(r["stands"], np.int64).reshape(-1, 4) for r in out if r["segment"] is None])
-    assert sorted(map(tuple, runs.tolist())) == [(i, i * 11, 0, n) for i in range(1, 5000)]
+    assert len(own) == 1 and np.frombuffer(own[0]["stands"], np.int64).tolist() == [0, 0, 0 << 1 | 1]
+    runs = np.concatenate([np.frombuffer(r["stands"], np.int64).reshape(-1, 3) for r in out if r["segment"] is None])
+    assert sorted(map(tuple, runs.tolist())) == [(i, i * 11, n) for i in range(1, 5000)]
     mark = repeats.mark_with_fm_index(plan) if words else repeats.mark_with_run_length_index(plan)
     rows = pa.record_batch([pa.array([r[c] for r in out], t) for c, t in (("shard_key", pa.int64()), ("segment", pa.binary()), ("stands", pa.binary()))], ["shard_key", "segment", "stands"])
     marked = sorted(tuple(r.values()) for b in repeats._mark_rows(plan, mark)(iter([rows])) for r in b.to_pylist())
