@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from . import sinks, sources
 from .functions import rounded
@@ -32,35 +33,35 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _geo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """The geography graph with dense ids; it has 30 nodes at any scale."""
-    labels, edges = graph.relabel(sources.geography(spark, sf_dir))
-    return edges, labels.count()
-
-
 def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     labels, edges = graph.relabel(sources.customers(spark, sf_dir))
     return cut(edges), labels.count()
 
 
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The neighbourhoods of customers: a component for every 20 of them."""
+    labels, edges = graph.relabel(sources.neighbourhoods(spark, sf_dir))
+    return cut(edges), labels.count()
+
+
 def _places(spark: SparkSession, n: int) -> DataFrame:
     return layout.start_positions(spark.range(n).withColumnRenamed("id", "node_id"))
 
 
-GEO = """raw AS (
-  SELECT n_nationkey::BIGINT AS a, (100 + n_regionkey)::BIGINT AS b FROM nation
-  UNION ALL SELECT n_nationkey, (n_nationkey + 1) % 25 FROM nation
+FOREST = """raw AS (
+  SELECT n_regionkey::BIGINT AS a, 1000000000 + n_nationkey::BIGINT AS b FROM nation
+  UNION ALL SELECT 1000000000 + c_nationkey::BIGINT, 2000000000 + c_custkey FROM customer
 ), nodes AS (
   SELECT v AS orig_label, row_number() OVER (ORDER BY v) - 1 AS node_id FROM (SELECT a AS v FROM raw UNION SELECT b FROM raw)
 ), edges AS (
   SELECT DISTINCT least(x.node_id, y.node_id) AS src, greatest(x.node_id, y.node_id) AS dst
   FROM raw JOIN nodes x ON a = x.orig_label JOIN nodes y ON b = y.orig_label WHERE a <> b
 ), both_ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)"""
-FOREST = """raw AS (
-  SELECT n_regionkey::BIGINT AS a, 1000000000 + n_nationkey::BIGINT AS b FROM nation
-  UNION ALL SELECT 1000000000 + c_nationkey::BIGINT, 2000000000 + c_custkey FROM customer
+NEAR = """own AS (SELECT c_custkey::BIGINT AS k, c_nationkey::BIGINT AS n FROM customer), raw AS (
+  SELECT a.k AS a, b.k AS b FROM own a JOIN own b ON b.k = a.k + 1 AND a.k % 20 < 19
+  UNION ALL SELECT a.k, b.k FROM own a JOIN own b ON b.k = a.k - a.k % 20 + a.n % 20
 ), nodes AS (
-  SELECT v AS orig_label, row_number() OVER (ORDER BY v) - 1 AS node_id FROM (SELECT a AS v FROM raw UNION SELECT b FROM raw)
+  SELECT v AS orig_label, row_number() OVER (ORDER BY v) - 1 AS node_id FROM (SELECT a AS v FROM raw WHERE a <> b UNION SELECT b FROM raw WHERE a <> b)
 ), edges AS (
   SELECT DISTINCT least(x.node_id, y.node_id) AS src, greatest(x.node_id, y.node_id) AS dst
   FROM raw JOIN nodes x ON a = x.orig_label JOIN nodes y ON b = y.orig_label WHERE a <> b
@@ -71,13 +72,13 @@ DIST = """walk AS (
 ), dist AS (SELECT u, v, min(d)::INT AS d FROM walk GROUP BY u, v HAVING u < v),
 pairs AS (SELECT u, v, d::DOUBLE AS dij, 1.0::DOUBLE / (d::DOUBLE * d::DOUBLE) AS wij FROM dist)"""
 START = "start AS (SELECT node_id, ((node_id * 2654435761 + 12345) % 4294967296) / 4294967296.0::DOUBLE AS x, ((node_id * 2246822519 + 6789) % 4294967296) / 4294967296.0::DOUBLE AS y FROM nodes)"
-GEO_DIST = f"WITH RECURSIVE {GEO}, {DIST.format(depth=8)}, {START} "
+NEAR_DIST = f"WITH RECURSIVE {NEAR}, {DIST.format(depth=19)}, {START} "
 FOREST_DIST = f"WITH RECURSIVE {FOREST}, {DIST.format(depth=5)} "
 
 
-@query(f"WITH {GEO} SELECT src, dst FROM edges")
+@query(f"WITH {NEAR} SELECT src, dst FROM edges")
 def edges_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _geo(spark, sf_dir)[0]
+    return _near(spark, sf_dir)[0]
 
 
 @query(f"WITH {FOREST} SELECT src, dst FROM both_ways")
@@ -122,9 +123,9 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.trade(spark, sf_dir)
 
 
-@query(f"{GEO_DIST} SELECT CASE WHEN u = 0 THEN v ELSE u END AS node_id, d FROM dist WHERE u = 0 OR v = 0")
+@query(f"{FOREST_DIST} SELECT CASE WHEN u = 0 THEN v ELSE u END AS node_id, d FROM dist WHERE u = 0 OR v = 0")
 def bfs_single_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, n = _geo(spark, sf_dir)
+    edges, n = _forest(spark, sf_dir)
     return distance.all_pairs(edges, n, [0]).select(F.col("v").alias("node_id"), "d")
 
 
@@ -133,9 +134,9 @@ def apsp_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.all_pairs(*_forest(spark, sf_dir))
 
 
-@query(f"{GEO_DIST} SELECT u, v, d FROM dist")
+@query(f"{NEAR_DIST} SELECT u, v, d FROM dist")
 def apsp_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.all_pairs_by_joins(*_geo(spark, sf_dir))
+    return distance.all_pairs_by_joins(*_near(spark, sf_dir))
 
 
 @query(f"{FOREST_DIST} SELECT u, v, d FROM dist")
@@ -159,9 +160,9 @@ def pairs_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.narrowed(distance.pair_table(distance.all_pairs(*_forest(spark, sf_dir))))
 
 
-@query(f"{GEO_DIST} SELECT u, v, dij, wij FROM pairs")
+@query(f"{NEAR_DIST} SELECT u, v, dij, wij FROM pairs")
 def pair_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.pair_table(distance.all_pairs(*_geo(spark, sf_dir)))
+    return distance.pair_table(distance.all_pairs(*_near(spark, sf_dir)))
 
 
 EXTREMES = "extremes AS (SELECT min(dij) AS dmin, max(dij) AS dmax, 1.0::DOUBLE / (max(dij) * max(dij)) AS wmin, 1.0::DOUBLE / (min(dij) * min(dij)) AS wmax FROM pairs)"
@@ -172,9 +173,9 @@ def weight_extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.extrema(distance.pair_table(distance.all_pairs(*_forest(spark, sf_dir))))
 
 
-@query(f"{GEO_DIST}, {EXTREMES} SELECT t, round((1.0 / wmin) * exp(-(ln((1.0 / wmin) / (0.1 / wmax)) / 14.0) * t), 6) + 0.0 AS eta FROM extremes, (SELECT unnest(range(15))::INT AS t)")
+@query(f"{NEAR_DIST}, {EXTREMES} SELECT t, round((1.0 / wmin) * exp(-(ln((1.0 / wmin) / (0.1 / wmax)) / 14.0) * t), 6) + 0.0 AS eta FROM extremes, (SELECT unnest(range(15))::INT AS t)")
 def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = distance.pair_table(distance.all_pairs(*_geo(spark, sf_dir)))
+    pairs = distance.pair_table(distance.all_pairs(*_near(spark, sf_dir)))
     return schedule.learning_rates(distance.extrema(pairs)).select("t", rounded(F.col("eta")).alias("eta"))
 
 
@@ -193,16 +194,16 @@ STRESS = "SELECT round({half} * sum(wij * (sqrt((a.x - b.x) * (a.x - b.x) + (a.y
 
 
 def _stress(spark: SparkSession, sf_dir: str, half: bool) -> DataFrame:
-    edges, n = _geo(spark, sf_dir)
+    edges, n = _near(spark, sf_dir)
     return stress.stress(distance.pair_table(distance.all_pairs(edges, n)), _places(spark, n), half).select(rounded(F.col("stress"), 4).alias("stress"))
 
 
-@query(GEO_DIST + STRESS.format(half="1.0", places="start"))
+@query(NEAR_DIST + STRESS.format(half="1.0", places="start"))
 def stress_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stress(spark, sf_dir, False)
 
 
-@query(GEO_DIST + STRESS.format(half="0.5", places="start"))
+@query(NEAR_DIST + STRESS.format(half="0.5", places="start"))
 def stress_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stress(spark, sf_dir, True)
 
@@ -232,8 +233,8 @@ TILES = """across AS (SELECT round::INT AS round, u::INT AS bi, v::INT AS bj FRO
 tiles AS (SELECT * FROM across UNION ALL SELECT * FROM own)"""
 
 
-#: Blocks of 256 nodes of the forest.
-_BLOCKS = "(SELECT (count(*) + 255) // 256 FROM nodes)"
+#: Blocks of 256 and of 64 nodes of the forest.
+_BLOCKS, _SMALL = (f"(SELECT (count(*) + {n - 1}) // {n} FROM nodes)" for n in (256, 64))
 
 
 @query(f"WITH {FOREST}, {CIRCLE.format(n=_BLOCKS)}, {TILES.format(n=_BLOCKS)} SELECT round, bi, bj FROM tiles")
@@ -241,19 +242,20 @@ def tile_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.tile_rounds(spark, -(-_forest(spark, sf_dir)[1] // 256))
 
 
-@query(f"WITH {GEO}, {CIRCLE.format(n=30)}, {TILES.format(n=30)} SELECT round, count(*)::BIGINT AS n_tiles FROM tiles GROUP BY round")
+@query(f"WITH {FOREST}, {CIRCLE.format(n=_SMALL)}, {TILES.format(n=_SMALL)} SELECT round, count(*)::BIGINT AS n_tiles FROM tiles GROUP BY round")
 def tile_round_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.tile_rounds(spark, _geo(spark, sf_dir)[1]).groupBy("round").agg(F.count(F.lit(1)).alias("n_tiles"))
+    return schedule.tile_rounds(spark, -(-_forest(spark, sf_dir)[1] // 64)).groupBy("round").agg(F.count(F.lit(1)).alias("n_tiles"))
 
 
-@query(f"WITH {GEO}, {CIRCLE.format(n=30)}, {TILES.format(n=30)} SELECT max(n)::BIGINT AS most_tiles FROM (SELECT count(*) AS n FROM tiles GROUP BY round)")
+@query(f"WITH {FOREST}, {CIRCLE.format(n=_SMALL)}, {TILES.format(n=_SMALL)} SELECT max(n)::BIGINT AS most_tiles FROM (SELECT count(*) AS n FROM tiles GROUP BY round)")
 def tile_round_most(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.most_tiles(schedule.tile_rounds(spark, _geo(spark, sf_dir)[1]))
+    return schedule.most_tiles(schedule.tile_rounds(spark, -(-_forest(spark, sf_dir)[1] // 64)))
 
 
-@query(f"WITH {GEO}, {CIRCLE.format(n=4)}, {TILES.format(n=4)}, l AS (SELECT (node_id // 8)::INT AS b, count(*)::INT AS len FROM nodes GROUP BY 1) SELECT round, bi, bj, i.len AS li, j.len AS lj FROM tiles JOIN l i ON bi = i.b JOIN l j ON bj = j.b")
+@query(f"WITH {FOREST}, {CIRCLE.format(n=_SMALL)}, {TILES.format(n=_SMALL)}, l AS (SELECT (node_id // 64)::INT AS b, count(*)::INT AS len FROM nodes GROUP BY 1) SELECT round, bi, bj, i.len AS li, j.len AS lj FROM tiles JOIN l i ON bi = i.b JOIN l j ON bj = j.b")
 def tile_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.tile_shapes(schedule.tile_rounds(spark, 4), schedule.block_lengths(spark, _geo(spark, sf_dir)[1], 8))
+    n = _forest(spark, sf_dir)[1]
+    return schedule.tile_shapes(schedule.tile_rounds(spark, -(-n // 64)), schedule.block_lengths(spark, n, 64))
 
 
 @query(f"WITH {FOREST} SELECT node_id, (node_id // 64)::INT AS b, (node_id % 64)::INT AS place FROM nodes")
@@ -267,7 +269,15 @@ def block_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.block_lengths(spark, _forest(spark, sf_dir)[1], 64)
 
 
-def _sgd(steps: str, rounds: str = CIRCLE.format(n=30), turns: int = 29, at: str = "s.step % {turns}", graph: str = GEO, depth: int = 8) -> str:
+#: The places of nodes inside a stretch of customers, of which there are n.
+SEATS = "seats AS (SELECT node_id, orig_label // 20 AS stretch, row_number() OVER (PARTITION BY orig_label // 20 ORDER BY node_id) - 1 AS seat, count(*) OVER (PARTITION BY orig_label // 20) AS n FROM nodes)"
+#: Rounds inside a stretch.
+STRETCHES = f"""{SEATS},
+circle AS (SELECT CASE WHEN n % 2 = 0 AND b = n - 1 THEN a ELSE (a + b) * ((m + 1) // 2) % m END AS round, u, v, stretch FROM (
+  SELECT x.stretch, x.node_id AS u, y.node_id AS v, x.seat AS a, y.seat AS b, x.n, x.n - 1 + x.n % 2 AS m FROM seats x JOIN seats y ON x.stretch = y.stretch AND x.seat < y.seat))"""
+
+
+def _sgd(steps: str, rounds: str = STRETCHES, turns: int = 19, at: str = "s.step % {turns}", graph: str = NEAR, depth: int = 19) -> str:
     """The whole refinement by fixed rounds, of which a sweep has `turns`, as a recursive table of positions. at: the round of a step."""
     return f"""WITH RECURSIVE {graph}, {DIST.format(depth=depth)}, {START}, {EXTREMES}, {rounds},
 half AS (SELECT round AS r, c.u AS node, c.v AS other, d FROM circle c JOIN dist USING (u, v) UNION ALL SELECT round, c.v, c.u, d FROM circle c JOIN dist USING (u, v)),
@@ -290,43 +300,46 @@ PLACES = "SELECT node_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM fi
 
 
 def _refined(spark: SparkSession, sf_dir: str, audit: bool = False, iterations: int | None = None):
-    edges, n = _geo(spark, sf_dir)
-    ready = prepare(edges, n, center=False)
+    ready = prepare(*_near(spark, sf_dir), center=False)
     return ready, layout.refine(ready.pairs, ready.positions, ready.components, ready.etas[:iterations], order="fixed", audit=audit)
 
 
-@query(_sgd("435") + PLACES)
+@query(_sgd("285") + PLACES)
 def sgd_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: 15 sweeps over the geography graph by fixed rounds."""
+    """The flagship: 15 sweeps over the neighbourhoods of customers by fixed rounds."""
     return _refined(spark, sf_dir)[1].select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
-@query(_sgd("29") + PLACES)
+@query(_sgd("19") + PLACES)
 def sgd_one_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refined(spark, sf_dir, iterations=1)[1].select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
 @query(_sgd("1") + PLACES)
 def sgd_one_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first round as joins and a sum of deltas: its pairs are disjoint."""
-    edges, n = _geo(spark, sf_dir)
-    ready = prepare(edges, n, center=False)
-    first = schedule.circle_rounds(spark, n).where("round = 0").select("u", "v")
-    deltas = layout.pair_deltas(ready.pairs.join(first, ["u", "v"]), ready.positions, ready.etas[0])
+    """The first round of each component as joins and a sum of deltas: its pairs are disjoint."""
+    ready = prepare(*_near(spark, sf_dir), center=False)
+    stretch = Window.partitionBy("component")
+    seats = ready.components.select("node_id", (F.row_number().over(stretch.orderBy("node_id")) - 1).alias("seat"), F.count(F.lit(1)).over(stretch).alias("n"))
+    of = lambda c: seats.select(F.col("node_id").alias(c), F.col("seat").alias(f"{c}_seat"), *(["n"] if c == "u" else []))
+    even_last = (F.col("n") % 2 == 0) & (F.col("v_seat") == F.col("n") - 1)
+    starts = F.when(even_last, F.col("u_seat") == 0).otherwise((F.col("u_seat") + F.col("v_seat")) % (F.col("n") - 1 + F.col("n") % 2) == 0)
+    first = ready.pairs.join(of("u"), "u").join(of("v"), "v").where(starts).select(*ready.pairs.columns)
+    deltas = layout.pair_deltas(first, ready.positions, ready.etas[0])
     return layout.scatter_add(ready.positions, deltas).select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
-AUDIT = """, log AS (SELECT 0::INT AS iteration, row_number() OVER (ORDER BY round, c.u) - 1 AS record_idx, c.u, c.v, d, round(a.x, 6) + 0.0 AS xi, round(a.y, 6) + 0.0 AS yi, round(b.x, 6) + 0.0 AS xj, round(b.y, 6) + 0.0 AS yj
+AUDIT = """, log AS (SELECT 0::INT AS iteration, row_number() OVER (PARTITION BY stretch ORDER BY round, c.u) - 1 AS record_idx, c.u, c.v, d, round(a.x, 6) + 0.0 AS xi, round(a.y, 6) + 0.0 AS yi, round(b.x, 6) + 0.0 AS xj, round(b.y, 6) + 0.0 AS yj
   FROM circle c JOIN dist USING (u, v) JOIN st a ON a.step = round AND a.node = c.u JOIN st b ON b.step = round AND b.node = c.v) """
 
 
-@query(_sgd("29") + AUDIT + "SELECT iteration, record_idx, u, v, xi, yi, xj, yj FROM log")
+@query(_sgd("19") + AUDIT + "SELECT iteration, record_idx, u, v, xi, yi, xj, yj FROM log")
 def sgd_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _refined(spark, sf_dir, audit=True, iterations=1)[1]
     return log.select("iteration", "record_idx", "u", "v", *(rounded(F.col(c)).alias(c) for c in ("xi", "yi", "xj", "yj")))
 
 
-@query(_sgd("29") + AUDIT + ", numbers AS (SELECT u, v, dij, wij, row_number() OVER (ORDER BY u, v) - 1 AS pair_idx FROM pairs) SELECT record_idx, pair_idx, u, v, dij, wij, xi, yi, xj, yj FROM log JOIN numbers USING (u, v)")
+@query(_sgd("19") + AUDIT + ", numbers AS (SELECT u, v, dij, wij, row_number() OVER (ORDER BY u, v) - 1 AS pair_idx FROM pairs) SELECT record_idx, pair_idx, u, v, dij, wij, xi, yi, xj, yj FROM log JOIN numbers USING (u, v)")
 def sgd_audit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of a sweep joined to its pairs."""
     ready, log = _refined(spark, sf_dir, audit=True, iterations=1)
@@ -334,25 +347,25 @@ def sgd_audit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("record_idx", "pair_idx", "u", "v", "dij", "wij", *(rounded(F.col(c)).alias(c) for c in ("xi", "yi", "xj", "yj")))
 
 
-@query(f"{GEO_DIST} SELECT t AS iteration, (SELECT count(*) FROM dist)::BIGINT AS n_updates FROM (SELECT unnest(range(15))::INT AS t)")
+@query(f"{NEAR_DIST} SELECT t AS iteration, (SELECT count(*) FROM dist)::BIGINT AS n_updates FROM (SELECT unnest(range(15))::INT AS t)")
 def sgd_update_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refined(spark, sf_dir, audit=True)[1].groupBy("iteration").agg(F.count(F.lit(1)).alias("n_updates"))
 
 
-@query(_sgd("435") + STRESS.format(half="1.0", places="final"))
+@query(_sgd("285") + STRESS.format(half="1.0", places="final"))
 def sgd_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready, final = _refined(spark, sf_dir)
     return stress.stress(ready.pairs, final).select(rounded(F.col("stress"), 4).alias("stress"))
 
 
-@query(f"""{GEO_DIST}, moves AS (
+@query(f"""{NEAR_DIST}, moves AS (
   SELECT u, v, least(wij * 16.0, 1.0) * ((n - dij) / 2.0) * (dx / n) AS sx, least(wij * 16.0, 1.0) * ((n - dij) / 2.0) * (dy / n) AS sy FROM (
     SELECT u, v, dij, wij, a.x - b.x AS dx, a.y - b.y AS dy, greatest(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 1e-12) AS n
     FROM pairs JOIN start a ON u = a.node_id JOIN start b ON v = b.node_id)
 ), moved AS (SELECT u AS node_id, -sx AS dx, -sy AS dy FROM moves UNION ALL SELECT v, sx, sy FROM moves)
 SELECT node_id, round(x + sum(dx), 6) + 0.0 AS x, round(y + sum(dy), 6) + 0.0 AS y FROM start JOIN moved USING (node_id) GROUP BY node_id, x, y""")
 def scatter_add_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, n = _geo(spark, sf_dir)
+    edges, n = _near(spark, sf_dir)
     places = _places(spark, n)
     deltas = layout.pair_deltas(distance.pair_table(distance.all_pairs(edges, n)), places, 16.0)
     return layout.scatter_add(places, deltas).select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
@@ -366,11 +379,11 @@ steps AS (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS s FROM ends), along
 line_pixels AS (SELECT floor(x0 + (x1 - x0) * i / greatest(s, 1)::DOUBLE + 0.5)::INT AS px, floor(y0 + (y1 - y0) * i / greatest(s, 1)::DOUBLE + 0.5)::INT AS py, count(*)::BIGINT AS n FROM along GROUP BY 1, 2)"""
 DOTS = "dots AS (SELECT DISTINCT (px + ox)::INT AS px, (py + oy)::INT AS py FROM pix, (SELECT unnest(range(-4, 5)) AS ox), (SELECT unnest(range(-4, 5)) AS oy) WHERE ox * ox + oy * oy <= 16 AND px + ox BETWEEN 0 AND 255 AND py + oy BETWEEN 0 AND 255)"
 LAYERS = "SELECT px, py, floor((0.122 + (1.0 - 0.122) * pow(1.0 - 0.7, n)) * 255.0 + 0.5)::INT AS r, floor((0.467 + (1.0 - 0.467) * pow(1.0 - 0.7, n)) * 255.0 + 0.5)::INT AS g, floor((0.706 + (1.0 - 0.706) * pow(1.0 - 0.7, n)) * 255.0 + 0.5)::INT AS b, 255 AS a FROM line_pixels"
-DRAWN = f"WITH {GEO}, {START}, {VIEW}, {SQUARE}, {PIXELS}, {LINES}, {DOTS} "
+DRAWN = f"WITH {FOREST}, {START}, {VIEW}, {SQUARE}, {PIXELS}, {LINES}, {DOTS} "
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges, n = _geo(spark, sf_dir)
+    edges, n = _forest(spark, sf_dir)
     places = _places(spark, n)
     square = render.to_square(places, render.viewport(places))
     return edges, places, render.to_pixels(square, *SIZE)
@@ -451,15 +464,15 @@ def ring_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.ring_graph(spark, spark.read.parquet(f"{sf_dir}/customer.parquet").count())
 
 
-@query(f"""WITH {GEO}, {START} SELECT 0 AS section, i AS ordinal, line FROM (SELECT unnest(range(5))::BIGINT AS i, unnest(['# geo', '# Timestamp: 2024-01-01 00:00:00', '# Node count: ' || (SELECT count(*) FROM nodes), '# Edge count: ' || (SELECT count(*) FROM edges), '']) AS line)
+@query(f"""WITH {FOREST}, {START} SELECT 0 AS section, i AS ordinal, line FROM (SELECT unnest(range(5))::BIGINT AS i, unnest(['# forest', '# Timestamp: 2024-01-01 00:00:00', '# Node count: ' || (SELECT count(*) FROM nodes), '# Edge count: ' || (SELECT count(*) FROM edges), '']) AS line)
 UNION ALL SELECT 1, 0, '# Edges (source target)' UNION ALL SELECT 2, row_number() OVER (ORDER BY src, dst) - 1, src || ' ' || dst FROM edges
 UNION ALL SELECT 3, 0, '' UNION ALL SELECT 3, 1, '# Positions (x y)' UNION ALL SELECT 4, node_id, printf('%.9f %.9f', x, y) FROM start""")
 def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, n = _geo(spark, sf_dir)
-    return sinks.result_rows(edges, _places(spark, n), "geo", "2024-01-01 00:00:00")
+    edges, n = _forest(spark, sf_dir)
+    return sinks.result_rows(edges, _places(spark, n), "forest", "2024-01-01 00:00:00")
 
 
-@query(f"WITH {GEO}, {START} SELECT 'edge' AS part, row_number() OVER (ORDER BY src, dst) - 1 AS ordinal, src::DOUBLE AS a, dst::DOUBLE AS b FROM edges UNION ALL SELECT 'position', node_id, round(x, 6) + 0.0, round(y, 6) + 0.0 FROM start")
+@query(f"WITH {FOREST}, {START} SELECT 'edge' AS part, row_number() OVER (ORDER BY src, dst) - 1 AS ordinal, src::DOUBLE AS a, dst::DOUBLE AS b FROM edges UNION ALL SELECT 'position', node_id, round(printf('%.9f', x)::DOUBLE, 6) + 0.0, round(printf('%.9f', y)::DOUBLE, 6) + 0.0 FROM start")
 def result_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of a result file, read back."""
     rows = result_lines(spark, sf_dir).select((F.col("section").cast("long") * 1_000_000_000 + F.col("ordinal")).alias("line_id"), "line")
@@ -505,88 +518,73 @@ def layout_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(ready, final)
 
 
-#: Blocks of 10 of the 30 nodes: three rounds of a tile of two blocks, in 10 sub-rounds, then three of a block with itself, in 9.
-TILED = """tile_pairs AS (SELECT u, v, u // 10 AS bi, v // 10 AS bj, u % 10 AS a, v % 10 AS b FROM (SELECT unnest(range(30))::BIGINT AS u), (SELECT unnest(range(30))::BIGINT AS v) WHERE u < v),
-circle AS (SELECT dense_rank() OVER (ORDER BY r, s) - 1 AS round, u, v, bi, bj, r, s FROM (
-  SELECT u, v, bi, bj, CASE WHEN bi = bj THEN 3 + bi ELSE (bi + bj) * 2 % 3 END AS r, CASE WHEN bi <> bj THEN (a - b + 10) % 10 WHEN b = 9 THEN a ELSE (a + b) * 5 % 9 END AS s FROM tile_pairs))"""
+#: Tiles of blocks of 512 nodes: r and s are a pair's round and sub-round. As stretches don't touch, only the order inside each counts: it has at most 80 different (r, s).
+TILED = f"""{SEATS}, met AS (SELECT x.stretch, x.node_id AS u, y.node_id AS v, x.node_id // 512 AS bi, y.node_id // 512 AS bj FROM seats x JOIN seats y ON x.stretch = y.stretch AND x.node_id < y.node_id),
+blocks AS (SELECT k, k - 1 + k % 2 AS m FROM (SELECT max(node_id) // 512 + 1 AS k FROM nodes)),
+ends AS (SELECT bi, bj, u AS node, bi <> bj AND false AS side FROM met UNION SELECT bi, bj, v, bi <> bj FROM met),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY bi, bj, side ORDER BY node) - 1 AS place, count(*) OVER (PARTITION BY bi, bj, side) AS n FROM ends),
+placed AS (SELECT met.*, a.place AS a, b.place AS b, a.n AS na, b.n AS nb FROM met JOIN ranks a ON a.bi = met.bi AND a.bj = met.bj AND a.node = u AND NOT a.side JOIN ranks b ON b.bi = met.bi AND b.bj = met.bj AND b.node = v AND b.side = (met.bi <> met.bj)),
+timed AS (SELECT stretch, u, v, bi, bj,
+    CASE WHEN bi = bj THEN CASE WHEN k > 1 THEN m ELSE 0 END + bi // greatest(1, k // 2) WHEN k % 2 = 0 AND bj = k - 1 THEN bi ELSE (bi + bj) * ((m + 1) // 2) % m END AS r,
+    CASE WHEN bi <> bj THEN (a - b + greatest(na, nb)) % greatest(na, nb) WHEN na % 2 = 0 AND b = na - 1 THEN a ELSE (a + b) * ((na + na % 2) // 2) % (na - 1 + na % 2) END AS s FROM placed, blocks),
+circle AS (SELECT dense_rank() OVER (PARTITION BY stretch ORDER BY bi = bj, s) - 1 AS round, u, v, bi, bj, r, s FROM timed)"""
 
 
-@query(_sgd("855", TILED, 57) + PLACES)
+@query(_sgd("1200", TILED, 80) + PLACES)
 def layout_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """15 sweeps of the tiled strategy, which no single task holds, in a fixed order."""
-    edges, n = _geo(spark, sf_dir)
-    final = lay_out(edges, n, center=False, strategy="tiles", order="fixed", block=10)[1]
+    final = lay_out(*_near(spark, sf_dir), center=False, strategy="tiles", order="fixed", block=512)[1]
     return final.select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
-@query(_sgd("114", TILED, 57) + """SELECT t::INT AS iteration, row_number() OVER (ORDER BY t, r, c.bi, c.bj, s, c.u, c.v) - 1 AS record_idx, c.u, c.v,
-  round(a.x, 6) + 0.0 AS xi, round(a.y, 6) + 0.0 AS yi, round(b.x, 6) + 0.0 AS xj, round(b.y, 6) + 0.0 AS yj
-  FROM circle c JOIN dist USING (u, v), (SELECT unnest(range(2)) AS t) JOIN st a ON a.step = t * 57 + round AND a.node = c.u JOIN st b ON b.step = t * 57 + round AND b.node = c.v""")
+@query(_sgd("160", TILED, 80) + """, told AS MATERIALIZED (SELECT t, t * 80 + round AS step, row_number() OVER (ORDER BY t, r, c.bi, c.bj, s, c.u, c.v) - 1 AS record_idx, c.u, c.v FROM circle c JOIN dist USING (u, v), (SELECT unnest(range(2)) AS t))
+SELECT t::INT AS iteration, record_idx, told.u, told.v, round(a.x, 6) + 0.0 AS xi, round(a.y, 6) + 0.0 AS yi, round(b.x, 6) + 0.0 AS xj, round(b.y, 6) + 0.0 AS yj
+  FROM told JOIN st a ON a.step = told.step AND a.node = told.u JOIN st b ON b.step = told.step AND b.node = told.v""")
 def tile_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of two sweeps of tiles: each pair once a sweep, with tickets that run on over rounds and tiles."""
-    edges, n = _geo(spark, sf_dir)
-    ready = prepare(edges, n, center=False)
-    log = layout.refine(ready.pairs, ready.positions, ready.components, ready.etas[:2], strategy="tiles", order="fixed", block=10, audit=True)
+    ready = prepare(*_near(spark, sf_dir), center=False)
+    log = layout.refine(ready.pairs, ready.positions, ready.components, ready.etas[:2], strategy="tiles", order="fixed", block=512, audit=True)
     return log.select("iteration", "record_idx", "u", "v", *(rounded(F.col(c)).alias(c) for c in ("xi", "yi", "xj", "yj")))
 
 
-#: The order of a sweep by a hash of its pairs, a pair a step; the second sweep has another.
-HASHED = f"""circle AS (SELECT t * 435 + row_number() OVER (PARTITION BY t ORDER BY {HASH}, u, v) - 1 AS round, u, v FROM (
-  SELECT t, u, v, ((h + v) * 1103515245 + 12345) % 2147483648 AS h FROM (SELECT t, u, v, (u * 1103515245 + 12345 + 5 + t) % 2147483648 AS h
-    FROM (SELECT unnest(range(2)) AS t), (SELECT unnest(range(30))::BIGINT AS u), (SELECT unnest(range(30))::BIGINT AS v) WHERE u < v)))"""
+#: The order of a stretch's sweep by a hash of its pairs, at most 190, a pair a step; the second sweep has another.
+HASHED = f"""{SEATS}, circle AS (SELECT t * 190 + row_number() OVER (PARTITION BY t, stretch ORDER BY {HASH}, u, v) - 1 AS round, u, v FROM (
+  SELECT t, stretch, u, v, ((h + v) * 1103515245 + 12345) % 2147483648 AS h FROM (SELECT t, x.stretch, x.node_id AS u, y.node_id AS v, (x.node_id * 1103515245 + 12345 + 5 + t) % 2147483648 AS h
+    FROM (SELECT unnest(range(2)) AS t), seats x JOIN seats y ON x.stretch = y.stretch AND x.node_id < y.node_id)))"""
 
 
-@query(_sgd("870", HASHED, 435, "s.step") + PLACES)
+@query(_sgd("380", HASHED, 190, "s.step") + PLACES)
 def sgd_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sweeps of pairs one by one in the order of a hash, by levels of pairs that don't depend on each other."""
-    edges, n = _geo(spark, sf_dir)
-    ready = prepare(edges, n, center=False)
+    """Two sweeps of each component's pairs one by one in the order of a hash, by levels of pairs that don't depend on each other."""
+    ready = prepare(*_near(spark, sf_dir), center=False)
     final = layout.refine(ready.pairs, ready.positions, ready.components, ready.etas[:2], strategy="sequential", order="hash", seed=5)
     return final.select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
-NEAR = """own AS (SELECT c_custkey::BIGINT AS k, c_nationkey::BIGINT AS n FROM customer), raw AS (
-  SELECT a.k AS a, b.k AS b FROM own a JOIN own b ON b.k = a.k + 1 AND a.k % 20 < 19
-  UNION ALL SELECT a.k, b.k FROM own a JOIN own b ON b.k = a.k - a.k % 20 + a.n % 20
-), nodes AS (
-  SELECT v AS orig_label, row_number() OVER (ORDER BY v) - 1 AS node_id FROM (SELECT a AS v FROM raw WHERE a <> b UNION SELECT b FROM raw WHERE a <> b)
-), edges AS (
-  SELECT DISTINCT least(x.node_id, y.node_id) AS src, greatest(x.node_id, y.node_id) AS dst
-  FROM raw JOIN nodes x ON a = x.orig_label JOIN nodes y ON b = y.orig_label WHERE a <> b
-), both_ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)"""
-#: Rounds inside a stretch of customers: by the places of its nodes, of which there are n.
-STRETCHES = """seats AS (SELECT node_id, orig_label // 20 AS stretch, row_number() OVER (PARTITION BY orig_label // 20 ORDER BY node_id) - 1 AS seat, count(*) OVER (PARTITION BY orig_label // 20) AS n FROM nodes),
-circle AS (SELECT CASE WHEN n % 2 = 0 AND b = n - 1 THEN a ELSE (a + b) * ((m + 1) // 2) % m END AS round, u, v FROM (
-  SELECT x.node_id AS u, y.node_id AS v, x.seat AS a, y.seat AS b, x.n, x.n - 1 + x.n % 2 AS m FROM seats x JOIN seats y ON x.stretch = y.stretch AND x.seat < y.seat))"""
-
-
-@query(_sgd("38", STRETCHES, 19, graph=NEAR, depth=19) + PLACES)
+@query(_sgd("38") + PLACES)
 def sgd_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sweeps over the neighbourhoods of customers: a group a component, as many as the table gives."""
-    labels, edges = graph.relabel(sources.neighbourhoods(spark, sf_dir))
-    ready = prepare(edges, labels.count(), center=False)
+    ready = prepare(*_near(spark, sf_dir), center=False)
     final = layout.refine(ready.pairs, ready.positions, ready.components, ready.etas[:2], strategy="rounds", order="fixed")
     return final.select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
-@query(_sgd("38", STRETCHES, 19, graph=NEAR, depth=19) + PLACES)
+@query(_sgd("38") + PLACES)
 def layout_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the table function, called in SQL."""
     plans_sql.register(spark)
-    labels, edges = graph.relabel(sources.neighbourhoods(spark, sf_dir))
-    ready = prepare(edges, labels.count(), center=False)
+    ready = prepare(*_near(spark, sf_dir), center=False)
     joined = ready.pairs.join(ready.components.withColumnRenamed("node_id", "u"), "u").select("component", "u", "v", "dij")
     joined.createOrReplaceTempView("stressloom_pairs")
     rates = ", ".join(f"{eta!r}D" for eta in ready.etas[:2])
     return spark.sql(f"SELECT node_id, round(x, 6) + 0.0D AS x, round(y, 6) + 0.0D AS y FROM lay_out(TABLE(stressloom_pairs), array({rates}))")
 
 
-@query(_sgd("285", STRETCHES, 19, graph=NEAR, depth=19) + f"""SELECT (SELECT count(*) FROM nodes)::BIGINT AS n_nodes, (SELECT count(*) FROM edges)::BIGINT AS n_edges, (SELECT count(*) FROM dist)::BIGINT AS n_pairs, (SELECT 15 * count(*) FROM dist)::BIGINT AS n_updates,
+@query(_sgd("285") + f"""SELECT (SELECT count(*) FROM nodes)::BIGINT AS n_nodes, (SELECT count(*) FROM edges)::BIGINT AS n_edges, (SELECT count(*) FROM dist)::BIGINT AS n_pairs, (SELECT 15 * count(*) FROM dist)::BIGINT AS n_updates,
   ({STRESS.format(half="1.0", places="start")}) AS stress_before, ({STRESS.format(half="1.0", places="final")}) AS stress_after""")
 def layout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics row of a layout of the neighbourhoods of customers, without its seconds."""
-    labels, edges = graph.relabel(sources.neighbourhoods(spark, sf_dir))
-    told = measured("neighbourhoods", edges, labels.count(), center=False, strategy="rounds", order="fixed")[2]
+    told = measured("neighbourhoods", *_near(spark, sf_dir), center=False, strategy="rounds", order="fixed")[2]
     return told.select("n_nodes", "n_edges", "n_pairs", "n_updates", rounded(F.col("stress_before"), 4).alias("stress_before"), rounded(F.col("stress_after"), 4).alias("stress_after"))
 
 

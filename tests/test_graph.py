@@ -200,3 +200,9 @@ def test_distance_strategies_agree(spark):
     assert some == sorted(map(tuple, distance.all_pairs_by_joins(edges, 40, [7, 3]).collect()))
     parts = {r["node_id"]: r["component"] for r in graph.components(edges).collect()}
     assert all(parts[u] == parts[v] for u, v, _ in a)
+
+
+def test_geography_joins_nations_to_regions_and_in_a_ring(spark):
+    labels, edges = graph.relabel(sources.geography(spark, "/root/testdata/sf0.001"))
+    assert (labels.count(), edges.count()) == (30, 50)
+    assert graph.components(edges).select("component").distinct().count() == 1
