@@ -157,6 +157,17 @@ def test_seeds_give_starts_of_their_own(spark):
     assert all(0 <= x.min() and x.max() < 1 and abs(x.mean() - 0.5) < 0.03 for x in at.values())
 
 
+def test_lengths_go_to_the_tiles(spark):
+    """Tiles, of which there are as many as pairs of blocks, are neither sent to every task nor shuffled."""
+    tiles = schedule.tile_shapes(schedule.tile_rounds(spark, 300), schedule.block_lengths(spark, 300 * 64, 64))
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    sent = plan[plan.index("BroadcastExchange") :] if "BroadcastExchange" in plan else plan
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("Generate ") == 1
+    assert "Generate " not in sent or plan.index("Generate ") < plan.index("BroadcastExchange")
+    assert tiles.count() == 300 * 301 // 2
+
+
 # pictures
 
 
