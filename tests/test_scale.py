@@ -141,6 +141,34 @@ def test_tiles_log_each_step_with_a_ticket(spark):
     assert layout.refine(ready.pairs.limit(0), ready.positions, ready.components, etas, strategy="tiles", audit=True).count() == 0
 
 
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """Rings of 3 to 8 nodes and a node without an edge, prepared."""
+    ends, at = [], 0
+    for n in (3, 8, 5):
+        ends += [(at + k, at + (k + 1) % n) for k in range(n)]
+        at += n
+    return prepare(spark.createDataFrame(ends, "src long, dst long"), at + 1, iterations=2, center=False)
+
+
+@pytest.mark.parametrize("order", ["fixed", "shuffled"])
+@pytest.mark.parametrize(("strategy", "name", "alone"), [("rounds", "SHARED", 0), ("tiles", "TILES_IN_TASK", 0), ("tiles", "TILES_IN_TASK", 6)])
+def test_components_share_tasks(spark, monkeypatch, mixed, order, strategy, name, alone):
+    """Bit for bit what each component, or the jobs by rounds of tiles, give; the log too. A pair's tile, which components share, gives its turn."""
+    ask = lambda audit: rows(layout.refine(mixed.pairs, mixed.positions, mixed.components, mixed.etas, strategy, order, seed=6, block=5, audit=audit))
+    together = ask(False), ask(True)
+    monkeypatch.setattr(layout, name, alone)
+    assert (ask(False), ask(True)) == together
+    assert len(together[0]) == mixed.n and len(together[1]) == 2 * mixed.pairs.count()
+
+
+def test_small_components_need_no_jobs_by_rounds(spark, monkeypatch, mixed):
+    cuts = []
+    monkeypatch.setattr(layout, "cut", lambda df, *parts: cuts.append(1) or distance.cut(df, *parts))
+    assert layout.refine(mixed.pairs, mixed.positions, mixed.components, mixed.etas, "tiles", "fixed", block=2).count() == mixed.n
+    assert len(cuts) <= 3
+
+
 def test_orders_and_strategies_are_known(spark):
     ready = prepare(sources.ring_graph(spark, 4), 4)
     for bad in ({"strategy": "tiles", "order": "hash"}, {"strategy": "rounds", "order": "random"}, {"strategy": "none"}):
