@@ -75,6 +75,33 @@ def test_stress_is_summed_by_the_search(spark, monkeypatch):
     assert distance.stress_of(edges.limit(0), 80, places).first()[0] == 0
 
 
+def test_twins_are_searched_once(spark, monkeypatch):
+    """Stars on a path, a star of its own and loops: pairs, counts and stress by classes, in chunks of 3 nodes, are those of all nodes."""
+    ends = [(0, 1), (1, 2), (2, 3), (5, 5)] + [(k % 3, 10 + k) for k in range(60)] + [(80, 81 + k) for k in range(12)]
+    edges = spark.createDataFrame(ends, "src long, dst long")
+    places = layout.start_positions(spark.range(93).withColumnRenamed("id", "node_id"))
+    plain = graph.canonical_edges(edges)
+    want = rows(distance._pairs_by_search(plain, 93))
+    of, small = distance.twins(edges)
+    assert of.count() == 77 and of.select("rep").distinct().count() == 8 and small.count() == 6
+    monkeypatch.setattr(distance, "_CHUNK", 3)
+    assert rows(distance.all_pairs(edges, 93)) == rows(distance.all_pairs_by_masks(edges)) == want
+    counts = sorted((d, sum(x[2] == d for x in want)) for d in {x[2] for x in want})
+    assert rows(distance.histogram(edges)) == rows(distance.histogram(plain, 93)) == rows(distance.histogram_by_masks(edges)) == counts
+    told = stress.stress(distance.pair_table(distance.all_pairs(edges, 93)), places).first()[0]
+    assert distance.stress_of(plain, 93, places).first()[0] == pytest.approx(told, rel=1e-12)
+    with pytest.raises(Exception, match="no position"):
+        distance.stress_of(plain, 93, places.where("node_id <> 20")).collect()
+
+
+def test_searches_leave_their_arrays_blank():
+    offsets, targets = np.array([0, 1, 3, 4, 4]), np.array([1, 0, 2, 1], dtype=np.int32)
+    blank = distance._blank(4)
+    for _ in range(2):
+        assert [(d, nodes.tolist()) for d, nodes, _ in distance._search(offsets, targets, np.array([0]), blank)] == [(1, [1]), (2, [2])]
+    assert not blank[0].any() and not blank[1].any()
+
+
 # refinement
 
 
