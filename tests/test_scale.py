@@ -94,6 +94,15 @@ def test_twins_are_searched_once(spark, monkeypatch):
         distance.stress_of(plain, 93, places.where("node_id <> 20")).collect()
 
 
+@pytest.mark.parametrize(("n", "p", "seed"), [(700, 0.005, 34), (300, 0.02, 0), (2, 0.01, 1)])
+def test_sparse_random_graphs_look_up_their_edges(spark, monkeypatch, n, p, seed):
+    """The same edges as by all pairs, without a pair that is none."""
+    found = sources.gnp_graph(spark, n, p, seed)
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(sources, "_SPARSE", 0.0)
+    assert rows(found) == rows(sources.gnp_graph(spark, n, p, seed))
+
+
 def test_searches_leave_their_arrays_blank():
     offsets, targets = np.array([0, 1, 3, 4, 4]), np.array([1, 0, 2, 1], dtype=np.int32)
     blank = distance._blank(4)
