@@ -221,6 +221,17 @@ def test_seeds_give_starts_of_their_own(spark):
     assert all(0 <= x.min() and x.max() < 1 and abs(x.mean() - 0.5) < 0.03 for x in at.values())
 
 
+def test_pairs_found_dont_go_through_the_driver(spark):
+    """Pairs that a search finds count as small as its sources, but none is sent to every task."""
+    pairs = distance.pair_table(distance.all_pairs(sources.ring_graph(spark, 60), 60))
+    places = layout.start_positions(spark.range(60).withColumnRenamed("id", "node_id"))
+    deltas = layout.pair_deltas(pairs, places, 16.0)
+    plan = deltas._jdf.queryExecution().executedPlan().toString()
+    sent = [x.split("BroadcastHashJoin")[1] for x in plan.splitlines() if "BroadcastHashJoin" in x]
+    assert "MapInArrow" in plan and not any("BuildLeft" in x for x in sent)
+    assert deltas.count() == 2 * pairs.count() == 60 * 59
+
+
 def test_lengths_go_to_the_tiles(spark):
     """Tiles, of which there are as many as pairs of blocks, are neither sent to every task nor shuffled."""
     tiles = schedule.tile_shapes(schedule.tile_rounds(spark, 300), schedule.block_lengths(spark, 300 * 64, 64))
