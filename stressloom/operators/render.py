@@ -57,6 +57,8 @@ def edge_pixels(edges: DataFrame, pixels: DataFrame) -> DataFrame:
 
 #: Sides of an image tile, in pixels; tiles whose counts a task holds; pixels of edges that it makes at a time.
 TILE, _MOST_TILES, _AT_ONCE = 256, 256, 1 << 20
+#: Pixels and longest side of a picture that a task counts in whole matrices, edges that it draws there at a time, and columns for which it looks up which edges cross them.
+_WHOLE, _LONGEST, _EDGES, _COLUMNS = 1 << 22, 8192, 1 << 16, 64
 
 
 class _Counts:
@@ -100,13 +102,103 @@ def _clipped(start: np.ndarray, step: np.ndarray, size: int) -> tuple[np.ndarray
     return low, high
 
 
-def _draw(width: int, height: int, thick: int):
+def _cross(counts: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> None:
+    """Add to counts[x, y + _COLUMNS] the pixels (x, y) of edges that lie inside, no steeper than one, at each of their columns x.
+
+    At a column those that began by then are counted and those that ended before are taken off again, so that both are the first of a sorted array. Heights are above a half by
+    1e-6, which is more than their errors and less than the next fraction of a step, so that halves round up, from either end.
+    """
+    turned = x0 > x1
+    x0, y0, x1, y1 = np.where(turned, x1, x0), np.where(turned, y1, y0), np.where(turned, x0, x1), np.where(turned, y0, y1)
+    by = np.argsort(x0, kind="stable")
+    x0, y0, x1, y1 = x0[by], y0[by], x1[by], y1[by]
+    slope = (y1 - y0) / np.maximum(x1 - x0, 1)
+    level = y0 + (0.5 + 1e-6 + _COLUMNS) - slope * x0
+    for first in range(int(x0[0]), int(x1.max()) + 1, _COLUMNS):
+        columns = np.arange(first, min(first + _COLUMNS, len(counts)))
+        on = np.flatnonzero(x1[: np.searchsorted(x0, first + _COLUMNS)] >= first)
+        begun = np.searchsorted(x0[on], columns, side="right")
+        step, at = slope[on], level[on] + slope[on] * first
+        over = np.flatnonzero(x1[on] < columns[-1])
+        over = over[np.argsort(x1[on][over], kind="stable")]
+        ended = np.searchsorted(x1[on][over], columns)
+        over_step, over_at = step[over], at[over]
+        for x, plus, minus in zip(columns.tolist(), begun.tolist(), ended.tolist(), strict=True):
+            counts[x] += np.bincount(at[:plus].astype(np.int64), minlength=counts.shape[1])
+            if minus:
+                counts[x] -= np.bincount(over_at[:minus].astype(np.int64), minlength=counts.shape[1])
+            at += step
+            over_at += over_step
+
+
+class _Whole:
+    """How often pixels of a picture are drawn, as matrices of all of it."""
+
+    def __init__(self, width: int, height: int, thick: int):
+        self.size, self.thick = (width, height), thick
+        self.flat, self.steep = (np.zeros((a, b + 2 * _COLUMNS), dtype=np.int64) for a, b in ((width, height), (height, width)))
+        self.counts = np.zeros((height, width), dtype=np.int64)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.rows = 0
+
+    def add(self, px: np.ndarray, py: np.ndarray) -> None:
+        inside = (px >= 0) & (py >= 0) & (px < self.size[0]) & (py < self.size[1])
+        np.add.at(self.counts, (py[inside], px[inside]), 1)
+
+    def lines(self, *ends: np.ndarray) -> None:
+        """Edges (x0, y0, x1, y1) that lie inside the picture."""
+        self.held.append(ends)
+        self.rows += len(ends[0])
+        if self.rows >= _EDGES:
+            self._draw_held()
+
+    def _draw_held(self) -> None:
+        if not self.rows:
+            return
+        x0, y0, x1, y1 = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.rows = [], 0
+        flat = abs(x1 - x0) >= abs(y1 - y0)
+        if flat.any():
+            _cross(self.flat, x0[flat], y0[flat], x1[flat], y1[flat])
+        if not flat.all():
+            _cross(self.steep, y0[~flat], x0[~flat], y1[~flat], x1[~flat])
+
+    def drawn(self) -> Iterator[pa.RecordBatch]:
+        """The counts of each row of pixels that has any."""
+        self._draw_held()
+        width, height = self.size
+        flat, steep = self.flat[:, _COLUMNS : _COLUMNS + height].T, self.steep[:, _COLUMNS : _COLUMNS + width]
+        for aside in range(-((self.thick - 1) // 2), self.thick // 2 + 1):
+            up, down = max(0, -aside), max(0, aside)
+            if up + down < height:
+                self.counts[down : height - up] += flat[up : height - down]
+            if up + down < width:
+                self.counts[:, down : width - up] += steep[:, up : width - down]
+        rows = np.flatnonzero(self.counts.any(axis=1))
+        for i in range(0, len(rows), 64):
+            some = self.counts[rows[i : i + 64]]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * width), pa.array(some.reshape(-1)))
+            yield pa.record_batch([pa.array(rows[i : i + 64].astype(np.int32)), lists], ["py", "counts"])
+
+
+def _row_total(rows: pa.Table) -> pa.Table:
+    """The counts of one row of pixels, by all tasks, to its pixels that are drawn."""
+    total = sum(chunk.flatten().to_numpy().reshape(len(chunk), -1).sum(axis=0) for chunk in rows.column("counts").chunks)
+    px = np.flatnonzero(total)
+    return pa.table({"px": px.astype(np.int32), "py": np.full(len(px), rows.column("py")[0].as_py(), np.int32), "n": total[px]})
+
+
+def _draw(width: int, height: int, thick: int, whole: bool):
     """Edges (x0, y0, x1, y1 in pixels) to the counts of the pixels that they draw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(width, height)
+        counts = _Whole(width, height, thick) if whole else _Counts(width, height)
         for batch in batches:
             x0, y0, x1, y1 = (batch.column(c).to_numpy().astype(np.int64) for c in ("x0", "y0", "x1", "y1"))
+            if whole:
+                inside = (np.minimum(x0, x1) >= 0) & (np.minimum(y0, y1) >= 0) & (np.maximum(x0, x1) < width) & (np.maximum(y0, y1) < height)
+                counts.lines(x0[inside], y0[inside], x1[inside], y1[inside])
+                x0, y0, x1, y1 = x0[~inside], y0[~inside], x1[~inside], y1[~inside]
             dx, dy = x1 - x0, y1 - y0
             steps = np.maximum(abs(dx), abs(dy))
             # only the part of an edge that may be inside the picture
@@ -127,7 +219,7 @@ def _draw(width: int, height: int, thick: int):
                 for aside in range(-((thick - 1) // 2), thick // 2 + 1):
                     counts.add(px + np.where(flat, 0, aside), py + np.where(flat, aside, 0))
                 begin = end
-                if len(counts.tiles) > _MOST_TILES:
+                if not whole and len(counts.tiles) > _MOST_TILES:
                     yield from counts.drawn()
         yield from counts.drawn()
 
@@ -135,17 +227,22 @@ def _draw(width: int, height: int, thick: int):
 
 
 def edge_counts(edges: DataFrame, pixels: DataFrame, width: int, height: int, thick: int = 1) -> DataFrame:
-    """edge_pixels inside the picture, without a row per pixel and edge: a task clips its edges and counts them in a matrix for each image tile, and what it sends are the pixels that it
+    """edge_pixels inside the picture, without a row per pixel and edge. Of a picture of up to _WHOLE pixels a task counts its edges column by column in matrices of all of it, and
+    sends a row of pixels as one row. Of a larger one it clips its edges and counts them in a matrix for each image tile, and what it sends are the pixels that it
     has drawn, at most one row each. thick: pixels across an edge."""
     ends = edge_vertices(edges, pixels, ("px", "py")).select("x0", "y0", "x1", "y1")
-    drawn = ends.mapInArrow(_draw(width, height, thick), "px int, py int, n long")
+    whole = width * height <= _WHOLE and max(width, height) <= _LONGEST
+    if whole:
+        drawn = ends.mapInArrow(_draw(width, height, thick, whole), "py int, counts array<long>")
+        return drawn.groupBy("py").applyInArrow(_row_total, "px int, py int, n long")
+    drawn = ends.mapInArrow(_draw(width, height, thick, whole), "px int, py int, n long")
     return drawn.groupBy("px", "py").agg(F.sum("n").alias("n"))
 
 
 def node_pixels(pixels: DataFrame, radius: float, width: int, height: int) -> DataFrame:
     """Pixels within radius of a node, each once, inside the picture."""
     span = F.sequence(F.lit(-int(radius)), F.lit(int(radius)))
-    rows = pixels.withColumn("ox", F.explode(span)).withColumn("oy", F.explode(span)).where(f"ox * ox + oy * oy <= {radius * radius}")
+    rows = pixels.select("px", "py").distinct().withColumn("ox", F.explode(span)).withColumn("oy", F.explode(span)).where(f"ox * ox + oy * oy <= {radius * radius}")
     rows = rows.select((F.col("px") + F.col("ox")).cast("int").alias("px"), (F.col("py") + F.col("oy")).cast("int").alias("py")).distinct()
     return rows.where(f"px >= 0 and py >= 0 and px < {width} and py < {height}")
 

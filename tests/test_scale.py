@@ -258,6 +258,34 @@ def test_tiles_count_what_edges_draw(spark, monkeypatch, most):
     assert rows(render.edge_counts(edges, pixels, 600, 500)) == want
 
 
+@pytest.mark.parametrize("thick", [1, 2, 5])
+@pytest.mark.parametrize("size", [(300, 170), (40, 200), (1, 30)])
+def test_edges_are_drawn_column_by_column(monkeypatch, size, thick):
+    """Edges inside the picture, of any slope and from either end, are counted without an entry per pixel, as the tiles count them."""
+    rng = np.random.default_rng(6)
+    ends = [rng.integers(0, size[i % 2], 3000) for i in range(4)]
+    batch = pa.record_batch(ends, ["x0", "y0", "x1", "y1"])
+    by_tiles = np.zeros(size[::-1], dtype=np.int64)
+    for b in render._draw(*size, thick, False)(iter([batch])):
+        by_tiles[b.column("py").to_numpy(), b.column("px").to_numpy()] += b.column("n").to_numpy()
+    monkeypatch.setattr(render, "_EDGES", 1000)
+    monkeypatch.setattr(render._Whole, "add", lambda self, px, py: pytest.fail("a pixel of its own") if len(px) else None)
+    whole = np.zeros(size[::-1], dtype=np.int64)
+    for b in render._draw(*size, thick, True)(iter([batch.slice(0, 1700), batch.slice(1700)])):
+        whole[b.column("py").to_numpy()] = np.stack(b.column("counts").to_pylist())
+    assert (whole == by_tiles).all()
+
+
+@pytest.mark.parametrize("whole", [0, 1 << 22])
+def test_large_and_small_pictures_count_alike(spark, monkeypatch, whole):
+    rng = np.random.default_rng(5)
+    pixels = spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(rng.integers(-300, 900, (60, 2)))], "node_id long, px int, py int")
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60, (150, 2))], "src long, dst long")
+    monkeypatch.setattr(render, "_WHOLE", whole)
+    want = rows(render.edge_pixels(edges, pixels).where("px between 0 and 599 and py between 0 and 499"))
+    assert rows(render.edge_counts(edges, pixels, 600, 500)) == want
+
+
 def test_thick_edges_are_as_wide(spark):
     pixels = spark.createDataFrame([(0, 5, 10), (1, 25, 10), (2, 15, 2)], "node_id long, px int, py int")
     edges = spark.createDataFrame([(0, 1)], "src long, dst long")
