@@ -406,3 +406,23 @@ def test_components_are_laid_out_in_sql(spark):
     for bad in (f"TABLE(SELECT u, v FROM some_pairs), array({rates})", f"TABLE(some_pairs), array({rates}), 'none'"):
         with pytest.raises(Exception):  # noqa: B017
             spark.sql(f"SELECT * FROM lay_out({bad})").collect()
+
+
+def test_a_row_may_hold_a_nodes_pairs(spark):
+    """Pairs packed by node, in any order inside, are laid out bit for bit as pairs a row each, by fewer rows."""
+    plans_sql.register(spark)
+    edges = sources.ring_graph(spark, 9).unionByName(sources.ring_graph(spark, 7).select((F.col("src") + 9).alias("src"), (F.col("dst") + 9).alias("dst")))
+    ready = prepare(edges, 16, iterations=3, center=False)
+    pairs = ready.pairs.join(ready.components.withColumnRenamed("node_id", "u"), "u").select("component", "u", "v", "dij")
+    pairs.createOrReplaceTempView("plain_pairs")
+    held = F.sort_array(F.collect_list(F.struct("v", "dij")), asc=False).alias("held")
+    packed = pairs.groupBy("component", "u").agg(held).select("component", "u", F.col("held.v").alias("v"), F.col("held.dij").alias("dij"))
+    packed.createOrReplaceTempView("packed_pairs")
+    assert packed.count() == 14 < pairs.count() == 36 + 21
+    rates = ", ".join(f"{x!r}D" for x in ready.etas)
+    for strategy in ("rounds", "sequential"):
+        plain, fewer = (rows(spark.sql(f"SELECT * FROM lay_out(TABLE({t}), array({rates}), '{strategy}')")) for t in ("plain_pairs", "packed_pairs"))
+        assert plain == fewer and len(plain) == 16
+    for bad in ("SELECT u, v, dij[0] AS dij FROM packed_pairs", "SELECT u, v, array(1.0D) AS dij FROM packed_pairs"):
+        with pytest.raises(Exception):  # noqa: B017
+            spark.sql(f"SELECT * FROM lay_out(TABLE({bad}), array({rates}))").collect()
