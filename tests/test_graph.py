@@ -35,6 +35,34 @@ def test_circle_rounds_hold_each_pair_once(spark, n):
     assert sorted((r["u"], r["v"]) for r in rows) == [(u, v) for u in range(n) for v in range(u + 1, n)]
 
 
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 48, 67])
+def test_blocks_hold_each_pair_once(spark, n):
+    for itself in (False, True):
+        rows = schedule.pairs_by_blocks(spark, n, itself, block=16, strip=8).collect()
+        assert sorted((r["u"], r["v"]) for r in rows) == [(u, v) for u in range(n) for v in range(u if itself else u + 1, n)]
+
+
+def test_rows_of_pairs_stay_small_in_files(spark, tmp_path):
+    """18 million rows each, which took 2.8 bytes a row and more the more nodes there are."""
+    n = 6000
+    for name, rows in (("circle", schedule.circle_rounds(spark, n)), ("tiles", schedule.tile_rounds(spark, n))):
+        rows.write.parquet(str(tmp_path / name))
+        assert sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet")) < 0.6 * n * n / 2
+    found = spark.read.parquet(str(tmp_path / "circle"))
+    ends = found.select("round", F.explode(F.array("u", "v")).alias("node"))
+    assert found.agg(F.count(F.lit(1)), F.countDistinct("round"), F.max("round")).first()[:] == (n * (n - 1) // 2, n - 1, n - 2)
+    assert ends.groupBy("round").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x")).select("n", "x").distinct().count() == 1
+
+
+@pytest.mark.parametrize("blocks", [84_375, 84_376])
+def test_rounds_of_many_tiles(spark, blocks):
+    """As many blocks as 5.4 million nodes have; (bi + bj) * (blocks + 1) / 2 takes more than 32 bits."""
+    tiles = spark.createDataFrame([(blocks - 3, blocks - 2), (0, 1), (blocks - 2, blocks - 2)], "bi int, bj int")
+    m = blocks - 1 + blocks % 2
+    wanted = [(2 * blocks - 5) * ((m + 1) // 2) % m, (m + 1) // 2, m + (blocks - 2) // (blocks // 2)]
+    assert [r[0] for r in tiles.select(schedule.tile_round(F.col("bi"), F.col("bj"), blocks)).collect()] == wanted
+
+
 @pytest.mark.parametrize(("strategy", "order"), [("rounds", "shuffled"), ("rounds", "fixed"), ("sequential", "shuffled"), ("tiles", "shuffled")])
 def test_strategies_lower_stress_and_centre(spark, strategy, order):
     ready, final = lay_out(sources.ring_graph(spark, 12), 12, iterations=10, seed=3, strategy=strategy, order=order, block=5)
