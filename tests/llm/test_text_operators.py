@@ -6,9 +6,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
-from stressloom.llm import chat, components, decontam, embeddings, fm_dedup, jaccard, language, mixing, quality, run_length_dedup, toxicity
+from stressloom.llm import bytescan, chat, components, decontam, embeddings, fm_dedup, jaccard, language, mixing, quality, repeats, run_length_dedup, toxicity
 from stressloom.llm.suffixes import FMIndex, RunLengthIndex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -90,6 +91,37 @@ def test_words_that_stand_earlier_go(docs, texts, hot):
         assert tuple(got[i])[1:] == (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_a_line_at_many_places_of_few_texts_is_dealt_out(spark):
+    rng = random.Random(3)
+    say = lambda: " ".join(str(rng.randrange(10**9)) for _ in range(40))
+    hashes = lambda x: bytescan.grams(bytescan.letters(np.frombuffer(x.encode(), np.uint8)), 64)
+    line = min((say()[:90] for _ in range(500)), key=lambda x: hashes(x).min())  # an anchor of nearly all windows that it lies in
+    rows = [(i, "\n".join(say() + "\n" + line for _ in range(60))) for i in range(4)]
+    again = rows[0][1][:3000]
+    docs = spark.createDataFrame([*rows, (4, again)], "doc_id long, text string")
+
+    class Widest(AccumulatorParam):
+        def zero(self, value):
+            return 0
+
+        def addInPlace(self, a, b):
+            return max(a, b)
+
+    largest = spark.sparkContext.accumulator(0, Widest())
+    plan = repeats.Plan(words=False, window=400, gram=64, hot=16, block=1)
+    mark = repeats.mark_with_run_length_index(plan)
+
+    def watched(segments):
+        largest.add(len(segments))
+        return mark(segments)
+
+    found = {r["id"]: r["marks"] for r in repeats.marked_texts(docs, plan, watched).collect()}
+    assert {i for i, m in found.items() if m} == {0, 4}
+    for i in (0, 4):
+        assert sorted(x for m in found[i] for x in range(m["first"], m["end"])) == list(range(3000 - 399))
+    assert 0 < largest.value <= 16
+
+
 def test_repeated_rows_and_null_ids(spark):
     long = " ".join(f"w{i}" for i in range(200))
     rows = spark.createDataFrame([(1, long), (1, long), (None, "x " + long), (2, None)], "doc_id long, text string")
