@@ -35,6 +35,16 @@ def test_circle_rounds_hold_each_pair_once(spark, n):
     assert sorted((r["u"], r["v"]) for r in rows) == [(u, v) for u in range(n) for v in range(u + 1, n)]
 
 
+@pytest.mark.parametrize("n", [2, 3, 8, 9])
+def test_rounds_are_half_of_sums(spark, n):
+    """By the formula of the SQL, in columns without nulls."""
+    found = schedule.circle_rounds(spark, n)
+    assert not any(c.nullable for c in found.schema)
+    m = n - 1 + n % 2
+    for r in found.collect():
+        assert r["round"] == (r["u"] if n % 2 == 0 and r["v"] == n - 1 else (r["u"] + r["v"]) * ((m + 1) // 2) % m)
+
+
 @pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 48, 67])
 def test_blocks_hold_each_pair_once(spark, n):
     for itself in (False, True):
